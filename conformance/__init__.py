@@ -1,0 +1 @@
+"""Every operator as a query over the given tables, with an independent SQL statement."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the published algorithm.
 _DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -47,7 +49,6 @@ def _regions(word: str) -> tuple[int, int]:
     return r1, found.end() if found else len(word)
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """Stem of one word."""
     word = word.lower().replace("’", "'").replace("‘", "'").replace("‛", "'")
@@ -128,7 +129,11 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("string")
+# Workers get the functions of this module with the task, whatever their import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@F.pandas_udf(T.StringType())
 def stem_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem a column of tokens; each distinct token of a batch is stemmed once."""
     for tokens in batches:

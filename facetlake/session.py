@@ -14,6 +14,7 @@ def local_session(name: str = "facetlake", cores: str = "*", **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FACETLAKE_DRIVER_MEMORY", "8g"))
