@@ -20,15 +20,16 @@ from facetlake.plans.catalog import FacetSpec
 from facetlake.sources import store
 from facetlake.sources.library import decode_json, library_state
 
-OPTIONS = plan.AssemblyOptions(as_of=date(1998, 6, 15), collection_roots=("R1",))
+AS_OF = date(1998, 6, 15)
+OPTIONS = plan.AssemblyOptions(as_of=AS_OF)
 
 
 def _tables(spark, d):
-    return plan.assemble(derived_library(spark, d), OPTIONS)
+    return plan.Assembly(derived_library(spark, d), OPTIONS)
 
 
 def _docs(spark, d):
-    return _tables(spark, d)["docs"]
+    return _tables(spark, d).docs
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -240,7 +241,7 @@ def _kept_items(library):
     FROM kids WHERE l_returnflag = 'A' AND l_linestatus = 'F'
 """)
 def child_files(spark, d):
-    return _tables(spark, d)["attachments"].select(
+    return _tables(spark, d).attachments.select(
         "id", "child_key", F.col("data.filename").alias("filename"), "download_status")
 
 
@@ -252,7 +253,7 @@ def child_files(spark, d):
     FROM kids WHERE l_returnflag = 'R'
 """)
 def child_links(spark, d):
-    return _tables(spark, d)["links"]
+    return _tables(spark, d).links
 
 
 @case("child_notes", f"""
@@ -272,7 +273,7 @@ def child_notes(spark, d):
     WHERE l_returnflag = 'N' AND l_linestatus = 'F'
 """)
 def cited_in_notes(spark, d):
-    return _tables(spark, d)["edges"].filter("rel = 'cites'").select("src", "ref")
+    return _tables(spark, d).edges.filter("rel = 'cites'").select("src", "ref")
 
 
 @case("title_by_type", f"""
@@ -311,7 +312,7 @@ def creator_types_present(spark, d):
       || 'Nation ' || c_nationkey AS text FROM rec
 """)
 def creator_names(spark, d):
-    return _tables(spark, d)["texts"].filter("field = 'text_creator'").select("id", "text")
+    return _tables(spark, d).texts.filter("field = 'text_creator'").select("id", "text")
 
 
 @case("creator_sort_key", f"""
@@ -389,7 +390,8 @@ def build_documents(spark, d):
     """The full assembly, a column of every kind."""
     languages = F.transform("facet_language", lambda v: v["value"])
     below = F.transform("facet_collection_R1", lambda v: F.array_join(v["path"], "."))
-    return _docs(spark, d).select(
+    options = plan.AssemblyOptions(as_of=AS_OF, collection_roots=("R1",))
+    return plan.Assembly(derived_library(spark, d), options).docs.select(
         "id", "item_type", F.col("item_type_label").alias("type_label"), "year", "date_added",
         "url", "sort_date", "sort_date_added",
         F.array_join(F.sort_array("facet_tag"), "|").alias("tags"),
@@ -446,7 +448,7 @@ def citation_tags(spark, d):
     from facetlake.plans.publish import citation_tags as tagged
 
     made = _tables(spark, d)
-    return tagged(made["docs"], made["attachments"]).select("id", "name", "value")
+    return tagged(made.docs, made.attachments).select("id", "name", "value")
 
 
 # --- hierarchy --------------------------------------------------------------------------
@@ -520,7 +522,7 @@ def in_collection(spark, d):
     UNION ALL SELECT id, 'collection', 'R' || n_regionkey FROM rec JOIN nation ON c_nationkey = n_nationkey
 """)
 def dependencies(spark, d):
-    return _tables(spark, d)["deps"]
+    return _tables(spark, d).deps
 
 
 # --- relations and look-ups -------------------------------------------------------------
@@ -713,8 +715,8 @@ def delete_documents(spark, d):
 """)
 def attachment_manifest(spark, d):
     made = _tables(spark, d)
-    wanted = made["docs"].filter("facet_link").select("id")
-    return refresh.attachment_manifest(made["docs"], made["attachments"], wanted)
+    wanted = made.docs.filter("facet_link").select("id")
+    return refresh.attachment_manifest(made.docs, made.attachments, wanted)
 
 
 @case("manifest_diff", """

@@ -105,10 +105,17 @@ def title_case(c: Column) -> Column:
 
 
 def _lookup(entries: list[tuple[str, str, str]]) -> Column:
-    pairs = []
-    for key, code, name in entries:
-        pairs += [F.lit(key), F.struct(F.lit(code).alias("value"), F.lit(name).alias("label"))]
-    return F.create_map(*pairs)
+    """A constant map from key to code and name, kept together by a control character."""
+    text = "\x1d".join(f"{key}\x1f{code}\x1e{name}" for key, code, name in entries)
+    return F.str_to_map(F.lit(text), F.lit("\x1d"), F.lit("\x1f"))
+
+
+def _pair(found: Column) -> Column:
+    parts = F.split(found, "\x1e", 2)
+    return F.when(
+        found.isNotNull(),
+        F.struct(F.get(parts, F.lit(0)).alias("value"), F.get(parts, F.lit(1)).alias("label")),
+    )
 
 
 def normalize_language(
@@ -149,7 +156,7 @@ def normalize_language(
         def resolve(raw: Column) -> Column:
             value = F.trim(raw)
             code = F.lower(F.regexp_extract(value, r"^[^-_]*", 0))
-            known = (
+            known = _pair(
                 F.when(F.length(code) == 3, F.try_element_at(tables[0], code))
                 .when(F.length(code) == 2, F.try_element_at(tables[1], code))
                 .otherwise(F.try_element_at(tables[2], F.lower(value)))

@@ -90,12 +90,14 @@ _COMMON = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39
 _UNCOMMON = r"&(?!(?:lt|gt|quot|#34|#39|nbsp|amp);)" + _ENTITY[1:]
 
 
+# Named references as one constant: control characters separate names from characters.
+_NAMED = "\x1d".join(
+    f"&{name};\x1f{chr(code)}" for name, code in [*html.entities.name2codepoint.items(), ("apos", 39)]
+)
+
+
 def _decode_entity(entity: Column) -> Column:
-    names = html.entities.name2codepoint
-    table = F.create_map(
-        *[F.lit(v) for name, code in names.items() for v in (f"&{name};", chr(code))],
-        F.lit("&apos;"), F.lit("'"),
-    )
+    table = F.str_to_map(F.lit(_NAMED), F.lit("\x1d"), F.lit("\x1f"))
     hexed = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);$", 1)
     decimal = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
     code = F.when(hexed != "", F.upper(hexed)).when(

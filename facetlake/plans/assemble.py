@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,55 +92,105 @@ def web_url(link_map: Column, key: str = "alternate", media_type: str = "text/ht
     return F.when(link_map[key]["type"] == media_type, link_map[key]["href"])
 
 
+class Assembly:
+    """The document tables of a library, for every item or only for the listed ``id`` keys.
+
+    Each table is planned when first asked for, so a job that needs one pays for one.
+    """
+
+    NAMES = ("docs", "texts", "notes", "links", "attachments", "deps", "edges")
+
+    def __init__(
+        self, library: Library, options: AssemblyOptions | None = None,
+        catalog: Catalog | None = None, keys: DataFrame | None = None,
+    ):
+        self.library = library
+        self.options = options or AssemblyOptions()
+        self.catalog = catalog or default_catalog()
+        self.keys = keys
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.NAMES}
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return decode_json(self.library.item)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The items that become documents, with their data as a map."""
+        parents = top_level_items(self.items)
+        if self.keys is not None:
+            wanted = self.keys.select(F.col("id").alias("item_key"))
+            parents = parents.join(wanted, "item_key", "left_semi")
+        marked = reject_reasons(parents, self.options.item_include, self.options.item_exclude)
+        return marked.filter("status = 'indexed'").drop("status").withColumn(
+            "fields", F.from_json("data", "map<string,string>")
+        )
+
+    def _children(self, kind: str, include, exclude) -> DataFrame:
+        owners = self.kept.select(F.col("item_key").alias("parent_item"))
+        return children.children_of_type(self.items, kind, include, exclude).join(
+            owners, "parent_item", "left_semi"
+        )
+
+    @cached_property
+    def _attached(self) -> DataFrame:
+        return self._children("attachment", self.options.child_include, self.options.child_exclude)
+
+    @cached_property
+    def _note_rows(self) -> DataFrame:
+        return children.child_notes(
+            self._children("note", self.options.child_include, self.options.child_exclude)
+        )
+
+    @cached_property
+    def _wide(self) -> DataFrame:
+        as_of = F.lit(self.options.as_of) if self.options.as_of else F.current_date()
+        return _documents(self.library, self.kept, self.options, as_of)
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return self._wide.drop("fields", "text_collections")
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        fulltext = children.child_fulltext(
+            self._attached, self.library.item_file, self.library.item_fulltext,
+            self.options.media_types,
+        )
+        return _texts(self._wide, self._note_rows, fulltext, self.catalog)
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        return self._note_rows.select("id", "child_key", "note")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return children.child_links(self._attached)
+
+    @cached_property
+    def attachments(self) -> DataFrame:
+        files = children.child_files(
+            self._attached, self.library.item_file, self.options.media_types
+        )
+        return files if self.options.with_files else files.filter(F.lit(False))
+
+    @cached_property
+    def deps(self) -> DataFrame:
+        return _dependencies(self.library, self.kept, self.items)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return _edges(self.kept, self._children("note", self.options.cites_tag, ""))
+
+
 def assemble(
     library: Library, options: AssemblyOptions | None = None, catalog: Catalog | None = None,
     keys: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All document tables, for every item or only for the listed ``id`` keys."""
-    options = options or AssemblyOptions()
-    catalog = catalog or default_catalog()
-    as_of = F.lit(options.as_of) if options.as_of else F.current_date()
-
-    items = decode_json(library.item)
-    parents = top_level_items(items)
-    offspring = items.filter(F.col("parent_item").isNotNull())
-    if keys is not None:
-        wanted = keys.select(F.col("id").alias("item_key"))
-        parents = parents.join(wanted, "item_key", "left_semi")
-        offspring = offspring.join(
-            keys.select(F.col("id").alias("parent_item")), "parent_item", "left_semi"
-        )
-    kept = reject_reasons(parents, options.item_include, options.item_exclude)
-    kept = kept.filter("status = 'indexed'").drop("status")
-    kept = kept.withColumn("fields", F.from_json("data", "map<string,string>"))
-    kept_ids = kept.select(F.col("item_key").alias("parent_item"))
-
-    def own_children(kind: str, include, exclude) -> DataFrame:
-        chosen = children.children_of_type(offspring, kind, include, exclude)
-        return chosen.join(kept_ids, "parent_item", "left_semi")
-
-    notes = own_children("note", options.child_include, options.child_exclude)
-    attachments = own_children("attachment", options.child_include, options.child_exclude)
-    citing = own_children("note", options.cites_tag, "")
-
-    docs = _documents(library, kept, options, as_of)
-    note_rows = children.child_notes(notes)
-    fulltext = children.child_fulltext(
-        attachments, library.item_file, library.item_fulltext, options.media_types
-    )
-    files = children.child_files(attachments, library.item_file, options.media_types)
-    if not options.with_files:
-        files = files.limit(0)
-
-    return {
-        "docs": docs.drop("fields", "text_collections"),
-        "texts": _texts(docs, note_rows, fulltext, catalog),
-        "notes": note_rows.select("id", "child_key", "note"),
-        "links": children.child_links(attachments),
-        "attachments": files,
-        "deps": _dependencies(library, kept, items),
-        "edges": _edges(kept, citing),
-    }
+    """All document tables at once."""
+    return Assembly(library, options, catalog, keys).tables()
 
 
 def _documents(

@@ -128,7 +128,7 @@ def url_inventory(
 def freshness(state: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Last change and hours since, three decimals."""
     now = F.current_timestamp() if as_of is None else as_of
-    seconds = F.unix_micros(now) - F.unix_micros("ended_on")
+    seconds = F.unix_micros(now) - F.unix_micros(F.col("ended_on").cast("timestamp"))
     return state.select(
         F.col("ended_on").alias("when"),
         F.round(seconds / F.lit(3_600_000_000), 3).alias("hours_ago"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
@@ -23,6 +24,7 @@ def local_session(name: str = "facetlake", cores: str = "*", **conf: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     return spark
 
 
