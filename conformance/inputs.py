@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetlake.operators.index_tables import TermIndex, build_term_index
 from facetlake.plans.catalog import Catalog, FacetSpec, IndexField, SortSpec
 from facetlake.session import scratch_dir
+from facetlake.sources.store import write_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,10 +65,10 @@ def document_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def fresh_index(spark: SparkSession, folder: str) -> TermIndex:
+def fresh_index(spark: SparkSession, folder: str, materialize: bool = False) -> TermIndex:
     """Term tables of the documents, computed now."""
     ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
-    return build_term_index(ids, document_texts(spark, folder), FIELDS)
+    return build_term_index(ids, document_texts(spark, folder), FIELDS, materialize)
 
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -82,17 +83,9 @@ def stored_index(spark: SparkSession, folder: str) -> TermIndex:
     if key not in _BUILT:
         digest = hashlib.sha256("/".join(key).encode()).hexdigest()[:16]
         root = f"{scratch_dir(spark)}/term-index-{digest}"
-        index = fresh_index(spark, folder)
-        for name in ("postings", "positions"):
-            keys = ["field", "term", "id"]
-            getattr(index, name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(
-                "overwrite"
-            ).partitionBy("field").parquet(f"{root}/{name}")
-        postings = spark.read.parquet(f"{root}/postings")
-        from facetlake.operators.index_tables import field_stats, term_stats
-
-        term_stats(postings).write.mode("overwrite").parquet(f"{root}/term_stats")
-        field_stats(postings, index.ids).write.mode("overwrite").parquet(f"{root}/field_stats")
+        index = fresh_index(spark, folder, materialize=True)
+        for name in TermIndex.names()[1:]:
+            write_table(getattr(index, name), name, f"{root}/{name}")
         _BUILT[key] = root
     root = _BUILT[key]
     ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from facetlake.functions.paths import path_prefixes
+from facetlake.functions.paths import evaluate_once
 
 _PARTIAL = r"^([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2}))?)?"
 
 
 def _number(c: Column, group: int, default: int) -> Column:
     digits = F.regexp_extract(c, _PARTIAL, group)
-    return F.when(digits == "", F.lit(default)).otherwise(digits.try_cast("int"))
+    return F.when(c.isNotNull(), F.coalesce(digits.try_cast("int"), F.lit(default)))
 
 
 def partial_date(
@@ -29,6 +29,10 @@ def partial_date(
 def maximize_date(parts: Column, as_of: Column | None = None) -> Column:
     """Complete missing (zero) parts with the latest possible value, not after ``as_of``."""
     as_of = F.current_date() if as_of is None else as_of
+    return evaluate_once(parts, lambda p: _maximized(p, as_of))
+
+
+def _maximized(parts: Column, as_of: Column) -> Column:
     y, m, d = parts["year"], parts["month"], parts["day"]
     this_year, this_month, today = F.year(as_of), F.month(as_of), F.dayofmonth(as_of)
 
@@ -68,11 +72,16 @@ def year_of(c: Column) -> Column:
 
 def year_path(c: Column) -> Column:
     """Century, decade and year prefixes."""
-    year = partial_date(c)["year"]
-    levels = F.array(
-        F.floor(year / 100) * 100, F.floor(year / 10) * 10, year.cast("bigint")
-    ).cast("array<string>")
-    return F.when(c != "", path_prefixes(levels))
+    return F.when(c != "", evaluate_once(partial_date(c)["year"], _year_prefixes))
+
+
+def _year_prefixes(year: Column) -> Column:
+    century = (year - F.pmod(year, F.lit(100))).cast("string")
+    decade = (year - F.pmod(year, F.lit(10))).cast("string")
+    return F.array(
+        F.array(century), F.array(century, decade),
+        F.array(century, decade, year.cast("string")),
+    )
 
 
 def year_path_label(path: Column, as_of_year: Column | int) -> Column:
@@ -80,8 +89,8 @@ def year_path_label(path: Column, as_of_year: Column | int) -> Column:
     now = F.lit(as_of_year) if isinstance(as_of_year, int) else as_of_year
     start = F.element_at(path, -1).try_cast("int")
     end = F.least(start + F.when(F.size(path) == 1, 99).otherwise(9), now)
-    span = F.when(start == end, F.format_string("In %d", end)).otherwise(
-        F.format_string("Between %d and %d", start, end)
+    span = F.when(start == end, F.concat(F.lit("In "), end)).otherwise(
+        F.concat(F.lit("Between "), start, F.lit(" and "), end)
     )
     return F.when(F.size(path) >= 3, F.element_at(path, -1)).otherwise(span)
 
@@ -94,9 +103,11 @@ def sort_date(c: Column) -> Column:
 
 def filter_date(parsed: Column, added: Column, as_of: Column | None = None) -> Column:
     """Latest day the publication date can mean, else the instant of addition."""
-    p = maximize_date(partial_date(parsed), as_of)
     zero = F.lit(0)
-    published = F.try_make_timestamp(p["year"], p["month"], p["day"], zero, zero, zero)
+    published = evaluate_once(
+        maximize_date(partial_date(parsed), as_of),
+        lambda p: F.try_make_timestamp(p["year"], p["month"], p["day"], zero, zero, zero),
+    )
     return F.coalesce(F.when(parsed != "", published), iso_instant(added))
 
 

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def evaluate_once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` computed once, however often the body refers to it.
+
+    Inside lambdas and conditional branches Spark does not share equal subexpressions, so a
+    pattern search used several times there would run several times per row.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def path_prefixes(path: Column) -> Column:
     """Every prefix of a path, shortest first."""
-    return F.when(
-        F.size(path) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.slice(path, F.lit(1), n)),
-    ).otherwise(F.slice(F.array(path), 1, 0))
+    def prefixes(p: Column) -> Column:
+        every = F.transform(
+            F.sequence(F.lit(1), F.size(p)), lambda n: F.slice(p, F.lit(1), n)
+        )
+        return F.when(F.size(p) > 0, every).otherwise(F.slice(F.array(p), 1, 0))
+
+    return evaluate_once(path, prefixes)
 
 
 def is_ancestor(ancestor: Column, descendant: Column) -> Column:

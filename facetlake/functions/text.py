@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import evaluate_once
+
 # Joins the parts of a multi-part text; it is a token of its own, so phrases stop at it.
 RECORD_SEPARATOR = "\x1e"
 
@@ -112,6 +114,10 @@ def _decode_entity(entity: Column) -> Column:
 
 def unescape_entities(c: Column) -> Column:
     """Character references to characters, each decoded once."""
+    return evaluate_once(c, _unescaped)
+
+
+def _unescaped(c: Column) -> Column:
     simple = c
     for entity, char in _COMMON:
         simple = F.replace(simple, F.lit(entity), F.lit(char))

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import evaluate_once
 from facetlake.functions.text import normalize_words
 from facetlake.functions.values import any_of, boolean_label
 from facetlake.operators.filters import facet_matches
@@ -54,7 +55,9 @@ def facet_entries(spec: FacetSpec) -> Column:
     if spec.missing_label is None:
         return entries
     missing = F.array(_entry(spec, F.lit(None), F.lit(spec.missing_label)))
-    return F.when(F.size(entries) == 0, missing).otherwise(entries)
+    return evaluate_once(
+        entries, lambda e: F.when(F.size(e) == 0, missing).otherwise(e)
+    )
 
 
 def facet_values(df: DataFrame, specs: Sequence[FacetSpec], *keep: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from facetlake.functions.stemming import stem_terms
 from facetlake.functions.text import fold_accents, tokenize
 from facetlake.plans.catalog import IndexField
+from facetlake.session import cut_lineage
 
 
 @dataclass
@@ -56,7 +57,10 @@ def token_positions(
     if with_length:
         parts = parts.withColumn("len", F.size("tokens").cast("bigint"))
         group.append("len")
-    words = parts.select(*group, F.posexplode("tokens").alias("pos", "token"))
+    # The outer form keeps the optimiser from testing the array for emptiness below the
+    # exchange, which would split every text twice, the first time as few tasks as files.
+    words = parts.select(*group, F.posexplode_outer("tokens").alias("pos", "token"))
+    words = words.filter(F.col("token").isNotNull())
     grouped = words.groupBy(*group, F.col("token").alias("term")).agg(
         F.sort_array(F.collect_list("pos")).alias("positions")
     )
@@ -71,21 +75,31 @@ def token_positions(
 
 
 def build_term_index(
-    ids: DataFrame, texts: DataFrame, index_fields: Sequence[IndexField]
+    ids: DataFrame, texts: DataFrame, index_fields: Sequence[IndexField],
+    materialize: bool = False,
 ) -> TermIndex:
-    """All term tables of a corpus."""
+    """All term tables of a corpus.
+
+    ``materialize`` lays down the positions once, for callers that write several tables: all
+    others are small reductions of them.
+    """
     multi = [f.name for f in index_fields if f.multi_part]
     known = [f.name for f in index_fields]
     texts = texts.filter(F.col("field").isin(known))
 
     # One value per document and field: the field length is known within the row.
-    single = token_positions(texts.filter(~F.col("field").isin(multi)), index_fields, True)
+    laid_down = cut_lineage if materialize else (lambda df: df)
+    single = laid_down(
+        token_positions(texts.filter(~F.col("field").isin(multi)), index_fields, True)
+    )
     postings = single.select(
         "field", "term", "id", F.size("positions").cast("bigint").alias("tf"), "len"
     )
     positions = single.drop("len")
     if multi:
-        several = token_positions(texts.filter(F.col("field").isin(multi)), index_fields)
+        several = laid_down(
+            token_positions(texts.filter(F.col("field").isin(multi)), index_fields)
+        )
         counted = several.groupBy("field", "term", "id").agg(
             F.sum(F.size("positions")).alias("tf")
         )

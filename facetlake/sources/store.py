@@ -40,6 +40,21 @@ LAYOUT: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 }
 
 
+def write_table(df: DataFrame, name: str, path: str) -> None:
+    """Write one table in its layout.
+
+    Range keys end with a unique column, so a frequent value spans several files.
+    """
+    partitions, order = LAYOUT.get(name, ((), ()))
+    if order:
+        keys = [*partitions, *order]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    writer = df.write.mode("overwrite")
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    writer.parquet(path)
+
+
 class DocumentStore:
     """Reads and replaces the document tables below one folder."""
 
@@ -94,15 +109,7 @@ class DocumentStore:
         number = (previous["number"] if previous else 0) + 1
         folder = f"{self.root}/versions/{number:08d}-{batch or uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            partitions, order = LAYOUT.get(name, ((), ()))
-            if order:
-                # Range keys end with a unique column, so one frequent value spans files.
-                keys = [*partitions, *order]
-                df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            writer = df.write.mode("overwrite")
-            if partitions:
-                writer = writer.partitionBy(*partitions)
-            writer.parquet(f"{folder}/{name}")
+            write_table(df, name, f"{folder}/{name}")
         row = [(number, folder, ",".join(sorted(tables)), library_version, synced_on)]
         self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/commits"
