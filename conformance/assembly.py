@@ -805,6 +805,43 @@ def url_inventory(spark, d):
     return inventory(docs).select("id", "position", "page", "page_count_upper")
 
 
+# --- store and stream -------------------------------------------------------------------
+
+
+def _store(spark, name):
+    import uuid
+
+    from facetlake.session import scratch_dir
+
+    return store.DocumentStore(spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@case("read_index", "SELECT doc_id AS id, lang, n_chars FROM documents")
+def read_index(spark, d):
+    """Documents published as a version, then opened with a check of their columns."""
+    published = _store(spark, "store")
+    published.publish({"docs": documents(spark, d).select("id", "lang", "n_chars")})
+    return published.open(["id", "lang", "n_chars"]).select("id", "lang", "n_chars")
+
+
+@case("refresh_stream", """
+    SELECT user_id AS id, max(event_id) AS version, arg_max(event_type, event_id) AS kind
+    FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'
+""")
+def refresh_stream(spark, d):
+    """Events as changes of their user's row; an error deletes it."""
+    from facetlake.streaming.refresh import refresh_stream as refreshed
+
+    kept = _store(spark, "stream")
+    schema = table(spark, d, "events").schema
+    changes = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("version"),
+        F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("deleted"))
+    query = refreshed(changes, kept, f"{kept.root}/checkpoint")
+    query.awaitTermination()
+    return kept.read("docs").select("id", "version", "kind")
+
+
 @case("facet_pairs", "SELECT o_orderkey AS id, o_orderstatus AS value, o_orderpriority AS label FROM orders")
 def facet_pairs(spark, d):
     pair = labelled(F.col("o_orderstatus"), F.col("o_orderpriority"))

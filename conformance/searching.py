@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from conformance.inputs import (
@@ -563,7 +561,7 @@ def facet_order(spark, d):
     from pyspark.sql import Window
 
     rows = _counts(spark, d, {"source": ["src3"]}).filter("facet = 'source'")
-    window = Window.partitionBy("facet").orderBy(*facets.facet_order(FACETS[1]))
+    window = Window.partitionBy("facet").orderBy(*facets.directed_order(FACETS[1]))
     return rows.select("value", "count", F.row_number().over(window).alias("place"))
 
 

@@ -84,8 +84,13 @@ def collection_names(membership: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def tags_of_items(item_tags: DataFrame, items: DataFrame) -> DataFrame:
-    """Items with the distinct tags recorded for them."""
-    tags = item_tags.groupBy("id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    """Items with the distinct tags recorded for them.
+
+    Repeated tags go before any row moves, so an item's group holds its distinct tags only.
+    Assembly does not need this join: an item's own data lists its tags.
+    """
+    distinct = item_tags.select("id", "tag").distinct()
+    tags = distinct.groupBy("id").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
     return items.join(tags, "id", "left")
 
 

@@ -8,6 +8,7 @@ value of its own.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from facetlake.functions.text import normalize_words
 from facetlake.functions.values import any_of, boolean_label
 from facetlake.operators.filters import facet_matches
 from facetlake.plans.catalog import FacetSpec
+from facetlake.session import cut_lineage
 
 ENTRY = "array<struct<facet:string,value:string,label:string>>"
 
@@ -140,7 +142,10 @@ def facets_of_item(docs: DataFrame, specs: Sequence[FacetSpec], id_column: str)
 
 
 def facet_order(spec: FacetSpec) -> list[Column]:
-    """Active first, missing label last, then the sort keys; reversing turns all of it."""
+    """Active first, missing label last, then the sort keys.
+
+    A reversed facet sorts all of these columns descending.
+    """
     if not spec.sort_by:
         return []
     no_label = F.coalesce(F.col("label"), F.lit("")) == ""
@@ -148,9 +153,13 @@ def facet_order(spec: FacetSpec) -> list[Column]:
     for key in spec.sort_by:
         keys.append(-F.col("count") if key == "count" else
                     normalize_words(F.coalesce(F.col(key), F.lit(""))))
-    return [k.desc() if spec.sort_reverse else k.asc() for k in keys] + [
-        F.col("value").asc_nulls_last()
-    ]
+    return keys
+
+
+def directed_order(spec: FacetSpec) -> list[Column]:
+    """O9 with its direction, and the value as tie breaker."""
+    keys = [k.desc() if spec.sort_reverse else k.asc() for k in facet_order(spec)]
+    return [*keys, F.col("value").asc_nulls_last()] if keys else []
 
 
 def ordered_facet(counts: DataFrame, spec: FacetSpec) -> DataFrame:
@@ -158,7 +167,8 @@ def ordered_facet(counts: DataFrame, spec: FacetSpec) -> DataFrame:
     rows = counts.filter(F.col("facet") == spec.key)
     if spec.missing_label is None:
         rows = rows.filter(F.col("value").isNotNull())
-    return rows.orderBy(*facet_order(spec))
+    order = directed_order(spec)
+    return rows.orderBy(*order) if order else rows
 
 
 def limit_with_leeway(counts: DataFrame, specs: Sequence[FacetSpec]) -> DataFrame:
@@ -166,26 +176,27 @@ def limit_with_leeway(counts: DataFrame, specs: Sequence[FacetSpec]) -> DataFram
 
     The rank filter bounds every partition before the shuffle (per-group limit), so a facet
     with very many values never meets in one task; the totals come from a combined count.
+    Facets that sort alike are ranked together.
     """
-    totals = counts.groupBy("facet").agg(F.count(F.lit(1)).alias("n_values"))
-    limited = []
-    for spec in specs:
-        rows = counts.filter(F.col("facet") == spec.key)
-        most = spec.initial_limit + spec.initial_leeway
-        if not spec.initial_limit:
-            limited.append(rows.withColumn("shown", F.lit(True)))
-            continue
-        window = Window.partitionBy("facet").orderBy(*facet_order(spec))
-        ranked = rows.withColumn("rank", F.row_number().over(window)).filter(
-            F.col("rank") <= most
-        )
-        limited.append(
-            ranked.join(totals, "facet")
-            .filter((F.col("rank") <= spec.initial_limit) | (F.col("n_values") <= most))
-            .drop("rank", "n_values")
-            .withColumn("shown", F.lit(True))
+    # The documents are read once: ranks and totals below start from the laid down counts.
+    counts = cut_lineage(counts)
+    unlimited = [s.key for s in specs if not s.initial_limit]
+    parts = [counts.filter(F.col("facet").isin(unlimited))] if unlimited else []
+    limited = [s for s in specs if s.initial_limit]
+    for sort_by, reverse in dict.fromkeys((s.sort_by, s.sort_reverse) for s in limited):
+        group = [s for s in limited if (s.sort_by, s.sort_reverse) == (sort_by, reverse)]
+        rows = counts.filter(F.col("facet").isin([s.key for s in group]))
+        totals = rows.groupBy("facet").agg(F.count(F.lit(1)).alias("n_values"))
+        order = directed_order(group[0]) or [F.col("value").asc_nulls_last()]
+        window = Window.partitionBy("facet").orderBy(*order)
+        most = max(s.initial_limit + s.initial_leeway for s in group)
+        ranked = rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= most)
+        shown = any_of(
+            (F.col("facet") == s.key) & (
+                (F.col("rank") <= s.initial_limit)
+                | (F.col("n_values") <= s.initial_limit + s.initial_leeway)
+            )
+            for s in group
         )
-    out = limited[0]
-    for rows in limited[1:]:
-        out = out.unionByName(rows)
-    return out.drop("shown")
+        parts.append(ranked.join(totals, "facet").filter(shown).select(*counts.columns))
+    return reduce(DataFrame.unionByName, parts)
