@@ -34,24 +34,20 @@ def maximize_date(parts: Column, as_of: Column | None = None) -> Column:
 
 def _maximized(parts: Column, as_of: Column) -> Column:
     y, m, d = parts["year"], parts["month"], parts["day"]
-    this_year, this_month, today = F.year(as_of), F.month(as_of), F.dayofmonth(as_of)
-
-    year = F.when(y == 0, this_year).otherwise(y)
-    month = F.when(y == 0, this_month).otherwise(m)
-    day = F.when(y == 0, today).otherwise(d)
-
-    same_year = year == this_year
-    open_month = month == 0
-    day = F.when(open_month & same_year, today).otherwise(day)
-    month = F.when(open_month, F.when(same_year, this_month).otherwise(12)).otherwise(month)
-
+    # The known parts are those of today (or there are none): today it is.
+    this_month = (y == F.year(as_of)) & (
+        (m == 0) | ((m == F.month(as_of)) & (d == 0))
+    )
+    today = (y == 0) | this_month
     zero = F.lit(0)
-    first = F.try_make_timestamp(year, month, F.lit(1), zero, zero, zero)
-    month_end = F.dayofmonth(F.last_day(first))
-    day = F.when(
-        day == 0, F.when(same_year & (month == this_month), today).otherwise(month_end)
-    ).otherwise(day)
-    return F.struct(year.alias("year"), month.alias("month"), day.alias("day"))
+    month = F.when(m == 0, 12).otherwise(m)
+    first = F.try_make_timestamp(y, month, F.lit(1), zero, zero, zero)
+    day = F.when(d == 0, F.dayofmonth(F.last_day(first))).otherwise(d)
+    return F.struct(
+        F.when(today, F.year(as_of)).otherwise(y).alias("year"),
+        F.when(today, F.month(as_of)).otherwise(month).alias("month"),
+        F.when(today, F.dayofmonth(as_of)).otherwise(day).alias("day"),
+    )
 
 
 def iso_instant(c: Column) -> Column:

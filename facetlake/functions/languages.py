@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import evaluate_once, none_if_empty
+
 # Fixed values, ISO 639: code of three letters, of two letters, bibliographic code, English name.
 LANGUAGES: tuple[tuple[str, str, str, str], ...] = tuple(
     tuple(line.split("|"))
@@ -111,10 +113,11 @@ def _lookup(entries: list[tuple[str, str, str]]) -> Column:
 
 
 def _pair(found: Column) -> Column:
-    parts = F.split(found, "\x1e", 2)
-    return F.when(
-        found.isNotNull(),
-        F.struct(F.get(parts, F.lit(0)).alias("value"), F.get(parts, F.lit(1)).alias("label")),
+    return evaluate_once(
+        F.split(found, "\x1e", 2),
+        lambda parts: F.when(parts.isNotNull(), F.struct(
+            F.get(parts, F.lit(0)).alias("value"), F.get(parts, F.lit(1)).alias("label")
+        )),
     )
 
 
@@ -153,8 +156,7 @@ def normalize_language(
             )
         ]
 
-        def resolve(raw: Column) -> Column:
-            value = F.trim(raw)
+        def resolve(value: Column) -> Column:
             code = F.lower(F.regexp_extract(value, r"^[^-_]*", 0))
             known = _pair(
                 F.when(F.length(code) == 3, F.try_element_at(tables[0], code))
@@ -169,6 +171,6 @@ def normalize_language(
             )
             return F.coalesce(known, unknown)
 
-        pairs = F.filter(F.transform(pieces, resolve), lambda p: p.isNotNull())
-    distinct = F.array_distinct(pairs)
-    return F.when(F.size(distinct) > 0, distinct)
+        trimmed = F.transform(pieces, lambda v: F.trim(v))
+        pairs = F.filter(F.transform(trimmed, resolve), lambda p: p.isNotNull())
+    return none_if_empty(F.array_distinct(pairs))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import evaluate_once, none_if_empty
 from facetlake.functions.text import RECORD_SEPARATOR, sort_key_text, strip_rich_text
 
 
@@ -16,23 +17,30 @@ def _clean(c: Column) -> Column:
 
 
 def _searchable(creator: Column) -> Column:
-    first, last = _clean(creator["firstName"]), _clean(creator["lastName"])
     whole = F.when(F.coalesce(creator["name"], F.lit("")) != "", _clean(creator["name"]))
-    both = (first != "") & (last != "")
-    forms = F.array(
-        whole,
-        F.when(both, F.concat_ws(" ", first, last))
-        .when(first != "", first)
-        .when(last != "", last),
-        F.when(both, F.concat_ws(", ", last, first)),
+    cleaned = F.struct(
+        whole.alias("whole"), _clean(creator["firstName"]).alias("first"),
+        _clean(creator["lastName"]).alias("last"),
     )
-    return F.array_compact(forms)
+
+    def forms(c: Column) -> Column:
+        first, last = c["first"], c["last"]
+        both = (first != "") & (last != "")
+        return F.array_compact(F.array(
+            c["whole"],
+            F.when(both, F.concat_ws(" ", first, last))
+            .when(first != "", first)
+            .when(last != "", last),
+            F.when(both, F.concat_ws(", ", last, first)),
+        ))
+
+    return evaluate_once(cleaned, forms)
 
 
 def creator_names(creators: Column) -> Column:
     """Every spelling of every creator as one multi-part text."""
-    forms = F.flatten(F.transform(creators, _searchable))
-    return F.when(F.size(forms) > 0, F.array_join(forms, RECORD_SEPARATOR))
+    forms = none_if_empty(F.flatten(F.transform(creators, _searchable)))
+    return F.array_join(forms, RECORD_SEPARATOR)
 
 
 def primary_creators(creators: Column, type_order: Column) -> Column:
@@ -41,8 +49,9 @@ def primary_creators(creators: Column, type_order: Column) -> Column:
         F.transform(creators, lambda c: F.array_position(type_order, c["creatorType"])),
         lambda r: r > 0,
     )
-    best = F.array_min(ranks)
-    return F.filter(creators, lambda c: F.array_position(type_order, c["creatorType"]) == best)
+    return evaluate_once(F.array_min(ranks), lambda best: F.filter(
+        creators, lambda c: F.array_position(type_order, c["creatorType"]) == best
+    ))
 
 
 def creator_sort_key(creators: Column, type_order: Column) -> Column:

@@ -17,6 +17,11 @@ def evaluate_once(c: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+def none_if_empty(c: Column) -> Column:
+    """An array, or NULL instead of an empty one."""
+    return evaluate_once(c, lambda values: F.when(F.size(values) > 0, values))
+
+
 def path_prefixes(path: Column) -> Column:
     """Every prefix of a path, shortest first."""
     def prefixes(p: Column) -> Column:

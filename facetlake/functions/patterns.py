@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import none_if_empty
+
 # Forms of a library item URI; group 6 is the item id.
 LIBRARY_HOST = "zotero.org"
 APP_SCHEME = "zotero"
@@ -94,4 +96,4 @@ def alternate_ids(
     every = F.flatten(
         F.array(single, identifier_lines(extra), item_ids_in_uris(replaced_uris))
     )
-    return F.when(F.size(every) > 0, every)
+    return none_if_empty(every)

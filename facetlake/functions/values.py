@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import none_if_empty
+
 ColumnFunction = Callable[[Column], Column]
 
 
@@ -20,7 +22,7 @@ def merge_values(*columns: Column) -> Column:
     """M2: one list of array columns and non-empty scalars wrapped by ``as_list``."""
     merged = F.flatten(F.array(*[F.coalesce(c, F.expr("CAST(array() AS array<string>)"))
                                  for c in columns]))
-    return F.when(F.size(merged) > 0, merged)
+    return none_if_empty(merged)
 
 
 def as_list(c: Column) -> Column:

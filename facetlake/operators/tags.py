@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.paths import none_if_empty
 from facetlake.functions.values import all_of
 
 
@@ -50,4 +51,4 @@ def tag_filter(tags: Column, include: str = "", exclude: str = "") -> Column:
         return ok
 
     kept = F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), accepted))
-    return F.when(F.size(kept) > 0, kept)
+    return none_if_empty(kept)

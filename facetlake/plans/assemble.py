@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.functions import dates, languages, names, patterns, text, values
+from facetlake.functions.paths import evaluate_once
 from facetlake.operators import children, dimensions, hierarchy, tags
 from facetlake.plans.catalog import ITEM_FIELD_PREFIX, Catalog, default_catalog
 from facetlake.sources.library import Library, decode_json
@@ -59,11 +60,13 @@ def reject_reasons(
 
 def relation_refs(relations: Column, predicate: str) -> Column:
     """M8: values of one predicate as a list; empty without any."""
+    def as_array(value: Column) -> Column:
+        return F.when(
+            F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")
+        ).when(value != "", F.array(value))
+
     value = F.from_json(relations, "map<string,string>")[predicate]
-    listed = F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")).when(
-        value != "", F.array(value)
-    )
-    return F.coalesce(listed, F.expr(patterns.EMPTY))
+    return F.coalesce(evaluate_once(value, as_array), F.expr(patterns.EMPTY))
 
 
 def collection_nodes(collection: DataFrame) -> DataFrame:
