@@ -6,12 +6,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from conformance.derived_library import RECORDS_SQL, derived_library
+from conformance.derived_library import RECORDS_SQL, URI, derived_library
 from conformance.inputs import (
     GEOGRAPHY_SQL, documents, geography, sql_words, table,
 )
 from conformance.registry import case
 from facetlake.functions import names
+from facetlake.functions.patterns import APP_SCHEME
 from facetlake.functions.values import labelled
 from facetlake.operators import children, dimensions, facets, hierarchy, lookups, relations
 from facetlake.plans import assemble as plan
@@ -258,7 +259,7 @@ def child_links(spark, d):
 
 @case("child_notes", f"""
     WITH {RECORDS_SQL}
-    SELECT id, child_key, 'Line ' || l_linenumber || ' ships & cites itsee http://zotero.org/groups/1/items/O'
+    SELECT id, child_key, 'Line ' || l_linenumber || ' ships & cites itsee {URI}O'
       || (l_suppkey + 1) AS text
     FROM kids WHERE l_returnflag = 'N'
 """)
@@ -363,7 +364,7 @@ def relation_refs(spark, d):
 
 @case("app_and_web_links", f"""
     WITH {RECORDS_SQL}
-    SELECT id, 'zotero://select/groups/1/items/' || id AS app_url,
+    SELECT id, '{APP_SCHEME}://select/groups/1/items/' || id AS app_url,
            'https://library.example.org/' || o_orderkey AS web_url FROM rec
 """)
 def app_and_web_links(spark, d):

@@ -51,9 +51,9 @@ def _maximized(parts: Column, as_of: Column) -> Column:
 
 
 def iso_instant(c: Column) -> Column:
-    """D3: strict ``yyyy-MM-ddTHH:mm:ssZ`` read as UTC; anything else is NULL."""
+    """D3: strict ``yyyy-MM-ddTHH:mm:ssZ`` as an instant, whatever the session zone; else NULL."""
     strict = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), c)
-    return F.try_to_timestamp(strict, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.try_to_timestamp(strict, F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
 
 
 def iso_epoch(c: Column) -> Column:

@@ -103,6 +103,8 @@ class DocumentStore:
     ) -> str:
         """Write all tables of a new version, then commit it; returns its folder.
 
+        One writer at a time: readers may come and go, but refreshes must not overlap.
+
         ``batch`` names the folder, so that a repeated batch overwrites its own attempt.
         """
         previous = self.latest()
