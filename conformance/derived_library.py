@@ -26,7 +26,7 @@ def line_key(prefix: str = "") -> str:
 
 def derived_library(spark: SparkSession, d: str) -> Library:
     lines, records = table(spark, d, "lineitem"), _records(spark, d)
-    children = _children(lines)
+    children = _children(lines.repartition("l_orderkey", "l_linenumber"))
     types = ("book", "conferencePaper", "journalArticle", "report", "thesis")
     fields = ["title", "abstractNote", "date", "DOI", "extra"]
     first = {"thesis": "subject"}
@@ -120,9 +120,9 @@ def _collections(spark: SparkSession, d: str) -> DataFrame:
 def _records(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select(
         "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
-    orders = table(spark, d, "orders").join(
-        customers, F.col("o_custkey") == F.col("c_custkey")
-    ).withColumns({
+    # The given tables are single files: rows are spread before the costly JSON work.
+    spread = table(spark, d, "orders").repartition("o_orderkey")
+    orders = spread.join(customers, F.col("o_custkey") == F.col("c_custkey")).withColumns({
         "item_type": F.expr(TYPES),
         "day": F.date_format("o_orderdate", "yyyy-MM-dd"),
         "stamp": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
