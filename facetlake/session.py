@@ -8,6 +8,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CHOSEN: dict[str, str] = {}
+
 
 def local_session(name: str = "facetlake", cores: str = "*", **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
@@ -31,18 +33,20 @@ def local_session(name: str = "facetlake", cores: str = "*", **conf: str) -> Spa
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for materialised intermediate tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local session may fall back to a temporary
-    folder: on a cluster a machine-local path is invisible to the other executors.
+    Taken from ``spark.checkpoint.dir``; where that is unset, a local session gets a folder of
+    its own. On a cluster a machine-local path is invisible to the other executors, so there the
+    setting is required. ``spark.checkpoint.dir`` cannot be set once a session runs: the chosen
+    folder is kept here, per application.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _CHOSEN.get(context.applicationId)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="facetlake-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        folder = _CHOSEN[context.applicationId] = tempfile.mkdtemp(prefix="facetlake-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
