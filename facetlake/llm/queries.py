@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm import sql
+from facetlake.llm.quality import judge_quality
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -45,7 +46,13 @@ def op7_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_rows(table(spark, folder, "documents"), 8)
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's counts and verdict."""
+    return judge_quality(table(spark, folder, "documents"))
+
+
 LLM_CASES: dict[str, LlmCase] = {
     "op2_url_filter": LlmCase(op2_url_filter, sql.URL_FILTER),
     "op7_jump_shards": LlmCase(op7_jump_shards, sql.jump_shards(8)),
+    "op10_quality_rules": LlmCase(op10_quality_rules),
 }
