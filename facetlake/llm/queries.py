@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from facetlake.llm import sql
 from facetlake.llm.quality import judge_quality
+from facetlake.llm.privacy import span_digest, span_table
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -51,7 +52,13 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's spans of personal data."""
+    return span_digest(span_table(table(spark, folder, "documents")))
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op8_personal_data": LlmCase(op8_personal_data),
     "op2_url_filter": LlmCase(op2_url_filter, sql.URL_FILTER),
     "op7_jump_shards": LlmCase(op7_jump_shards, sql.jump_shards(8)),
     "op10_quality_rules": LlmCase(op10_quality_rules),
