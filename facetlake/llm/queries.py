@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm import sql
 from facetlake.llm.quality import judge_quality
 from facetlake.llm.privacy import span_digest, span_table
+from facetlake.llm.bpe import decode_documents, encode_documents
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -57,7 +59,21 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(span_table(table(spark, folder, "documents")))
 
 
+def op1_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids and what they decode to, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode_documents(table(spark, folder, "documents"), path, pattern)
+    decoded = decode_documents(encoded, path, pattern)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op1_byte_pairs": LlmCase(op1_byte_pairs),
     "op8_personal_data": LlmCase(op8_personal_data),
     "op2_url_filter": LlmCase(op2_url_filter, sql.URL_FILTER),
     "op7_jump_shards": LlmCase(op7_jump_shards, sql.jump_shards(8)),
