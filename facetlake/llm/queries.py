@@ -13,6 +13,7 @@ from facetlake.llm import sql
 from facetlake.llm.quality import judge_quality
 from facetlake.llm.privacy import span_digest, span_table
 from facetlake.llm.bpe import decode_documents, encode_documents
+from facetlake.llm.packing import pack_documents
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -72,7 +73,14 @@ def op1_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens, packed into sequences of at most 4096."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, folder, "documents"), path)
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op3_best_fit_packing": LlmCase(op3_best_fit_packing),
     "op1_byte_pairs": LlmCase(op1_byte_pairs),
     "op8_personal_data": LlmCase(op8_personal_data),
     "op2_url_filter": LlmCase(op2_url_filter, sql.URL_FILTER),
