@@ -14,6 +14,8 @@ from facetlake.llm.quality import judge_quality
 from facetlake.llm.privacy import span_digest, span_table
 from facetlake.llm.bpe import decode_documents, encode_documents
 from facetlake.llm.packing import pack_documents
+from facetlake.llm.near_duplicates import near_duplicates
+from facetlake.llm.repeats import remove_repeats
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -79,7 +81,20 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), path)
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes of repeated passages, as a digest."""
+    return remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op5_repeated_passages": LlmCase(op5_repeated_passages),
+    "op4_near_duplicates": LlmCase(op4_near_duplicates, sql.NEAR_DUPLICATES),
     "op3_best_fit_packing": LlmCase(op3_best_fit_packing),
     "op1_byte_pairs": LlmCase(op1_byte_pairs),
     "op8_personal_data": LlmCase(op8_personal_data),

@@ -79,3 +79,27 @@ SELECT d.doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS
        CAST(grown.landed AS INTEGER) AS grown_shard
 FROM documents d JOIN now ON d.doc_id = now.doc_id JOIN grown ON d.doc_id = grown.doc_id
 """
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+shingled AS (
+  SELECT doc_id, CASE
+    WHEN len(words) >= 5 THEN list_distinct(list_transform(
+      range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+  FROM worded),
+members AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS s FROM shingled),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i
+  FROM members x JOIN members y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * i >= 75 * (na + nb - i)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM shingled JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON doc_id = a
+"""
