@@ -11,6 +11,7 @@ from its position in that order.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
@@ -27,8 +28,9 @@ from facetlake.operators.numbering import global_positions
 
 CAPACITY = 4096
 END_ID = 1
-# Words remembered by a Python worker; beyond that the memory starts anew.
-WORDS_KEPT = 700_000
+# Words and their parts remembered by a Python worker; beyond that the memory starts anew.
+WORDS_KEPT = 500_000
+PARTS_KEPT = 500_000
 
 
 @dataclass
@@ -131,6 +133,11 @@ def plan_sequences(counts: Mapping[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
+# Latin-1 letters, then marks that are neither quotes nor part of a special token: the tokenizer
+# lower-cases the letters and cuts before the marks, whatever stands around.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&*.,;:()?-]*)")
+
+
 class _Words(dict):
     """Ids, as little-endian bytes, of words between ASCII blanks."""
 
@@ -140,16 +147,32 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are not known, all at once."""
-        if len(self) + len(words) > WORDS_KEPT:
-            self.clear()
-        new = [w for w in words if w not in self]
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in new],
-                                            add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            self[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= PARTS_KEPT:
+                self.parts = {"": b""}
+            found = self.parts[part] = self._encode(part)
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8")
+        simple = _SIMPLE.fullmatch(text)
+        if simple:
+            ids = self._part(simple[1].lower()) + self._part(simple[2])
+        else:
+            ids = self._encode(text)
+        if len(word) <= 64:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 _LOADED: dict[str, _Words] = {}
@@ -189,7 +212,6 @@ def token_pieces(
         for batch in _slices(batches, rows):
             keys, out = [], ([], [], [], [], [])
             texts = [t.split() for t in batch.column(1).to_pylist()]
-            known.learn(set().union(*texts))
             for row, words in enumerate(texts):
                 ids = b"".join(map(known.__getitem__, words)) + end
                 for piece, at in enumerate(range(0, len(ids), step)):

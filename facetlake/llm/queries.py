@@ -16,6 +16,7 @@ from facetlake.llm.bpe import decode_documents, encode_documents
 from facetlake.llm.packing import pack_documents
 from facetlake.llm.near_duplicates import near_duplicates
 from facetlake.llm.repeats import remove_repeats
+from facetlake.llm.neighbours import nearest_vectors
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -92,7 +93,14 @@ def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return nearest_vectors(vectors, F.col("vec_id") % 100 == 0)
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op9_nearest_neighbours": LlmCase(op9_nearest_neighbours),
     "op5_repeated_passages": LlmCase(op5_repeated_passages),
     "op4_near_duplicates": LlmCase(op4_near_duplicates, sql.NEAR_DUPLICATES),
     "op3_best_fit_packing": LlmCase(op3_best_fit_packing),
