@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.llm import shingles as sh
-from facetlake.llm.components import components
 from facetlake.llm.scratch import small, stored
+from facetlake.llm.stars import linked
 
 PERCENT = 75
 # Of 128 sketch bits, pairs at the similarity limit differ in 16 on average, with a deviation of
@@ -86,13 +86,17 @@ def document_sets(docs: DataFrame, id_column: str, text: str, rows: int = 256) -
     return _bytes(docs, id_column, text).mapInArrow(run, schema)
 
 
+def _differing(a: str, b: str) -> Column:
+    """How many of 128 sketch bits two rows don't share."""
+    return F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(
+        F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
+
+
 def _may_link(a: str, b: str) -> Column:
     """Whether sizes and sketch bits of two rows allow the similarity."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}")))
-                     for w in ("b1", "b2")), F.lit(0))
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (
-        (differing <= MOST_BITS) | (F.least(na, nb) < SMALL_SET))
+        (_differing(a, b) <= MOST_BITS) | (F.least(na, nb) < SMALL_SET))
 
 
 def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -105,40 +109,6 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     ).where(100 * F.col("i") >= PERCENT * F.col("u")).select("a", "b")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that still hold several components, with ``c``, their component."""
-    if labels is None:
-        return shared.withColumn("c", F.col("id"))
-    named = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "c", F.coalesce("component", "id")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where(
-        "c0 <> c1").select("key")
-    return named.join(mixed, "key")
-
-
-def _star(rows: DataFrame, hub: Column) -> DataFrame:
-    """``a, b, differing``: edges from the row of each bucket with the least ``hub`` to the
-    bucket's rows in other components, where they may link."""
-    hubs = rows.groupBy("key").agg(F.min(hub).alias("hub")).select(
-        "key", F.col("hub.id").alias("hub"))
-    wide = rows.select("id", "n", "b1", "b2", "c").distinct()
-    chosen = hubs.join(wide.withColumnRenamed("id", "hub"), "hub")
-    pairs = rows.alias("x").join(chosen.alias("h"), "key").where(
-        (F.col("x.c") != F.col("h.c")) & _may_link("x", "h"))
-    return pairs.select(
-        F.least("x.id", "h.hub").alias("a"), F.greatest("x.id", "h.hub").alias("b"),
-        (F.bit_count(F.col("x.b1").bitwiseXOR(F.col("h.b1")))
-         + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("h.b2")))).alias("differing"),
-    ).distinct()
-
-
-def _within(rows: DataFrame) -> DataFrame:
-    """``a, b``: the pairs of different components that share a bucket and may link."""
-    return rows.alias("x").join(rows.alias("y"), "key").where(
-        (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_link("x", "y")
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``node, component`` of the linked classes (``id, n, b1, b2, bands``, one row each)."""
     banded = classes.where("n >= 3").select("id", "n", "b1", "b2", F.explode("bands").alias("key"))
@@ -151,39 +121,7 @@ def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
                       docs[id_column] == F.col("id_"), "left_semi")
     sets = stored(document_sets(named, id_column, text).dropDuplicates(["id"]), "near-sets")
 
-    # Each member's likeliest edge first: most groups are whole after that.
-    star = stored(_star(_labelled(shared, None), F.struct("id")), "near-star")
-    likeliest = star.groupBy("b").agg(F.min(F.struct("differing", "a")).alias("e")).select(
-        F.col("e.a").alias("a"), "b")
-    tested = stored(likeliest, "near-tested0")
-    links = stored(confirmed(tested, sets), "near-links0")
-    labels = stored(components(links), "near-labels0")
-
-    for step in range(1, 4):
-        rows = stored(_labelled(shared, labels), f"near-mixed{step}")
-        if rows.isEmpty():
-            break
-        if step == 1:
-            fresh = _star(rows, F.struct("id"))
-        elif step == 2:
-            degree = links.select("a").union(links.select("b")).toDF("id").groupBy("id").agg(
-                F.count(F.lit(1)).alias("degree"))
-            ranked = rows.join(degree, "id", "left").withColumn(
-                "rank", -F.coalesce("degree", F.lit(0)))
-            fresh = _star(ranked, F.struct("rank", "id"))
-        else:
-            fresh = _within(rows)
-        fresh = stored(fresh.select("a", "b").join(tested, ["a", "b"], "left_anti").distinct(),
-                       f"near-fresh{step}")
-        if fresh.isEmpty():
-            continue
-        more = stored(confirmed(fresh, sets), f"near-more{step}")
-        tested = stored(tested.union(fresh), f"near-tested{step}")
-        if more.isEmpty():
-            continue
-        links = stored(links.union(more), f"near-links{step}")
-        labels = stored(components(links), f"near-labels{step}")
-    return labels
+    return linked(shared, lambda edges: confirmed(edges, sets), _may_link, _differing, "near")
 
 
 def near_duplicates(

@@ -17,6 +17,7 @@ from facetlake.llm.packing import pack_documents
 from facetlake.llm.near_duplicates import near_duplicates
 from facetlake.llm.repeats import remove_repeats
 from facetlake.llm.neighbours import nearest_vectors
+from facetlake.llm.lines import dedup_lines
 from facetlake.llm.sharding import shard_rows
 from facetlake.llm.urls import Rule, canonical_url, judge_urls
 
@@ -99,7 +100,15 @@ def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_vectors(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text without repeated lines, as a digest."""
+    return dedup_lines(table(spark, folder, "documents")).select(
+        "doc_id", "lines_before", "lines_dropped",
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 LLM_CASES: dict[str, LlmCase] = {
+    "op6_line_dedup": LlmCase(op6_line_dedup),
     "op9_nearest_neighbours": LlmCase(op9_nearest_neighbours),
     "op5_repeated_passages": LlmCase(op5_repeated_passages),
     "op4_near_duplicates": LlmCase(op4_near_duplicates, sql.NEAR_DUPLICATES),
