@@ -37,24 +37,25 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 def _bytes(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select(docs[id_column].alias("id"),
-                       F.coalesce(docs[text], F.lit("")).cast("binary").alias("b"))
+    body = F.coalesce(docs[text], F.lit(""))
+    return docs.select(docs[id_column].alias("id"), F.xxhash64(body).alias("t"),
+                       body.cast("binary").alias("b"))
 
 
 def document_sketches(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", rows: int = 512
 ) -> DataFrame:
-    """``id, n, k1, k2, b1, b2, bands``: size and key of the shingle set, 128 sketch bits and
-    the band keys; without words ``n`` is 0 and the rest null."""
+    """``id, t, n, k1, k2, b1, b2, bands``: hash of the text, size and key of the shingle set,
+    128 sketch bits and the band keys; without words ``n`` is 0 and the last five are null."""
     schema = T.StructType([
-        T.StructField("id", docs.schema[id_column].dataType), T.StructField("n", T.LongType()),
-        *[T.StructField(c, T.LongType()) for c in ("k1", "k2", "b1", "b2")],
+        T.StructField("id", docs.schema[id_column].dataType),
+        *[T.StructField(c, T.LongType()) for c in ("t", "n", "k1", "k2", "b1", "b2")],
         T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, rows):
             found = []
-            for one in sh.shingle_sets(batch.column(1).to_pylist()):
+            for one in sh.shingle_sets(batch.column(2).to_pylist()):
                 if len(one):
                     values = sh.sketch(one)
                     found.append((len(one), *sh.set_key(one), *sh.sketch_bits(values).tolist(),
@@ -63,7 +64,7 @@ def document_sketches(
                     found.append((0, None, None, None, None, None))
             columns = list(zip(*found)) if found else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns[:5]],
+                [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in columns[:5]],
                  pa.array(columns[5], pa.list_(pa.int64()))], names=schema.names)
 
     return _bytes(docs, id_column, text).mapInArrow(run, schema)
@@ -76,7 +77,7 @@ def document_sets(docs: DataFrame, id_column: str, text: str, rows: int = 256) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, rows):
-            found = [s.view(np.int64) for s in sh.shingle_sets(batch.column(1).to_pylist())]
+            found = [s.view(np.int64) for s in sh.shingle_sets(batch.column(2).to_pylist())]
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(
                 pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int64()),
@@ -124,6 +125,24 @@ def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
     return linked(shared, lambda edges: confirmed(edges, sets), _may_link, _differing, "near")
 
 
+def _resolved(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``id, t, n, component`` of every row."""
+    sketches = stored(document_sketches(docs, id_column, text), "near-sketches")
+    filled = sketches.where("n > 0 AND id IS NOT NULL")
+    classes = stored(
+        filled.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
+    representatives = filled.join(classes, ["n", "k1", "k2"]).where("id = rep").select(
+        "id", "n", "b1", "b2", "bands").dropDuplicates(["id"])
+    labels = class_links(representatives, docs, id_column, text)
+    # Each class by its component; joined back on the set's key.
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
+    empty = sketches.where("n = 0 OR id IS NULL").select(
+        "id", "t", "n", F.col("id").alias("component"))
+    return filled.join(named, ["n", "k1", "k2"]).select("id", "t", "n", "component").unionByName(
+        empty)
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -137,21 +156,19 @@ def near_duplicates(
     if it bears their id; a null id has a null component and is kept; an empty table gives no
     rows. Reads only the two named columns.
     """
-    sketches = stored(document_sketches(docs, id_column, text), "near-sketches")
-    filled = sketches.where("n > 0 AND id IS NOT NULL")
-    classes = stored(
-        filled.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
-    representatives = filled.join(classes, ["n", "k1", "k2"]).where("id = rep").select(
-        "id", "n", "b1", "b2", "bands").dropDuplicates(["id"])
-    labels = class_links(representatives, docs, id_column, text)
-    # Each class by its component; joined back on the set's key.
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-    empty = sketches.where("n = 0 OR id IS NULL").select(
-        "id", "n", F.col("id").alias("component"))
-    whole = filled.join(named, ["n", "k1", "k2"]).select("id", "n", "component").unionByName(empty)
-    return whole.select(
+    return _resolved(docs, id_column, text).select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
         F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    gone = stored(_resolved(docs, id_column, text).where("id <> component").select(
+        F.col("id").alias("id_"), F.col("t").alias("t_")).distinct(), "near-removed")
+    return docs.join(
+        small(gone, 32), (docs[id_column] == F.col("id_"))
+        & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("t_")), "left_anti")

@@ -30,6 +30,11 @@ CUTOFF = 36.0  # its quantile at about 1 - 3e-7
 LEAST_ROWS = 200
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def text_words(text: Column) -> Column:
     """Maximal runs without blanks (space, tab to carriage return); null counts as empty."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -103,19 +108,19 @@ def text_statistics(text: Column) -> Column:
 
 
 def document_statistics(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``id, lang, source``, the counts, ``base_failed`` and the vector ``x0 ... x3``:
+    """``id, lang, source``, text hash ``t``, the counts, ``base_failed`` and the vector ``x0 ... x3``:
     logarithm of the mean word length; square roots of symbols per word, of the share of
     capitals and of the share of repeated lines."""
     s = docs.select(
         docs[id_column].alias("id"),
         F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"),
         F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"),
-        text_statistics(docs["text"]).alias("s"),
-    ).select("id", "lang", "source", "s.w.*", "s.l.*", "s.n_symbols", "s.n_upper")
+        text_hash(docs["text"]).alias("t"), text_statistics(docs["text"]).alias("s"),
+    ).select("id", "lang", "source", "t", "s.w.*", "s.l.*", "s.n_symbols", "s.n_upper")
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     return s.select(
-        "id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "id", "lang", "source", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
         .alias("base_failed"),
@@ -218,6 +223,16 @@ def fit_core(grouped: DataFrame, steps: int = STEPS) -> DataFrame:
     return stored(model.join(spread, "g"), "quality-core")
 
 
+def _judged(docs: DataFrame, id_column: str, least_rows: int, cutoff: float) -> DataFrame:
+    rows = stored(document_statistics(docs, id_column), "quality-statistics")
+    grouped = stored(_grouped(rows, least_rows), "quality-groups")
+    core = fit_core(grouped.where("g IS NOT NULL"))
+    measured = grouped.join(small(core, 220), "g", "left").withColumn(
+        "distance", _distance() / F.col("scale"))
+    far = F.coalesce(F.col("distance") > cutoff, F.lit(False))
+    return measured.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
 def judge_quality(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -236,14 +251,16 @@ def judge_quality(
     table gives no rows. Reads ``lang``, ``source``, ``text`` and the id; other columns are
     ignored.
     """
-    rows = stored(document_statistics(docs, id_column), "quality-statistics")
-    grouped = stored(_grouped(rows, least_rows), "quality-groups")
-    core = fit_core(grouped.where("g IS NOT NULL"))
-    measured = grouped.join(small(core, 220), "g", "left").withColumn(
-        "distance", _distance() / F.col("scale"))
-    far = F.coalesce(F.col("distance") > cutoff, F.lit(False))
-    return measured.select(
+    return _judged(docs, id_column, least_rows, cutoff).select(
         F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & ~far).alias("kept"),
-    )
+        "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def keep_good_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns."""
+    bad = stored(
+        _judged(docs, id_column, LEAST_ROWS, CUTOFF).where("NOT kept")
+        .select(F.col("id").alias("id_"), F.col("t").alias("t_")).distinct(), "quality-rejected")
+    return docs.join(
+        small(bad, 32), docs[id_column].eqNullSafe(F.col("id_"))
+        & (text_hash(docs["text"]) == F.col("t_")), "left_anti")
