@@ -7,8 +7,12 @@ Sorting all suffixes of the corpus at once is out of reach, so:
    bytes. For any two equal strings of 100 bytes there is an offset below 57 at which both
    starts meet the cover, so both hold an equally named sample there. Samples are compared one
    bucket of names at a time; a name that occurs once rules out every start it stands for.
-2. Only starts before a repeated sample remain. They are sorted by their whole 100 bytes, again
-   one bucket at a time, and all but the first of equal ones are marked.
+2. Repeated samples are named anew by 156 bytes. One that occurred before settles the 57 starts
+   from it at once: each of their strings lies within what occurred before. So all copies of a
+   long passage but the first are settled by an eighth of their positions.
+3. Only starts before a repeated sample that are not settled remain. They are sorted by their
+   whole 100 bytes, again one bucket at a time, and all but the first of equal ones are marked.
+   The first occurrence of a string is never settled, so it is among them.
 
 Only equality matters, so suffixes are ordered by 64-bit names of their bytes (and the bucket, of
 an independent name) instead of the bytes. Buckets are made in number from the corpus' bytes, so
@@ -26,16 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetlake.llm.scratch import BROADCAST_BYTES, small, stored
+from facetlake.llm.scratch import small, stored
 from facetlake.llm.shingles import mix
 
 LENGTH = 100
 PERIOD = 57
 # A perfect difference set: every residue modulo 57 is the difference of two members.
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-BUCKET_BYTES = 32 << 20  # corpus bytes per bucket
+LONG = LENGTH + PERIOD - 1
+BUCKET_ENTRIES = 2_500_000
 LEAST_BUCKETS = 24
-BATCH_BYTES = 24 << 20  # text whose samples are emitted together
+BATCH_ENTRIES = 2_000_000  # places whose names are emitted together
+BATCH_BYTES = 24 << 20  # and the text that holds them
+# Runs of starts are sent to every executor up to this; beyond it, texts are shuffled to them.
+RUNS_BYTES = 64 << 20
 _CHUNK = 1 << 18  # positions hashed at once
 
 _C = np.random.default_rng(57).integers(0, 1 << 63, size=16, dtype=np.uint64) | np.uint64(1)
@@ -43,7 +51,8 @@ _ID = T.StructType([T.StructField("k", T.LongType()), T.StructField("h", T.LongT
 _BUCKETED = T.StructType([T.StructField("bucket", T.IntegerType()),
                           T.StructField("entries", T.BinaryType())])
 _PLACES = T.StructType([*_ID, T.StructField("places", T.BinaryType())])
-_RUNS = T.StructType([*_ID, T.StructField("runs", T.BinaryType())])
+_RUNS = T.StructType([*_ID, T.StructField("runs", T.BinaryType()),
+                      T.StructField("n", T.LongType())])
 
 
 # --- names of strings -------------------------------------------------------------------
@@ -223,56 +232,72 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in batch.columns])
 
 
-def _batched(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
-    """Documents (k, h, bytes, ...) by the batch, each batch in the corpus' order."""
-    held, size = [], 0
+Starts = Callable[[tuple], np.ndarray]
+
+
+def _batched(
+    rows: Iterator[tuple], starts: Starts
+) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """Documents (k, h, bytes, ...) with their starts by the batch, in the corpus' order."""
+    held, size, n = [], 0, 0
     for row in rows:
-        held.append(row)
-        size += len(row[2])
-        if size >= BATCH_BYTES:
-            yield sorted(held, key=lambda r: r[:2])
-            held, size = [], 0
+        places = starts(row)
+        if not len(places):
+            continue
+        held.append((row, places))
+        size, n = size + len(row[2]), n + len(places)
+        if size >= BATCH_BYTES or n >= BATCH_ENTRIES:
+            held.sort(key=lambda r: r[0][:2])
+            yield [r for r, _ in held], [p for _, p in held]
+            held, size, n = [], 0, 0
     if held:
-        yield sorted(held, key=lambda r: r[:2])
+        held.sort(key=lambda r: r[0][:2])
+        yield [r for r, _ in held], [p for _, p in held]
 
 
 def _bucketed(
-    rows: DataFrame, starts: Callable[[tuple], np.ndarray], length: int, n_buckets: int,
-    mark_first: bool, width: str,
+    rows: DataFrame, starts: Starts, length: int, n_buckets: int, mark_first: bool, width: str
 ) -> DataFrame:
     """``bucket, entries``: the names of ``length`` bytes from each document's ``starts``.
     The first three columns of ``rows`` are ``k, h, b``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _batched(_documents(batches)):
+        for held, found in _batched(_documents(batches), starts):
             sizes = [len(row[2]) for row in held]
-            offsets = np.cumsum([0, *sizes])
-            places = np.concatenate([starts(row) + at for row, at in zip(held, offsets)])
-            if len(places):
-                data = np.frombuffer(b"".join(row[2] for row in held), dtype=np.uint8)
-                names = names_at(data, places, length)
-                if width == "<u4":
-                    names = (names[0] >> np.uint64(32), names[1])
-                yield from _emit([row[:2] for row in held], sizes, places, names, n_buckets,
-                                 mark_first, width)
+            places = np.concatenate([p + at for p, at in zip(found, np.cumsum([0, *sizes]))])
+            data = np.frombuffer(b"".join(row[2] for row in held), dtype=np.uint8)
+            names = names_at(data, places, length)
+            if width == "<u4":
+                names = (names[0] >> np.uint64(32), names[1])
+            yield from _emit([row[:2] for row in held], sizes, places, names, n_buckets,
+                             mark_first, width)
 
     return rows.mapInArrow(run, _BUCKETED)
 
 
-def _runs(places: DataFrame, reach: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``k, h, runs``: each document's places from all buckets as runs. A document's own places
-    are its group: bounded by its text."""
+def _merged(parts: DataFrame, merge: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """``k, h, runs, n``: each document's third columns made into runs that hold ``n`` places. A
+    document's own places are its group: bounded by its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).to_pylist()
-            found = [reach(np.unique(np.concatenate([unpack_ascending(p) for p in parts])))
-                     .astype("<i8").tobytes() for parts in lists]
+            found = [merge(lists).astype("<i8") for lists in batch.column(2).to_pylist()]
+            sizes = [int((r[:, 1] - r[:, 0] + 1).sum()) for r in found]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(found, pa.binary())], names=_RUNS.names)
+                [*batch.columns[:2], pa.array([r.tobytes() for r in found], pa.binary()),
+                 pa.array(sizes, pa.int64())], names=_RUNS.names)
 
-    gathered = places.groupBy("k", "h").agg(F.collect_list("places").alias("places"))
+    gathered = parts.groupBy("k", "h").agg(F.collect_list(parts.columns[2]).alias("parts"))
     return gathered.mapInArrow(run, _RUNS)
 
 
+def _places(parts: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([unpack_ascending(p) for p in parts]))
+
+
+def _expand(runs: np.ndarray) -> np.ndarray:
+    """The ascending places of runs, which may overlap."""
+    return np.unique(np.concatenate([np.arange(a, b + 1) for a, b in runs] or [runs[:0, 0]]))
+
+
 def _pairs(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i8").reshape(-1, 2)
 
@@ -280,7 +305,7 @@ def _pairs(data: bytes) -> np.ndarray:
 def _sized(runs: DataFrame) -> DataFrame:
     """Stored ``runs``, marked for broadcast if their bytes fit the bound."""
     total = runs.agg(F.sum(F.length("runs") + 64)).first()[0] or 0
-    return F.broadcast(runs) if total <= BROADCAST_BYTES else runs
+    return F.broadcast(runs) if total <= RUNS_BYTES else runs
 
 
 # --- the operator -----------------------------------------------------------------------
@@ -309,31 +334,52 @@ def repeated_runs(
         small(copied, 48), ["h", "g", "n"], "left").select("k", "h", "b", "g", "id", "first")
     unique = whole.where("first IS NULL OR first = k").select("k", "h", "b")
     total = keyed.agg(F.sum(F.length("b"))).first()[0] or 0
-    n_buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+
+    def buckets(entries: int) -> int:
+        return max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
+
+    def compared(rows: DataFrame, starts: Starts, length: int, entries: int, first: bool,
+                 width: str) -> DataFrame:
+        return _bucketed(rows, starts, length, buckets(entries), first, width).groupBy(
+            "bucket").applyInArrow(_compare(first, width), _PLACES)
 
     sample = LENGTH - PERIOD + 1
-    samples = _bucketed(unique, lambda row: cover_places(len(row[2]), sample), sample,
-                        n_buckets, True, "<u4")
-    shared = samples.groupBy("bucket").applyInArrow(_compare(True, "<u4"), _PLACES)
+    shared = compared(unique, lambda row: cover_places(len(row[2]), sample), sample,
+                      total * len(COVER) // PERIOD, True, "<u4")
 
-    def before(places: np.ndarray) -> np.ndarray:
+    def before(parts: list[bytes]) -> np.ndarray:
         # Starts from which some repeated sample lies less than a period ahead.
-        runs = runs_of(places, PERIOD - 1)
-        runs[:, 0] -= PERIOD - 1
+        runs = runs_of(_places(parts), PERIOD - 1)
+        runs[:, 0] = np.maximum(runs[:, 0] - PERIOD + 1, 0)
         return runs
 
-    likely = _sized(stored(_runs(shared, before), "repeats-likely"))
+    likely = stored(_merged(shared, before), "repeats-likely")
+    starts_left = likely.agg(F.sum("n")).first()[0] or 0
+
+    def samples(row: tuple) -> np.ndarray:
+        cover, runs = cover_places(len(row[2]), LONG), _pairs(row[3])
+        inside = np.searchsorted(runs[:, 0], cover, side="right") - 1
+        return cover[(inside >= 0) & (cover <= runs[inside, 1])]
+
+    rest = unique.join(_sized(likely), ["k", "h"]).select("k", "h", "b", "runs")
+    long = compared(rest, samples, LONG, starts_left * len(COVER) // PERIOD, False, "<u8")
+    settled = stored(_merged(long, lambda parts: runs_of(_expand(np.stack(
+        [p := _places(parts), p + PERIOD - 1], axis=1)))), "repeats-settled")
+    starts_left -= settled.agg(F.sum("n")).first()[0] or 0
 
     def starts(row: tuple) -> np.ndarray:
-        last = len(row[2]) - LENGTH
-        runs = np.clip(_pairs(row[3]), 0, last + 1)
-        return np.unique(np.concatenate(
-            [np.arange(a, min(b, last) + 1) for a, b in runs])) if last >= 0 else runs[:0, 0]
-
-    rest = unique.join(likely, ["k", "h"]).select("k", "h", "b", "runs")
-    windows = _bucketed(rest, starts, LENGTH, n_buckets, False, "<u8")
-    again = windows.groupBy("bucket").applyInArrow(_compare(False, "<u8"), _PLACES)
-    return whole, stored(_runs(again, runs_of), "repeats-runs")
+        known = _pairs(row[4]) if row[4] is not None else np.zeros((0, 2), dtype=np.int64)
+        places = np.setdiff1d(_expand(_pairs(row[3])), _expand(known), assume_unique=True)
+        return places[places <= len(row[2]) - LENGTH]
+
+    both = stored(likely.join(settled.select("k", "h", F.col("runs").alias("known")), ["k", "h"], "left"),
+                  "repeats-both")
+    rest = unique.join(_sized(both), ["k", "h"]).select("k", "h", "b", "runs", "known")
+    again = compared(rest, starts, LENGTH, max(0, starts_left), False, "<u8")
+    found = _merged(again, lambda parts: runs_of(_places(parts))).union(settled)
+    merged = _merged(found, lambda parts: runs_of(_expand(np.concatenate(
+        [_pairs(p) for p in parts]))))
+    return whole, stored(merged, "repeats-runs")
 
 
 def remove_repeats(
