@@ -260,7 +260,7 @@ def keep_good_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame
     """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns."""
     bad = stored(
         _judged(docs, id_column, LEAST_ROWS, CUTOFF).where("NOT kept")
-        .select(F.col("id").alias("id_"), F.col("t").alias("t_")).distinct(), "quality-rejected")
+        .select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_text")).distinct(), "quality-rejected")
     return docs.join(
-        small(bad, 32), docs[id_column].eqNullSafe(F.col("id_"))
-        & (text_hash(docs["text"]) == F.col("t_")), "left_anti")
+        small(bad, 32), docs[id_column].eqNullSafe(F.col("_gone_id"))
+        & (text_hash(docs["text"]) == F.col("_gone_text")), "left_anti")
