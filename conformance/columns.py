@@ -83,7 +83,8 @@ def strip_markup(spark, d):
 
 
 @case("strip_rich_text", r"""
-    SELECT page_id, regexp_replace(html, '</*\s*(i|b|sub|sup)\s*>', '', 'g') AS stripped FROM pages
+    SELECT page_id, regexp_replace(html, '<[/]*\s*(?:i|b|su[bp])\s*>', '', 'g') AS stripped
+    FROM pages
 """)
 def strip_rich_text(spark, d):
     return table(spark, d, "pages").select(
@@ -95,7 +96,7 @@ def strip_rich_text(spark, d):
     SELECT page_id, regexp_replace(
       replace(replace(replace(replace(replace(html, '&', '&amp;'), '>', '&gt;'), '<', '&lt;'),
               '''', '&#39;'), '"', '&#34;'),
-      '&lt;(/*)\s*(i|b|sub|sup)\s*&gt;', '<\1\2>', 'g') AS escaped FROM pages
+      '&lt;([/]*)\s*(su[bp]|[ib])\s*&gt;', '<\1\2>', 'g') AS escaped FROM pages
 """)
 def escape_rich_text(spark, d):
     return table(spark, d, "pages").select(
@@ -137,14 +138,20 @@ def split_trim(spark, d):
 
 
 @case("linked_item_ids", r"""
-    SELECT page_id, CAST(len(h) AS INTEGER) AS n_links, array_to_string(h, '|') AS links FROM (
-      SELECT page_id, regexp_extract_all(html, '<a\s+(?:[^>]*?\s+)?href=["'']([^"'']*)["'']', 1) AS h
-      FROM pages)
+    SELECT page_id, 'P' || page_id || '|T' || page_id || '|Z' || page_id AS ids FROM pages
 """)
 def linked_item_ids(spark, d):
+    """Every page with three citations: in a link, alone on a line, and at the end; two more
+    stand where they don't count."""
+    def uri(letter):
+        return F.concat(F.lit(f"https://{patterns.LIBRARY_HOST}/groups/7/items/{letter}"),
+                        F.col("page_id").cast("string"))
+
+    note = F.concat(
+        F.col("html"), F.lit('<a class="x" href="'), uri("P"), F.lit('">see</a><br />'), uri("T"),
+        F.lit("<br/>glued"), uri("Q"), F.lit(" and ("), uri("R"), F.lit(") or "), uri("Z"))
     return table(spark, d, "pages").select(
-        "page_id", patterns.hrefs(F.col("html")).alias("h")
-    ).select("page_id", F.size("h").alias("n_links"), F.array_join("h", "|").alias("links"))
+        "page_id", F.array_join(patterns.linked_item_ids(note), "|").alias("ids"))
 
 
 @case("partial_date", f"""
@@ -367,12 +374,31 @@ def url_parts(spark, d):
 
 
 @case("decode_json", """
-    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+    SELECT event_id, event_type || '|k' || json_extract_string(props, '$.k') AS tags,
+           'C' || user_id AS collections, 'Name ' || user_id AS first_creator,
+           strftime(ts, '%Y-%m-%d') AS parsed_date, 'https://x.example.org/' || event_id AS href
+    FROM events
 """)
 def decode_json(spark, d):
-    return table(spark, d, "events").select(
-        "event_id", F.from_json("props", "k bigint")["k"].alias("k")
-    )
+    """Events as items, decoded by the operator."""
+    from facetlake.sources.library import decode_json as decoded
+
+    k, user = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    data = F.concat(F.lit('{"tags":[{"tag":"'), "event_type", F.lit('"},{"tag":"k'), k,
+                    F.lit('"}],"collections":["C'), user,
+                    F.lit('"],"creators":[{"creatorType":"author","name":"Name '), user,
+                    F.lit('"}],"other":{"x":1}}'))
+    items = table(spark, d, "events").select(
+        "event_id", data.alias("data"),
+        F.concat(F.lit('{"parsedDate":"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"}'))
+        .alias("meta"),
+        F.concat(F.lit('{"alternate":{"href":"https://x.example.org/'), "event_id",
+                 F.lit('","type":"text/html"}}')).alias("links"))
+    return decoded(items).select(
+        "event_id", F.array_join("tags", "|").alias("tags"),
+        F.array_join("collections", "|").alias("collections"),
+        F.get("creators", F.lit(0))["name"].alias("first_creator"), "parsed_date",
+        F.try_element_at("link_map", F.lit("alternate"))["href"].alias("href"))
 
 
 @case("raw_and_typed_columns", """

@@ -2,104 +2,132 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from facetlake.functions.text import strip
 from facetlake.functions.paths import evaluate_once, none_if_empty
 
 # Fixed values, ISO 639: code of three letters, of two letters, bibliographic code, English name.
-LANGUAGES: tuple[tuple[str, str, str, str], ...] = tuple(
-    tuple(line.split("|"))
-    for line in """\
-afr|af||Afrikaans
-amh|am||Amharic
-ara|ar||Arabic
-aze|az||Azerbaijani
-bel|be||Belarusian
-ben|bn||Bengali
-bod|bo|tib|Tibetan
-bos|bs||Bosnian
-bre|br||Breton
-bul|bg||Bulgarian
-cat|ca||Catalan
-ces|cs|cze|Czech
-cym|cy|wel|Welsh
-dan|da||Danish
-deu|de|ger|German
-ell|el|gre|Modern Greek (1453-)
-eng|en||English
-epo|eo||Esperanto
-est|et||Estonian
-eus|eu|baq|Basque
-fas|fa|per|Persian
-fin|fi||Finnish
-fra|fr|fre|French
-gle|ga||Irish
-glg|gl||Galician
-grc|||Ancient Greek (to 1453)
-guj|gu||Gujarati
-hat|ht||Haitian
-hau|ha||Hausa
-heb|he||Hebrew
-hin|hi||Hindi
-hrv|hr||Croatian
-hun|hu||Hungarian
-hye|hy|arm|Armenian
-ind|id||Indonesian
-isl|is|ice|Icelandic
-ita|it||Italian
-jpn|ja||Japanese
-kan|kn||Kannada
-kat|ka|geo|Georgian
-kaz|kk||Kazakh
-khm|km||Khmer
-kor|ko||Korean
-lao|lo||Lao
-lat|la||Latin
-lav|lv||Latvian
-lit|lt||Lithuanian
-mal|ml||Malayalam
-mar|mr||Marathi
-mkd|mk|mac|Macedonian
-mon|mn||Mongolian
-msa|ms|may|Malay (macrolanguage)
-mya|my|bur|Burmese
-nep|ne||Nepali (macrolanguage)
-nld|nl|dut|Dutch
-nor|no||Norwegian
-pan|pa||Panjabi
-pol|pl||Polish
-por|pt||Portuguese
-ron|ro|rum|Romanian
-rus|ru||Russian
-san|sa||Sanskrit
-sin|si||Sinhala
-slk|sk|slo|Slovak
-slv|sl||Slovenian
-som|so||Somali
-spa|es||Spanish
-sqi|sq|alb|Albanian
-srp|sr||Serbian
-swa|sw||Swahili (macrolanguage)
-swe|sv||Swedish
-tam|ta||Tamil
-tel|te||Telugu
-tha|th||Thai
-tur|tr||Turkish
-ukr|uk||Ukrainian
-urd|ur||Urdu
-uzb|uz||Uzbek
-vie|vi||Vietnamese
-yid|yi||Yiddish
-zho|zh|chi|Chinese
-zul|zu||Zulu""".splitlines()
+LANGUAGES: tuple[tuple[str, str, str, str], ...] = (
+    ("afr", "af", "", "Afrikaans"),
+    ("amh", "am", "", "Amharic"),
+    ("ara", "ar", "", "Arabic"),
+    ("aze", "az", "", "Azerbaijani"),
+    ("bel", "be", "", "Belarusian"),
+    ("ben", "bn", "", "Bengali"),
+    ("bod", "bo", "tib", "Tibetan"),
+    ("bos", "bs", "", "Bosnian"),
+    ("bre", "br", "", "Breton"),
+    ("bul", "bg", "", "Bulgarian"),
+    ("cat", "ca", "", "Catalan"),
+    ("ces", "cs", "cze", "Czech"),
+    ("cym", "cy", "wel", "Welsh"),
+    ("dan", "da", "", "Danish"),
+    ("deu", "de", "ger", "German"),
+    ("ell", "el", "gre", "Modern Greek (1453-)"),
+    ("eng", "en", "", "English"),
+    ("epo", "eo", "", "Esperanto"),
+    ("est", "et", "", "Estonian"),
+    ("eus", "eu", "baq", "Basque"),
+    ("fas", "fa", "per", "Persian"),
+    ("fin", "fi", "", "Finnish"),
+    ("fra", "fr", "fre", "French"),
+    ("gle", "ga", "", "Irish"),
+    ("glg", "gl", "", "Galician"),
+    ("grc", "", "", "Ancient Greek (to 1453)"),
+    ("guj", "gu", "", "Gujarati"),
+    ("hat", "ht", "", "Haitian"),
+    ("hau", "ha", "", "Hausa"),
+    ("heb", "he", "", "Hebrew"),
+    ("hin", "hi", "", "Hindi"),
+    ("hrv", "hr", "", "Croatian"),
+    ("hun", "hu", "", "Hungarian"),
+    ("hye", "hy", "arm", "Armenian"),
+    ("ind", "id", "", "Indonesian"),
+    ("isl", "is", "ice", "Icelandic"),
+    ("ita", "it", "", "Italian"),
+    ("jpn", "ja", "", "Japanese"),
+    ("kan", "kn", "", "Kannada"),
+    ("kat", "ka", "geo", "Georgian"),
+    ("kaz", "kk", "", "Kazakh"),
+    ("khm", "km", "", "Khmer"),
+    ("kor", "ko", "", "Korean"),
+    ("lao", "lo", "", "Lao"),
+    ("lat", "la", "", "Latin"),
+    ("lav", "lv", "", "Latvian"),
+    ("lit", "lt", "", "Lithuanian"),
+    ("mal", "ml", "", "Malayalam"),
+    ("mar", "mr", "", "Marathi"),
+    ("mkd", "mk", "mac", "Macedonian"),
+    ("mon", "mn", "", "Mongolian"),
+    ("msa", "ms", "may", "Malay (macrolanguage)"),
+    ("mya", "my", "bur", "Burmese"),
+    ("nep", "ne", "", "Nepali (macrolanguage)"),
+    ("nld", "nl", "dut", "Dutch"),
+    ("nor", "no", "", "Norwegian"),
+    ("pan", "pa", "", "Panjabi"),
+    ("pol", "pl", "", "Polish"),
+    ("por", "pt", "", "Portuguese"),
+    ("ron", "ro", "rum", "Romanian"),
+    ("rus", "ru", "", "Russian"),
+    ("san", "sa", "", "Sanskrit"),
+    ("sin", "si", "", "Sinhala"),
+    ("slk", "sk", "slo", "Slovak"),
+    ("slv", "sl", "", "Slovenian"),
+    ("som", "so", "", "Somali"),
+    ("spa", "es", "", "Spanish"),
+    ("sqi", "sq", "alb", "Albanian"),
+    ("srp", "sr", "", "Serbian"),
+    ("swa", "sw", "", "Swahili (macrolanguage)"),
+    ("swe", "sv", "", "Swedish"),
+    ("tam", "ta", "", "Tamil"),
+    ("tel", "te", "", "Telugu"),
+    ("tha", "th", "", "Thai"),
+    ("tur", "tr", "", "Turkish"),
+    ("ukr", "uk", "", "Ukrainian"),
+    ("urd", "ur", "", "Urdu"),
+    ("uzb", "uz", "", "Uzbek"),
+    ("vie", "vi", "", "Vietnamese"),
+    ("yid", "yi", "", "Yiddish"),
+    ("zho", "zh", "chi", "Chinese"),
+    ("zul", "zu", "", "Zulu"),
 )
+# Fixed values, ISO 639-2: bibliographic codes that differ from the terminological ones.
+BIBLIOGRAPHIC = {
+    "bod": "tib", "ces": "cze", "cym": "wel", "deu": "ger", "ell": "gre", "eus": "baq",
+    "fas": "per", "fra": "fre", "hye": "arm", "isl": "ice", "kat": "geo", "mkd": "mac",
+    "mri": "mao", "msa": "may", "mya": "bur", "nld": "dut", "ron": "rum", "slk": "slo",
+    "sqi": "alb", "zho": "chi",
+}
 
 LANGUAGE_TYPE = "array<struct<value:string,label:string>>"
 
 
+def runtime_languages(spark: SparkSession) -> tuple[tuple[str, str, str, str], ...]:
+    """All languages that the Java runtime can name in English, as rows like ``LANGUAGES``.
+
+    These are every two-letter code of ISO 639-1 and the three-letter codes of ISO 639-2 and
+    639-3 in the runtime's locale data. Codes beyond those must be supplied by the caller.
+    """
+    locale = spark._jvm.java.util.Locale
+    english, letters = locale.ENGLISH, "abcdefghijklmnopqrstuvwxyz"
+    found: dict[str, tuple[str, str, str, str]] = {}
+    for two in sorted(locale.getISOLanguages()):
+        named = locale(two, "")
+        three = named.getISO3Language()
+        found[three] = (three, two, BIBLIOGRAPHIC.get(three, ""),
+                        named.getDisplayLanguage(english))
+    for three in map("".join, itertools.product(letters, repeat=3)):
+        name = locale(three, "").getDisplayLanguage(english)
+        if name != three and three not in found and three not in BIBLIOGRAPHIC.values():
+            found[three] = (three, "", "", name)
+    return tuple(found[k] for k in sorted(found))
+
+
 def title_case(c: Column) -> Column:
     """Every run of letters capitalised."""
     runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
@@ -140,7 +168,7 @@ def normalize_language(
     if not normalize:
         kept = F.filter(pieces, lambda v: v != "")
         pairs = F.transform(
-            kept, lambda v: F.struct(F.trim(v).alias("value"), F.trim(v).alias("label"))
+            kept, lambda v: F.struct(strip(v).alias("value"), strip(v).alias("label"))
         )
         pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
     else:
@@ -171,6 +199,6 @@ def normalize_language(
             )
             return F.coalesce(known, unknown)
 
-        trimmed = F.transform(pieces, lambda v: F.trim(v))
+        trimmed = F.transform(pieces, lambda v: strip(v))
         pairs = F.filter(F.transform(trimmed, resolve), lambda p: p.isNotNull())
     return none_if_empty(F.array_distinct(pairs))

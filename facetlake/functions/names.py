@@ -9,11 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from facetlake.functions.paths import evaluate_once, none_if_empty
-from facetlake.functions.text import RECORD_SEPARATOR, sort_key_text, strip_rich_text
+from facetlake.functions.text import RECORD_SEPARATOR, sort_key_text, strip, strip_rich_text
 
 
 def _clean(c: Column) -> Column:
-    return F.trim(strip_rich_text(F.coalesce(c, F.lit(""))))
+    return strip(strip_rich_text(F.coalesce(c, F.lit(""))))
 
 
 def _searchable(creator: Column) -> Column:
@@ -72,8 +72,8 @@ def creator_sort_key(creators: Column, type_order: Column) -> Column:
 def display_name(creator: Column) -> Column:
     """The single-field name, else last and first name."""
     parts = F.filter(
-        F.array(F.trim(F.coalesce(creator["lastName"], F.lit(""))),
-                F.trim(F.coalesce(creator["firstName"], F.lit("")))),
+        F.array(strip(F.coalesce(creator["lastName"], F.lit(""))),
+                strip(F.coalesce(creator["firstName"], F.lit("")))),
         lambda p: p != "",
     )
     return F.coalesce(creator["name"], F.array_join(parts, ", "))

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from facetlake.functions.paths import none_if_empty
+from facetlake.functions.text import BLANK_RUN, strip, strip_markup
 
-# Forms of a library item URI; group 6 is the item id.
+# The site and the application that item URIs point to, and what follows them.
 LIBRARY_HOST = "zotero.org"
 APP_SCHEME = "zotero"
-ITEM_URI = (
-    rf"(https?://(www\.)?{LIBRARY_HOST.replace('.', '[.]')}/|{APP_SCHEME}://select/)"
-    r"(library|((groups|users)/[0-9]+))/items/([A-Z0-9]+)"
-)
-_ID_GROUP = 6
-_IN_TEXT = rf"(?m)(?:^|\s){ITEM_URI}(?=$|\s)"
-_IN_LINK = rf"""<a\s+(?:[^>]*?\s+)?href=["']{ITEM_URI}["']"""
+ITEM_PLACES = (rf"https?://(?:www\.)?{re.escape(LIBRARY_HOST)}", f"{APP_SCHEME}://select")
+ITEM_OWNERS = ("library", "groups/[0-9]+", "users/[0-9]+")
+# The item id is the only group.
+ITEM_URI = f"(?:{'|'.join(ITEM_PLACES)})/(?:{'|'.join(ITEM_OWNERS)})/items/([A-Z0-9]+)"
+_ALONE = rf"(?<!\S){ITEM_URI}(?!\S)"
+
+
+def _link_target(target: str) -> str:
+    """Pattern of a link's opening tag up to its target, which must equal ``target``."""
+    return rf"""<a\s[^>]*?(?<=\s)href=["']{target}["']"""
+
+
 EMPTY = "CAST(array() AS array<string>)"
 
 
@@ -43,49 +51,49 @@ def find_in_each(values: Column, pattern: str, group: int = 1, max_matches: int
     return F.coalesce(F.flatten(F.transform(present, per_value)), F.expr(EMPTY))
 
 
-def split_trim(c: Column, separator: str, max_split: int = -1) -> Column:
-    """R2: split on a literal separator and trim; NULL gives an empty list."""
-    quoted = "\\Q" + separator + "\\E"
+def split_trim(c: Column, separator: str | None = None, max_split: int = -1) -> Column:
+    """R2: split on a literal separator and strip; NULL gives an empty list.
+
+    Without a separator the text is split on runs of white space, none at its ends.
+    """
     limit = max_split + 1 if max_split >= 0 else -1
-    return F.coalesce(
-        F.transform(F.split(c, quoted, limit), lambda v: F.trim(v)), F.expr(EMPTY)
-    )
+    if separator is None:
+        parts = F.filter(F.split(strip(c), BLANK_RUN, limit), lambda v: v != "")
+    else:
+        parts = F.split(c, "\\Q" + separator + "\\E", limit)
+    return F.coalesce(F.transform(parts, strip), F.expr(EMPTY))
 
 
 def item_ids_in_uris(uris: Column) -> Column:
     """At most one item id per URI of a list."""
-    return find_in_each(uris, _IN_TEXT, _ID_GROUP, 1)
+    return find_in_each(uris, _ALONE, 1, 1)
 
 
 def item_ids_in_text(c: Column) -> Column:
     """Item ids of URIs standing alone in running text."""
-    return find_matches(c, _IN_TEXT, _ID_GROUP, 0)
+    return find_matches(c, _ALONE, 1, 0)
 
 
 def item_ids_in_links(c: Column) -> Column:
     """Item ids of URIs in ``href`` attributes."""
-    return find_matches(c, _IN_LINK, _ID_GROUP, 0)
+    return find_matches(c, _link_target(ITEM_URI), 1, 0)
 
 
 def linked_item_ids(note: Column) -> Column:
     """Ids cited by a note, in links or in its visible text."""
-    from facetlake.functions.text import strip_markup
-
     visible = strip_markup(F.regexp_replace(note, r"<br\s*/>", "\n"))
     return F.array_union(item_ids_in_links(note), item_ids_in_text(visible))
 
 
 def hrefs(c: Column) -> Column:
     """All link targets of a page."""
-    return find_matches(c, r"""<a\s+(?:[^>]*?\s+)?href=["']([^"']*)["']""", 1, 0)
-
-
-_ID_LINE = r"(?im)^\s*({names}):\s*(\S+)\s*$"
+    return find_matches(c, _link_target("""([^"']*)"""), 1, 0)
 
 
 def identifier_lines(c: Column, names: str = "DOI|ISBN|ISSN") -> Column:
     """Values of ``NAME: value`` lines in a free text field."""
-    return find_matches(c, _ID_LINE.format(names=names), 2, 0)
+    line = rf"^\s*(?:{names}):\s*(\S+)\s*$"
+    return find_matches(c, line, 1, 0, ignore_case=True, multiline=True)
 
 
 def alternate_ids(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import html.entities
 import unicodedata
 
@@ -16,11 +17,21 @@ RECORD_SEPARATOR = "\x1e"
 # Java's \w is ASCII only, hence explicit Unicode letters and numbers.
 WORD = r"\p{L}\p{N}_"
 _LONE_DOT = rf"(?<![{WORD}])\.|\.(?![{WORD}])"
-_BLANKS = (
+BLANK_RUN = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
 
 
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(c, f"^{BLANK_RUN}|{BLANK_RUN}$", "")
+
+
+def is_blank(c: Column) -> Column:
+    """Whether a text is NULL or holds white space only."""
+    return F.coalesce(strip(c), F.lit("")) == ""
+
+
 def _accent_pairs() -> tuple[str, str]:
     """Lower-case Latin letters that decompose to an ASCII letter plus marks."""
     source, target = [], []
@@ -85,31 +96,51 @@ def id_key(c: Column) -> Column:
 
 # --- markup -----------------------------------------------------------------------------
 
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
-# Entities that plain replacement handles; the ampersand must come last.
+# A reference is a number or a name; HTML5 lets some of both end without a semicolon.
+_ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+# References that plain replacement handles; the ampersand must come last.
 _COMMON = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
            ("&nbsp;", "\xa0"), ("&amp;", "&")]
 _UNCOMMON = r"&(?!(?:lt|gt|quot|#34|#39|nbsp|amp);)" + _ENTITY[1:]
 
-
-# Named references as one constant: control characters separate names from characters.
-_NAMED = "\x1d".join(
-    f"&{name};\x1f{chr(code)}" for name, code in [*html.entities.name2codepoint.items(), ("apos", 39)]
-)
+# The names of HTML5, as one constant: control characters separate names from characters.
+_NAMED = "\x1d".join(f"&{name}\x1f{chars}" for name, chars in html.entities.html5.items())
+# Names that need no semicolon, longest first: the longest beginning of a word counts.
+_OPEN_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")),
+                              key=len, reverse=True))
+# Codes that stand for another character, such as 128 to 159 of Windows-1252, or for none.
+_SPECIAL = "\x1d".join(
+    f"{code}\x1f{html.unescape(f'&#{code};')}" for code in range(160)
+    if html.unescape(f"&#{code};") != chr(code))
+_UNPRINTED = "|".join(
+    f"{code}" for code in (*range(0xFDD0, 0xFDF0), *(p * 0x10000 + e for p in range(17)
+                                                     for e in (0xFFFE, 0xFFFF))))
+
+
+def _of_number(hexed: Column, decimal: Column) -> Column:
+    """The character of a numeric reference of any number of digits."""
+    digits = F.when(hexed != "", F.upper(F.regexp_replace(hexed, "^0+(?=.)", ""))).when(
+        decimal != "", F.regexp_replace(decimal, "^0+(?=.)", ""))
+    # Seven decimal or six hexadecimal digits hold every code point.
+    short = F.length(digits) <= F.when(hexed != "", 6).otherwise(7)
+    code = F.when(short, F.when(hexed != "", F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
+    listed = F.try_element_at(
+        F.str_to_map(F.lit(_SPECIAL), F.lit("\x1d"), F.lit("\x1f")), code.cast("string"))
+    usable = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    named = F.when(code.cast("string").rlike(f"^(?:{_UNPRINTED})$"), F.lit("")).otherwise(char)
+    return F.when(digits.isNotNull(), F.coalesce(
+        listed, F.when(usable, named), F.lit("\ufffd")))
 
 
 def _decode_entity(entity: Column) -> Column:
     table = F.str_to_map(F.lit(_NAMED), F.lit("\x1d"), F.lit("\x1f"))
-    hexed = F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-    decimal = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
-    code = F.when(hexed != "", F.upper(hexed)).when(
-        decimal != "", F.conv(decimal, 10, 16)
-    )
-    usable = (F.conv(code, 16, 10).cast("long") <= 0x10FFFF) & ~code.rlike("^0*D[89A-F]..$")
-    char = F.when(
-        usable, F.decode(F.unhex(F.lpad(F.regexp_replace(code, "^0+(?=.)", ""), 8, "0")), "UTF-32")
-    )
-    return F.coalesce(char, F.try_element_at(table, entity), entity)
+    number = _of_number(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);?$", 1),
+                        F.regexp_extract(entity, r"^&#([0-9]+);?$", 1))
+    begun = F.regexp_extract(entity, f"^&(?:{_OPEN_NAMES})", 0)
+    open_name = F.when(begun != "", F.concat(
+        F.try_element_at(table, begun), F.substr(entity, F.length(begun) + 1)))
+    return F.coalesce(number, F.try_element_at(table, entity), open_name, entity)
 
 
 def unescape_entities(c: Column) -> Column:
@@ -137,40 +168,52 @@ def strip_markup(c: Column) -> Column:
     """Comments and tags removed, blanks collapsed, entities decoded."""
     bare = F.regexp_replace(c, r"(?s)<!(?=--).*?-->", "")
     bare = F.regexp_replace(bare, "<[^>]*>", "")
-    return unescape_entities(F.trim(F.regexp_replace(bare, _BLANKS, " ")))
+    return unescape_entities(F.trim(F.regexp_replace(bare, BLANK_RUN, " ")))
 
 
-# The rich text elements that titles and names may contain.
-_BASE_ELEMENTS = "i|b|sub|sup"
-_NOCASE = r'class\s*=\s*{q}\s*nocase\s*{q}\s*'
-_SMALLCAPS = r'style\s*=\s*{q}\s*font-variant\s*:small-caps;\s*{q}\s*'
+# The rich text elements that titles and names may contain, and the two kinds of
+# span, each with the attribute it must carry.
+_ELEMENTS = ("i", "b", "sub", "sup")
+_SPANS = (
+    ("class", ("nocase",), '<span class="nocase">'),
+    ("style", ("font-variant", ":small-caps;"), '<span style="font-variant:small-caps;">'),
+)
+
+
+def _element(before: str, after: str) -> str:
+    """Pattern of an opening or closing tag of a rich text element; group 1 is its inside."""
+    return before + r"(/*)\s*(" + "|".join(_ELEMENTS) + r")\s*" + after
+
+
+def _span(attribute: str, words: tuple[str, ...], before: str, after: str, quote: str) -> str:
+    """Pattern of a span with one attribute; group 1 is what it encloses."""
+    value = r"\s*".join(["", *words, ""])
+    opening = rf"{before}span\s+{attribute}\s*=\s*{quote}{value}{quote}\s*{after}"
+    return rf"(?s){opening}(.*?){before}/\s*span\s*{after}"
 
 
 def strip_rich_text(c: Column) -> Column:
     """Remove only the rich text elements; any other markup is literal text."""
-    out = F.regexp_replace(c, rf"<(/*)\s*({_BASE_ELEMENTS})\s*>", "")
-    for attribute in (_NOCASE, _SMALLCAPS):
-        pattern = r"(?s)<span\s+" + attribute.format(q='"') + r">(.*?)</\s*span\s*>"
-        out = F.regexp_replace(out, pattern, "$1")
-    return out
+    bare = F.regexp_replace(c, _element("<", ">"), "")
+    for attribute, words, _ in _SPANS:
+        bare = F.regexp_replace(bare, _span(attribute, words, "<", ">", '"'), "$1")
+    return bare
+
+
+_MARKUP_CHARACTERS = {"&": "&amp;", ">": "&gt;", "<": "&lt;", "'": "&#39;", '"': "&#34;"}
 
 
 def escape_rich_text(c: Column) -> Column:
-    """Escape markup characters, then let the rich text elements through again."""
-    out = c
-    for char, entity in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("'", "&#39;"),
-                         ('"', "&#34;")):
-        out = F.replace(out, F.lit(char), F.lit(entity))
-    out = F.regexp_replace(out, rf"&lt;(/*)\s*({_BASE_ELEMENTS})\s*&gt;", "<$1$2>")
-    for attribute, opening in (
-        (_NOCASE, '<span class="nocase">'),
-        (_SMALLCAPS, '<span style="font-variant:small-caps;">'),
-    ):
-        pattern = (
-            r"(?s)&lt;span\s+" + attribute.format(q="&#34;") + r"&gt;(.*?)&lt;/\s*span\s*&gt;"
-        )
-        out = F.regexp_replace(out, pattern, opening + "$1</span>")
-    return out
+    """All markup characters as references, but for those of the rich text elements."""
+    safe = c
+    for char, reference in _MARKUP_CHARACTERS.items():
+        safe = F.replace(safe, F.lit(char), F.lit(reference))
+    less, more, quote = (_MARKUP_CHARACTERS[char] for char in '<>"')
+    safe = F.regexp_replace(safe, _element(less, more), "<$1$2>")
+    for attribute, words, tag in _SPANS:
+        safe = F.regexp_replace(
+            safe, _span(attribute, words, less, more, quote), f"{tag}$1</span>")
+    return safe
 
 
 def abstract_snippet(c: Column, length: int, leeway: int = 0, end: str = "...") -> Column:
@@ -179,4 +222,4 @@ def abstract_snippet(c: Column, length: int, leeway: int = 0, end: str = "...")
     cut = F.regexp_extract(head, r"(?s)^(.*) ", 1)
     cut = F.when(F.instr(head, " ") > 0, cut).otherwise(head)
     text = F.when(F.length(c) <= length + leeway, c).otherwise(F.concat(cut, F.lit(end)))
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", text if length > 0 else c)
+    return F.when(~is_blank(c), text if length > 0 else c)

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from facetlake.functions.paths import none_if_empty
+from facetlake.functions.text import is_blank
 
 ColumnFunction = Callable[[Column], Column]
 
@@ -54,7 +55,7 @@ def boolean_label(c: Column, yes: str = "yes", no: str = "no") -> Column:
 
 def has_url(c: Column) -> Column:
     """M4: whether a URL field is non-blank; never NULL."""
-    return F.trim(F.coalesce(c, F.lit(""))) != ""
+    return ~is_blank(c)
 
 
 def doi_url(c: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetlake.functions.text import normalize_words
+from facetlake.functions.text import normalize_words, strip
 
 
 def type_labels(type_locale: DataFrame, locale: str) -> DataFrame:
@@ -78,7 +78,7 @@ def export_formats(formats: DataFrame, names: Sequence[str]) -> DataFrame:
 def collection_names(membership: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, name``: non-blank names of an item's live collections."""
     named = nodes.filter(~F.coalesce(F.col("trashed"), F.lit(False))).select(
-        "key", F.trim("name").alias("name")
+        "key", strip(F.col("name")).alias("name")
     ).filter("name <> ''")
     return membership.select("id", "key").join(named, "key").select("id", "name")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from facetlake.functions.text import strip
 from facetlake.functions.paths import none_if_empty
 from facetlake.functions.values import all_of
 
@@ -31,7 +32,7 @@ def tag_gate(
 
     def some(pattern: str) -> Column:
         return F.coalesce(
-            F.exists(tags, lambda t: F.trim(F.coalesce(t, F.lit(""))).rlike(_anchored(pattern))),
+            F.exists(tags, lambda t: strip(F.coalesce(t, F.lit(""))).rlike(_anchored(pattern))),
             F.lit(False),
         )
 
@@ -50,5 +51,5 @@ def tag_filter(tags: Column, include: str = "", exclude: str = "") -> Column:
             ok = ok & ~tag.rlike(_anchored(exclude))
         return ok
 
-    kept = F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), accepted))
+    kept = F.array_distinct(F.filter(F.transform(tags, lambda t: strip(t)), accepted))
     return none_if_empty(kept)

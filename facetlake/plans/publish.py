@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetlake.functions.text import strip
 from facetlake.functions import dates, names, patterns, text, values
 from facetlake.operators.numbering import global_positions
 from facetlake.operators.relations import CHILD_TYPES
@@ -178,17 +179,17 @@ def citation_tags(
     )
     page_parts = F.split(field["pages"], r"[^\p{L}\p{N}_]*-[^\p{L}\p{N}_]*", 3)
     parts = [
-        tag("citation_title", F.trim(F.coalesce(field["title"], field["shortTitle"])), True),
+        tag("citation_title", strip(F.coalesce(field["title"], field["shortTitle"])), True),
         tag("citation_publication_date", field["date"], True),
         tag("citation_date", field["date"], True),
         tag("citation_year", F.col("year"), True),
         authors,
         *[tag(f"citation_{n}", field[n]) for n in ("volume", "issue", "language", "publisher")],
-        tag("citation_firstpage", F.trim(F.get(page_parts, F.lit(0)))),
-        tag("citation_lastpage", F.trim(F.get(page_parts, F.lit(1)))),
+        tag("citation_firstpage", strip(F.get(page_parts, F.lit(0)))),
+        tag("citation_lastpage", strip(F.get(page_parts, F.lit(1)))),
     ]
     for item_type, name, sources in VENUES:
-        venue = F.trim(F.coalesce(*[field[s] for s in sources]))
+        venue = strip(F.coalesce(*[field[s] for s in sources]))
         parts.append(tag(name, F.when(F.col("item_type") == item_type, venue)))
     for name in ("ISBN", "ISSN", "DOI"):
         line = F.get(patterns.identifier_lines(field["extra"], name), F.lit(0))
