@@ -164,32 +164,39 @@ def phrase_slop(spark, d):
 
 
 @case("phrase_passages", rf"""
-    WITH grams AS (
-      SELECT item_id, t[:4] AS g FROM (
-        SELECT item_id, {sql_tokens(sql_fold('text'))} AS t FROM benchmark)),
-    docs AS (SELECT doc_id, ' ' || array_to_string({sql_tokens(sql_fold('text'))}, ' ') || ' ' AS t
-             FROM documents)
-    SELECT item_id, doc_id AS id FROM grams JOIN docs
-      ON contains(t, ' ' || array_to_string(g, ' ') || ' ')
+    WITH passages AS (
+      SELECT DISTINCT item_id, array_to_string(t[i:i + 3], ' ') AS g FROM (
+        SELECT item_id, t, unnest(range(1, len(t) - 2)) AS i FROM (
+          SELECT item_id, {sql_tokens(sql_fold('text'))} AS t FROM benchmark))),
+    docs AS (
+      SELECT DISTINCT id, array_to_string(t[i:i + 3], ' ') AS g FROM (
+        SELECT id, t, unnest(range(1, len(t) - 2)) AS i FROM (
+          SELECT doc_id AS id, {sql_tokens(sql_fold('text'))} AS t FROM documents)))
+    SELECT item_id, id, count(*) AS n_shared FROM passages JOIN docs USING (g)
+    GROUP BY item_id, id
 """)
 def phrase_passages(spark, d):
-    """Opening words of every benchmark passage looked up as phrases, all in one plan."""
+    """Documents that share four-word phrases with a benchmark passage, over whole texts.
+
+    Phrases of passages are many times rarer than their words, and each document counts a phrase
+    once, so no frequent word brings rows together.
+    """
+    from facetlake.functions.paths import evaluate_once
     from facetlake.functions.text import fold_accents, tokenize
 
-    opening = F.slice(tokenize(fold_accents(F.col("text"))), 1, 4)
-    wanted = table(spark, d, "benchmark").select(
-        F.col("item_id").alias("leaf"), F.posexplode(opening).alias("ord", "term"),
-    ).select("leaf", "ord", "term", F.lit("text").alias("field"), F.lit(4).alias("n_terms"),
-             F.lit(1).alias("slop"))
-    index = stored_index(spark, d)
-    found = index.positions.filter("field = 'text'").join(wanted, ["field", "term"])
-    words = found.groupBy("leaf", "id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "positions"))).alias("words")
-    ).filter(F.size("words") == 4)
-    lists = F.transform("words", lambda w: w["positions"])
-    return words.filter(keywords._follow(lists, F.lit(1))).select(
-        F.col("leaf").alias("item_id"), "id"
-    )
+    def phrases(name: str, key: str, alias: str):
+        def cut(words):
+            starts = F.sequence(F.lit(1), F.size(words) - 3)
+            return F.when(F.size(words) >= 4, F.array_distinct(F.transform(
+                starts, lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))))
+
+        tokens = tokenize(fold_accents(F.col("text")))
+        return table(spark, d, name).repartition(key).select(
+            F.col(key).alias(alias), F.explode(evaluate_once(tokens, cut)).alias("g"))
+
+    shared = phrases("benchmark", "item_id", "item_id").join(
+        phrases("documents", "doc_id", "id"), "g")
+    return shared.groupBy("item_id", "id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 @case("boost", f"WITH {TERMS_SQL}, {leaf_sql('a0', 'the')}, {leaf_sql('a1', 'de')} "
@@ -488,11 +495,13 @@ levels AS (
 
 @case("facet_tree", f"""
     WITH {_YEAR_COUNTS}
-    SELECT value, parent, CAST(depth AS INTEGER) AS depth, count(*) AS "count"
-    FROM levels GROUP BY ALL
+    SELECT value, parent, CAST(depth AS INTEGER) AS depth, count(*) AS "count",
+           row_number() OVER (PARTITION BY parent ORDER BY lower(label), value) AS place
+    FROM levels GROUP BY value, label, parent, depth
 """)
 def facet_tree(spark, d):
-    return facets.facet_tree(_year_docs(spark, d), YEAR).select("value", "parent", "depth", "count")
+    tree = facets.with_active(facets.facet_tree(_year_docs(spark, d), YEAR), [YEAR], {})
+    return facets.tree_places(tree, YEAR).select("value", "parent", "depth", "count", "place")
 
 
 @case("facet_labels", f"""
@@ -669,11 +678,11 @@ def facet_link(spark, d):
 
 
 def _top(name: str, spec: SortSpec, order_sql: str):
-    """A sort shown by its report of the first hundred rows with their places."""
+    """A sort shown by the place it gives to every row."""
     @case(name, f"""
         WITH r AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY {order_sql}) AS place
                    FROM orders JOIN customer ON o_custkey = c_custkey)
-        SELECT id, CAST(place AS INTEGER) AS place FROM r WHERE place <= 100
+        SELECT id, place FROM r
     """)
     def query(spark, d):
         customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
@@ -685,10 +694,7 @@ def _top(name: str, spec: SortSpec, order_sql: str):
             dates.sort_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("sort_date"),
             F.unix_timestamp("o_orderdate").alias("sort_date_added"),
         )
-        shown = sorting.page(rows, spec, 1, 100)
-        return sorting.with_positions(shown, spec, 1, 100).select(
-            "id", F.col("position").alias("place")
-        )
+        return sorting.all_positions(rows, spec, name="place").select("id", "place")
     return query
 
 

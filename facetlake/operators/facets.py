@@ -17,6 +17,8 @@ from facetlake.functions.paths import evaluate_once
 from facetlake.functions.text import normalize_words
 from facetlake.functions.values import any_of, boolean_label
 from facetlake.operators.filters import facet_matches
+from facetlake.operators.numbering import global_positions
+from facetlake.operators.relations import CHILD_TYPES
 from facetlake.plans.catalog import FacetSpec
 from facetlake.session import cut_lineage
 
@@ -115,13 +117,17 @@ def active_facets(
 
 
 def facets_when_empty(
-    docs: DataFrame, specs: Sequence[FacetSpec], chosen: Mapping[str, Sequence[str]]
+    docs: DataFrame, specs: Sequence[FacetSpec], chosen: Mapping[str, Sequence[str]],
+    records_only: bool = True,
 ) -> DataFrame:
     """For each active facet alone, counts of its active values over the rows it matches.
 
     One pass: a document contributes the entries of a facet only if it satisfies all chosen
-    values of that facet; other facets and keywords play no role.
+    values of that facet; other facets and keywords play no role. Notes and attachments are not
+    counted with ``records_only``.
     """
+    if records_only and "item_type" in docs.columns:
+        docs = docs.filter(~F.coalesce(F.col("item_type").isin(*CHILD_TYPES), F.lit(False)))
     used = [s for s in specs if chosen.get(s.filter_key)]
     parts = []
     for spec in used:
@@ -141,6 +147,21 @@ def facets_of_item(docs: DataFrame, specs: Sequence[FacetSpec], id_column: str)
     return facet_values(docs, specs, id_column).withColumn("count", F.lit(0).cast("bigint"))
 
 
+def tree_places(tree: DataFrame, spec: FacetSpec) -> DataFrame:
+    """A5: a tree's nodes (with ``active``) and their ``place`` among the children of their
+    parent, from 1, in the facet's order.
+
+    All nodes are sorted by range, by parent first, so that a parent with very many children
+    spans several tasks.
+    """
+    rows = tree.withColumn("_parent", F.coalesce("parent", F.lit("")))
+    within = directed_order(spec) or [F.col("value").asc_nulls_last()]
+    placed = global_positions(rows, [F.col("_parent"), *within], "_place")
+    first = placed.groupBy("_parent").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "_parent").withColumn(
+        "place", F.col("_place") - F.col("_first") + 1).select(*tree.columns, "place")
+
+
 def facet_order(spec: FacetSpec) -> list[Column]:
     """Active first, missing label last, then the sort keys.
 

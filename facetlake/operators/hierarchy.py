@@ -5,39 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetlake.functions.text import strip
 from facetlake.functions.paths import path_prefixes
 from facetlake.session import cut_lineage
 
 PATH = "array<string>"
 
 
-def ancestor_paths(
-    nodes: DataFrame, include_trashed: bool = False, max_depth: int = 100
-) -> DataFrame:
+def ancestor_paths(nodes: DataFrame, include_trashed: bool = False) -> DataFrame:
     """``key, path`` from root to node for every node whose ancestors all exist and live.
 
-    ``nodes`` has ``key, parent, trashed``. Grown level by level from the roots, one join per
-    level, so a node in a cycle or below a missing or trashed one is never reached. Each level
-    is checkpointed: the next one neither recomputes it nor depends on its executors.
+    ``nodes`` has ``key, parent, trashed``. Pointers are doubled: after r rounds a node knows its
+    nearest 2^r ancestors, so a tree of any depth takes the logarithm of it in joins. Each round
+    is checkpointed. Levels have no gaps: once a round brings no node to its root, the nodes that
+    are left lie on or below a cycle or a missing or trashed node, and are never reached.
     """
-    live = nodes.select("key", "parent", "trashed")
+    alive = nodes.select("key", "parent", "trashed")
     if not include_trashed:
-        live = live.filter(~F.coalesce(F.col("trashed"), F.lit(False)))
-    live = live.select("key", F.nullif(F.col("parent"), F.lit("")).alias("parent"))
-
-    level = cut_lineage(live.filter(F.col("parent").isNull()).select(
-        "key", F.array("key").alias("path")
+        alive = alive.filter(live(F.col("trashed")))
+    # ``above``: the next ancestor that the path does not hold yet; NULL at the root.
+    known = cut_lineage(alive.select(
+        "key", F.nullif(F.col("parent"), F.lit("")).alias("above"), F.array("key").alias("path")
     ))
-    reached = level
-    for _ in range(max_depth):
-        above = level.select(F.col("key").alias("parent"), F.col("path").alias("above"))
-        level = cut_lineage(live.join(above, "parent").select(
-            "key", F.concat("above", F.array("key")).alias("path")
-        ))
-        if level.isEmpty():
-            return reached
-        reached = reached.unionByName(level)
-    raise ValueError(f"hierarchy deeper than {max_depth} levels")
+    reached = known.filter(F.col("above").isNull()).select("key", "path")
+    climbing = known.filter(F.col("above").isNotNull())
+    while not climbing.isEmpty():
+        upper = known.select(F.col("key").alias("above"), F.col("above").alias("next"),
+                             F.col("path").alias("head"))
+        stepped = cut_lineage(climbing.join(upper, "above").select(
+            "key", F.col("next").alias("above"), F.concat("head", "path").alias("path")))
+        arrived = stepped.filter(F.col("above").isNull()).select("key", "path")
+        if arrived.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(arrived))
+        climbing = stepped.filter(F.col("above").isNotNull())
+        known = reached.select("key", F.lit(None).cast("string").alias("above"), "path").unionByName(
+            climbing)
+    return reached
 
 
 def collection_paths(membership: DataFrame, nodes: DataFrame, closure: DataFrame) -> DataFrame:
@@ -60,7 +64,7 @@ def collection_facet_paths(
     )
     prefixes = below.select("id", F.explode(path_prefixes(F.col("below"))).alias("path"))
     names = nodes.select(
-        F.col("key").alias("node"), F.trim(F.coalesce("name", F.lit(""))).alias("label")
+        F.col("key").alias("node"), strip(F.coalesce("name", F.lit(""))).alias("label")
     )
     return (
         prefixes.distinct()

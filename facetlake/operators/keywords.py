@@ -106,8 +106,10 @@ def query_terms(text: str, analyzer: str) -> list[str]:
     """Query words as the field's analyzer stores them."""
     if analyzer == "id":
         return [text]
-    words = _TOKEN.findall(text)
-    return [fold_word(stem(w) if analyzer == "text" else w) for w in words]
+    if analyzer == "text":
+        return [fold_word(stem(w)) for w in _TOKEN.findall(text)]
+    # As in the stored fields: fold, then split.
+    return _TOKEN.findall(fold_word(text))
 
 
 # --- leaves -----------------------------------------------------------------------------

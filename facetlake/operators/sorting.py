@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.operators.numbering import global_positions
 from facetlake.plans.catalog import SortSpec
 
 
@@ -39,15 +40,35 @@ def fit_page(item_count: int, number: int, length: int) -> int:
     return max(1, min(number, math.ceil(item_count / length)))
 
 
+# Up to this place a page is found by keeping the best rows of each task.
+NEAR_PLACES = 1000
+
+
 def page(
     df: DataFrame, spec: SortSpec | None, number: int, length: int, id_column: str = "id",
     item_count: int | None = None,
 ) -> DataFrame:
-    """One page; with ``item_count`` known, a number beyond the end gives the last page."""
+    """One page; with ``item_count`` known, a number beyond the end gives the last page.
+
+    A deep page is cut from the rows sorted by range over the cluster: no task holds the rows
+    before it.
+    """
     if item_count is not None:
         number = fit_page(item_count, number, length)
-    ordered = df.orderBy(*sort_columns(spec, id_column))
-    return ordered.offset((number - 1) * length).limit(length)
+    last = number * length
+    order = sort_columns(spec, id_column)
+    if last <= NEAR_PLACES:
+        return df.orderBy(*order).offset(last - length).limit(length)
+    placed = global_positions(df, order, "_place")
+    return placed.filter(F.col("_place").between(last - length + 1, last)).orderBy("_place").drop(
+        "_place")
+
+
+def all_positions(
+    df: DataFrame, spec: SortSpec | None, id_column: str = "id", name: str = "position"
+) -> DataFrame:
+    """Every row with its place in the order."""
+    return global_positions(df, sort_columns(spec, id_column), name)
 
 
 def with_positions(

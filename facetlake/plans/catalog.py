@@ -9,6 +9,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from facetlake.functions.dates import year_path_label
 
 
 @dataclass(frozen=True)
@@ -206,20 +209,31 @@ DEFAULT_EXPORTS = (
 
 
 def default_facets(year_label: Callable[[Column], Column] | None = None) -> tuple[FacetSpec, ...]:
-    """Tag, item type, year, language and link facets of a library."""
+    """Tag, item type and year facets of a library."""
     return (
         FacetSpec("tag", "facet_tag", "topic", "flat", multi=True, initial_limit=10,
                   initial_leeway=4),
         FacetSpec("item_type", "facet_item_type", "type", "labelled", initial_limit=10,
                   initial_leeway=4),
         FacetSpec("year", "facet_year", "year", "path", multi=True, missing_label="Unknown",
-                  path_label=year_label),
+                  path_label=year_label or year_range_label),
+    )
+
+
+def optional_facets() -> tuple[FacetSpec, ...]:
+    """Language and link facets, for catalogues that want them."""
+    return (
         FacetSpec("language", "facet_language", "lang", "labelled", multi=True,
                   initial_limit=10, initial_leeway=4),
         FacetSpec("link", "facet_link", "link", "boolean"),
     )
 
 
+def year_range_label(path: Column) -> Column:
+    """A year, or the range of a decade or century up to the current year."""
+    return year_path_label(path, F.year(F.current_date()))
+
+
 def collection_facet(collection_key: str, filter_key: str) -> FacetSpec:
     """A tree facet of everything below one root collection."""
     return FacetSpec(f"collection_{collection_key}", f"facet_collection_{collection_key}",

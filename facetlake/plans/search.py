@@ -65,7 +65,7 @@ def search(
     """
     rejected = dict(structured.pop("rejected", None) or {})
     if records_only:
-        rejected.setdefault("item_type", list(CHILD_TYPES))
+        rejected["item_type"] = [*rejected.get("item_type", ()), *CHILD_TYPES]
     kept = filter_ops.apply_filters(
         docs, catalog.facets, filters, rejected=rejected, **structured
     )

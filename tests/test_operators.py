@@ -148,10 +148,11 @@ def test_ancestor_paths(spark):
     every = {r["key"] for r in hierarchy.ancestor_paths(nodes, include_trashed=True).collect()}
     assert every == {"r", "a", "b", "t", "u", "e"}
     deep = spark.createDataFrame(
-        [(str(i), str(i - 1) if i else None, None) for i in range(8)],
+        [(str(i), str(i - 1) if i else None, None) for i in range(150)]
+        + [("x", "y", None), ("y", "x", None), ("z", "x", None)],
         "key string, parent string, trashed boolean")
-    with pytest.raises(ValueError):
-        hierarchy.ancestor_paths(deep, max_depth=3)
+    found = {r["key"]: r["path"] for r in hierarchy.ancestor_paths(deep).collect()}
+    assert found == {str(i): [str(k) for k in range(i + 1)] for i in range(150)}
 
 
 def test_collection_membership(spark):
