@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from conformance.derived_library import RECORDS_SQL, URI, derived_library
+from conformance.derived_library import RECORDS_SQL, TYPES, URI, derived_library
 from conformance.inputs import (
     GEOGRAPHY_SQL, documents, geography, sql_words, table,
 )
@@ -36,25 +36,34 @@ def _docs(spark, d):
 # --- sources ----------------------------------------------------------------------------
 
 
-@case("load_library", """
-    SELECT 'customer' AS name, count(*) AS n FROM customer
-    UNION ALL SELECT 'documents', count(*) FROM documents
-    UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-    UNION ALL SELECT 'orders', count(*) FROM orders
+@case("load_library", f"""
+    SELECT 'O' || o_orderkey AS item_key, {TYPES} AS item_type, CAST(o_orderkey AS INTEGER) AS version,
+           CAST(NULL AS VARCHAR) AS parent_item, o_totalprice < 20000 AS trashed,
+           CASE WHEN o_totalprice > 100000 THEN 3 ELSE 2 END::BIGINT AS n_tags
+    FROM orders
+    UNION ALL
+    SELECT 'L' || l_orderkey || 'x' || l_linenumber || 'x' || l_partkey || 'x' || l_suppkey,
+           CASE l_returnflag WHEN 'N' THEN 'note' ELSE 'attachment' END,
+           CAST(l_orderkey AS INTEGER), 'O' || l_orderkey, l_quantity >= 45, 0
+    FROM lineitem
 """)
 def load_library(spark, d):
-    """Tables opened with a fixed schema, no inference."""
-    schemas = {"customer": "c_custkey long", "documents": "doc_id long",
-               "lineitem": "l_orderkey long", "orders": "o_orderkey long"}
-    counts = [
-        spark.read.schema(schema).parquet(f"{d}/{name}.parquet")
-        .agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        for name, schema in schemas.items()
-    ]
-    out = counts[0]
-    for rows in counts[1:]:
-        out = out.unionByName(rows)
-    return out
+    """All tables of the derived library written to a folder, then loaded with their schemas."""
+    from dataclasses import fields
+
+    from facetlake.sources.library import SCHEMAS, load_library as load
+
+    made, root = derived_library(spark, d), _store(spark, "library").root
+    for f in fields(made):
+        rows = getattr(made, f.name)
+        names = [c.strip().split(" ")[0] for c in SCHEMAS[f.name].split(",")]
+        rows.select(*names).write.parquet(f"{root}/{f.name}")
+    loaded = load(spark, root)
+    tags = loaded.item_tag.groupBy("item_key").agg(F.count("tag").alias("n_tags"))
+    return loaded.item.join(tags, "item_key", "left").select(
+        "item_key", "item_type", "version", "parent_item",
+        F.coalesce("trashed", F.lit(False)).alias("trashed"),
+        F.coalesce("n_tags", F.lit(0)).cast("bigint").alias("n_tags"))
 
 
 @case("library_state", """
@@ -830,15 +839,24 @@ def read_index(spark, d):
     FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'
 """)
 def refresh_stream(spark, d):
-    """Events as changes of their user's row; an error deletes it."""
-    from facetlake.streaming.refresh import refresh_stream as refreshed
+    """Events as changes of their user's row; an error deletes it. They arrive in three batches,
+    the latest events first, on a store that was built before."""
+    from facetlake.streaming.refresh import apply_changes, refresh_stream as refreshed
 
     kept = _store(spark, "stream")
-    schema = table(spark, d, "events").schema
-    changes = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").select(
+    events = table(spark, d, "events")
+    changes = events.select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("version"),
+        F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("deleted"))
+    kept.publish({"docs": changes.where("NOT deleted").drop("deleted").limit(0)}, 100)
+    turn = F.pmod(F.col("version"), F.lit(3))
+    for batch, rest in enumerate((2, 0)):
+        apply_changes(kept, changes.where(turn == rest), batch, "id", "version", "deleted",
+                      stream="backfill")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet").select(
         F.col("user_id").alias("id"), F.col("event_id").alias("version"),
         F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("deleted"))
-    query = refreshed(changes, kept, f"{kept.root}/checkpoint")
+    query = refreshed(stream.where(turn == 1), kept, f"{kept.root}/checkpoint")
     query.awaitTermination()
     return kept.read("docs").select("id", "version", "kind")
 

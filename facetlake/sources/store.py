@@ -13,7 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COMMITS = "number bigint, folder string, schemas string, library_version int, synced_on timestamp"
+COMMITS = (
+    "number bigint, folder string, tables map<string,struct<path:string,ddl:string>>, "
+    "library_version int, synced_on timestamp, stream string, batch bigint"
+)
 
 
 class IndexMissingError(FileNotFoundError):
@@ -55,6 +58,11 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
     writer.parquet(path)
 
 
+def schema_ddl(df: DataFrame) -> str:
+    """The columns and types of a table as text."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 class DocumentStore:
     """Reads and replaces the document tables below one folder."""
 
@@ -81,7 +89,17 @@ class DocumentStore:
         commit = self.latest()
         if commit is None:
             raise IndexMissingError(self.root)
-        return self.spark.read.parquet(f"{commit['folder']}/{name}")
+        kept = commit["tables"].get(name)
+        if kept is None:
+            raise IndexSchemaError(f"no table {name!r} in version {commit['number']}")
+        return self.spark.read.schema(kept["ddl"]).parquet(kept["path"])
+
+    def last_batch(self, stream: str) -> int | None:
+        """The newest batch of a stream that has been applied."""
+        commits = self._commits()
+        if commits is None:
+            return None
+        return commits.filter(F.col("stream") == stream).agg(F.max("batch")).first()[0]
 
     def open(self, expected_columns: list[str] | None = None) -> DataFrame:
         """The documents, checked to exist, to have the columns, and not to be empty."""
@@ -99,9 +117,13 @@ class DocumentStore:
 
     def publish(
         self, tables: Mapping[str, DataFrame], library_version: int | None = None,
-        synced_on=None, batch: str | None = None,
+        synced_on=None, batch: str | None = None, carry: bool = False,
+        stream: str | None = None, batch_id: int | None = None,
     ) -> str:
-        """Write all tables of a new version, then commit it; returns its folder.
+        """Write the tables of a new version, then commit it; returns its folder.
+
+        With ``carry`` the other tables of the last version stay, as they lie: nothing of them is
+        copied. ``stream`` and ``batch_id`` note the micro-batch that the version applies.
 
         One writer at a time: readers may come and go, but refreshes must not overlap.
 
@@ -112,7 +134,9 @@ class DocumentStore:
         folder = f"{self.root}/versions/{number:08d}-{batch or uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             write_table(df, name, f"{folder}/{name}")
-        row = [(number, folder, ",".join(sorted(tables)), library_version, synced_on)]
+        kept = dict(previous["tables"]) if previous and carry else {}
+        kept.update({name: (f"{folder}/{name}", schema_ddl(df)) for name, df in tables.items()})
+        row = [(number, folder, kept, library_version, synced_on, stream, batch_id)]
         self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/commits"
         )

@@ -21,6 +21,24 @@ def test_stream_equals_batch(spark, tmp_path):
                      "k9": (22, "added")}
     before = store.latest()["number"]
     replay = spark.createDataFrame([("k0", 99, "again", False)], schema)
-    apply_changes(store, replay, 1, "id", "version", "deleted")
+    apply_changes(store, replay, 1, "id", "version", "deleted", stream=str(tmp_path / "checkpoint"))
     assert store.latest()["number"] == before
     assert store.read("docs").filter(F.col("text") == "again").isEmpty()
+
+
+def test_built_store_tombstones_and_other_tables(spark, tmp_path):
+    schema = "id string, version long, text string, deleted boolean"
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    docs = spark.createDataFrame([("a", 1, "old")], "id string, version long, text string")
+    store.publish({"docs": docs, "side": docs.select("id")}, library_version=100)
+    path = store.latest()["tables"]["side"]["path"]
+    batches = [[("a", 9, "", True), ("b", 2, "new", False)], [("a", 7, "late", False)],
+               [("b", 1, "late", False), ("c", 3, "added", False)]]
+    for number, rows in enumerate(batches):
+        changes = spark.createDataFrame(rows, schema)
+        apply_changes(store, changes, number, "id", "version", "deleted", stream="s")
+    found = {r["id"]: r["text"] for r in store.read("docs").collect()}
+    assert found == {"b": "new", "c": "added"}
+    assert {r["id"]: r["version"] for r in store.read("tombstones").collect()} == {"a": 9}
+    assert store.latest()["library_version"] == 100 and store.read("side").count() == 1
+    assert store.latest()["tables"]["side"]["path"] == path
