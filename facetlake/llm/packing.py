@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
@@ -29,8 +30,8 @@ from facetlake.operators.numbering import global_positions
 CAPACITY = 4096
 END_ID = 1
 # Words and their parts remembered by a Python worker; beyond that the memory starts anew.
-WORDS_KEPT = 500_000
-PARTS_KEPT = 500_000
+WORDS_KEPT = 800_000
+PARTS_KEPT = 800_000
 
 
 @dataclass
@@ -138,6 +139,12 @@ def plan_sequences(counts: Mapping[int, int], capacity: int = CAPACITY) -> Plan:
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&*.,;:()?-]*)")
 
 
+# Byte-level vocabularies write a byte as the character of its code, where that one is printed,
+# and the others in order from code 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
 class _Words(dict):
     """Ids, as little-endian bytes, of words between ASCII blanks."""
 
@@ -147,18 +154,24 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {"": b""}
 
     def _encode(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _encode_part(self, part: str) -> bytes:
+        """A part that the tokenizer would neither change nor cut goes to its model at once."""
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [token.id for token in self.model.tokenize(written)]).tobytes()
+
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
             if len(self.parts) >= PARTS_KEPT:
                 self.parts = {"": b""}
-            found = self.parts[part] = self._encode(part)
+            found = self.parts[part] = self._encode_part(part)
         return found
 
     def __missing__(self, word: bytes) -> bytes:
