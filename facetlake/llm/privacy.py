@@ -348,8 +348,9 @@ def masked_text(text: Column, spans: Column) -> Column:
 
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; all columns and rows stay."""
-    spans = span_table(docs, docs.columns, text)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), docs[text].alias("_text"))
+    spans = span_table(whole, ("_row",), "_text")
     return spans.select(*[
-        masked_text(F.col(c), F.col("spans")).alias(c) if c == text else F.col(c)
-        for c in docs.columns
+        masked_text(F.col("_row")[c], F.col("spans")).alias(c) if c == text
+        else F.col("_row")[c].alias(c) for c in docs.columns
     ])
