@@ -83,15 +83,21 @@ def collection_names(membership: DataFrame, nodes: DataFrame) -> DataFrame:
     return membership.select("id", "key").join(named, "key").select("id", "name")
 
 
-def tags_of_items(item_tags: DataFrame, items: DataFrame) -> DataFrame:
-    """Items with the distinct tags recorded for them.
+def recorded_tags(item_tag: DataFrame) -> DataFrame:
+    """``item_key, recorded_tags``: the distinct tags recorded for each item, in order.
 
     Repeated tags go before any row moves, so an item's group holds its distinct tags only.
-    Assembly does not need this join: an item's own data lists its tags.
     """
-    distinct = item_tags.select("id", "tag").distinct()
-    tags = distinct.groupBy("id").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
-    return items.join(tags, "id", "left")
+    return item_tag.select("item_key", "tag").distinct().groupBy("item_key").agg(
+        F.sort_array(F.collect_list("tag")).alias("recorded_tags"))
+
+
+def tags_of_items(item_tags: DataFrame, items: DataFrame) -> DataFrame:
+    """Items (``id``) with the distinct tags recorded for them."""
+    tags = recorded_tags(item_tags.withColumnRenamed("id", "item_key"))
+    return items.join(
+        tags.select(F.col("item_key").alias("id"), F.col("recorded_tags").alias("tags")), "id",
+        "left")
 
 
 def sort_by_normal_form(texts: Column) -> Column:

@@ -220,6 +220,7 @@ def _documents(
             library.item_export_format, ["coins", "ris", "bibtex"]
         ), "item_key", "left")
         .join(_collection_columns(library, kept, options), "item_key", "left")
+        .join(dimensions.recorded_tags(library.item_tag), "item_key", "left")
     )
     title = F.coalesce(field[F.col("title_field")], F.lit(""))
     type_order = F.coalesce("type_order", F.expr(patterns.EMPTY))
@@ -228,7 +229,7 @@ def _documents(
     ))
     parsed, added, modified = F.col("parsed_date"), field["dateAdded"], field["dateModified"]
     related = patterns.item_ids_in_uris(relation_refs(F.col("relations"), "dc:relation"))
-    tag_values = tags.tag_filter(F.col("tags"), options.tag_include, options.tag_exclude)
+    tag_values = tags.tag_filter(F.col("recorded_tags"), options.tag_include, options.tag_exclude)
     return rows.select(
         F.col("item_key").alias("id"),
         patterns.alternate_ids(
@@ -272,14 +273,20 @@ def _documents(
     )
 
 
+def _membership(library: Library, kept: DataFrame) -> DataFrame:
+    """``id, key``: the recorded collections of the kept items."""
+    ids = kept.select(F.col("item_key").alias("id"))
+    return library.item_collection.select(
+        F.col("item_key").alias("id"), F.col("collection_key").alias("key")
+    ).distinct().join(ids, "id", "left_semi")
+
+
 def _collection_columns(
     library: Library, kept: DataFrame, options: AssemblyOptions
 ) -> DataFrame:
-    """Collection names and facet paths per item, regrouped from the item's own list."""
+    """Collection names and facet paths per item, as its memberships are recorded."""
     nodes = collection_nodes(library.collection)
-    membership = kept.select(
-        F.col("item_key").alias("id"), F.explode(F.array_distinct("collections")).alias("key")
-    )
+    membership = _membership(library, kept)
     named = dimensions.collection_names(membership, nodes).groupBy("id").agg(
         F.array_join(
             dimensions.sort_by_normal_form(F.collect_list("name")), text.RECORD_SEPARATOR
@@ -345,9 +352,7 @@ def _dependencies(library: Library, kept: DataFrame, items: DataFrame) -> DataFr
         F.col("item_key").alias("dep"),
     ).join(ids, "id", "left_semi")
     nodes = collection_nodes(library.collection)
-    membership = kept.select(
-        F.col("item_key").alias("id"), F.explode("collections").alias("key")
-    )
+    membership = _membership(library, kept)
     everything = hierarchy.ancestor_paths(nodes, include_trashed=True)
     above = hierarchy.collection_dependencies(membership, everything).select(
         "id", F.lit("collection").alias("kind"), "dep"

@@ -328,3 +328,18 @@ def test_manifest(spark, made):
     assert rows(diff, "action", "file_id") == [("add", "c"), ("remove", "a")]
     full = refresh.manifest_diff(files("a"), files("b"), files("a", "b"), full=True)
     assert rows(full, "action", "file_id") == [("add", "b"), ("remove", "a"), ("remove", "b")]
+
+
+def test_tags_and_collections_come_from_their_tables(spark):
+    from dataclasses import replace
+
+    library = small_library(spark)
+    tags = spark.createDataFrame([("BOOK", " Ocean\t"), ("BOOK", "Ocean"), ("BOOK", "Reef")],
+                                 "item_key string, tag string")
+    members = spark.createDataFrame([("BOOK", "ROOT"), ("BOOK", "ROOT")],
+                                    "item_key string, collection_key string")
+    made = Assembly(replace(library, item_tag=tags, item_collection=members))
+    book = made.docs.filter("id = 'BOOK'").first()
+    assert book["facet_tag"] == ["Ocean", "Reef"]
+    deps = {(r["kind"], r["dep"]) for r in made.deps.filter("id = 'BOOK'").collect()}
+    assert ("collection", "ROOT") in deps and ("collection", "LEAF") not in deps
