@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 from facetlake.llm.scratch import small, stored
 from facetlake.operators.numbering import global_positions
 
-DEGREE = 16
+DEGREE = 24
 TREES = 6
 BLOCK = 128
-ROUNDS = 2
-BEAM = 48
+ROUNDS = 4
+BEAM = 256
 ENTRIES = 64
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
                        T.StructField("d", T.FloatType())])
