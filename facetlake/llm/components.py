@@ -33,6 +33,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
         joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _flat(edges: DataFrame) -> bool:
+    """Whether every node points at one smaller node that points at none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points")).union(
+        edges.select("v", F.lit(0))).groupBy("node").agg(
+        F.sum("points").alias("points"), F.count(F.lit(1)).alias("ends"))
+    uneven = (F.col("points") > 1) | ((F.col("points") == 1) & (F.col("ends") > 1))
+    return edges.where("v > u").isEmpty() and ends.where(uneven).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (two columns of one ordered type, no
     nulls): the component is its smallest node, which points to itself.
@@ -42,17 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     now = stored(pairs.where("u <> v").distinct(), "component-edges")
-    before = None
-    while True:
+    while not _flat(now):
         now = stored(_small_star(stored(_large_star(now), "component-large")), "component-small")
-        # Equal fingerprints of two rounds: every edge already points at its component.
-        mark = now.agg(
-            F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"),
-            F.expr("bit_xor(xxhash64(v, u, 1))"),
-        ).first()
-        if mark == before:
-            break
-        before = mark
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = leaves.select("component").distinct()
     alone = pairs.where("u = v").select("u").distinct().join(

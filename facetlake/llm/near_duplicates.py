@@ -1,11 +1,7 @@
 """Near-duplicate documents by MinHash with one permutation, exact in what it confirms.
 
 Equal sets are one class from the start, so copies cost nothing further. Classes that share a
-bucket of a band are candidates, along stars: each bucket offers edges from one hub to its other
-members. Edges are confirmed on full shingle sets, and components follow. Buckets whose members
-still lie in several components offer stars round the best-linked member, and what is left after
-that is joined within its bucket, between components only. So a bucket of n members costs n edges
-while it holds one group of near copies, and no link is given up for that.
+bucket of a band are candidates, along stars (see ``stars``), and confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -100,16 +96,6 @@ def _may_link(a: str, b: str) -> Column:
         (_differing(a, b) <= MOST_BITS) | (F.least(na, nb) < SMALL_SET))
 
 
-def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of ``edges`` whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    return edges.join(left, "a").join(right, "b").select(
-        "a", "b", both.alias("i"), (F.size("ma") + F.size("mb") - both).alias("u")
-    ).where(100 * F.col("i") >= PERCENT * F.col("u")).select("a", "b")
-
-
 def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``node, component`` of the linked classes (``id, n, b1, b2, bands``, one row each)."""
     banded = classes.where("n >= 3").select("id", "n", "b1", "b2", F.explode("bands").alias("key"))
@@ -118,11 +104,11 @@ def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str)
         "near-buckets")
     shared = stored(banded.join(small(common, 16), "key"), "near-shared")
     ids = stored(shared.select("id").distinct(), "near-ids")
-    named = docs.join(small(ids.withColumnRenamed("id", "id_"), 24),
-                      docs[id_column] == F.col("id_"), "left_semi")
-    sets = stored(document_sets(named, id_column, text).dropDuplicates(["id"]), "near-sets")
+    named = docs.select(docs[id_column].alias("id"), docs[text].alias("text")).join(
+        small(ids, 24), "id", "left_semi")
+    sets = stored(document_sets(named, "id", "text").dropDuplicates(["id"]), "near-sets")
 
-    return linked(shared, lambda edges: confirmed(edges, sets), _may_link, _differing, "near")
+    return linked(shared, sets, PERCENT, _may_link, _differing, "near")
 
 
 def _resolved(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -168,7 +154,7 @@ def keep_one_of_each(
 ) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     gone = stored(_resolved(docs, id_column, text).where("id <> component").select(
-        F.col("id").alias("id_"), F.col("t").alias("t_")).distinct(), "near-removed")
+        F.col("id").alias("_gone_id"), F.col("t").alias("_gone_text")).distinct(), "near-removed")
     return docs.join(
-        small(gone, 32), (docs[id_column] == F.col("id_"))
-        & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("t_")), "left_anti")
+        small(gone, 32), (docs[id_column] == F.col("_gone_id"))
+        & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_gone_text")), "left_anti")

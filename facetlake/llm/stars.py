@@ -1,10 +1,12 @@
 """Links among the members of shared buckets, offered along stars and lost nowhere.
 
 Each bucket offers edges from one hub to its other members. Confirmed edges give components;
-buckets whose members still lie in several of them offer stars round the best-linked member, and
-what is left after that is joined within its bucket, between components only. A bucket of n
-members costs n edges while it holds one group, and every pair of a bucket that may link is either
-confirmed, refuted or joined by others.
+buckets whose members still lie in several of them offer stars round the best-linked member. What
+is left after that are mostly buckets of members that share a common passage and little else.
+Their sets are cut to the rarest quarter of their elements, of which two sets as similar as asked
+for must share one, and members of different components meet by these elements, unless the
+elements that nobody else holds already rule a link out. So a bucket of n members costs n edges, a
+common passage brings nobody together, and no link is given up.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.llm.components import components
-from facetlake.llm.scratch import stored
+from facetlake.llm.scratch import small, stored
 
 # Over two row aliases: whether the rows may link, and how unlike they look.
 Relation = Callable[[str, str], Column]
@@ -47,22 +49,69 @@ def _star(rows: DataFrame, hub: Column, may_link: Relation, unlike: Relation) ->
     ).distinct()
 
 
-def _within(rows: DataFrame, may_link: Relation) -> DataFrame:
-    """``a, b``: the pairs of different components that share a bucket and may link."""
-    return rows.alias("x").join(rows.alias("y"), "key").where(
-        (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & may_link("x", "y")
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def rarest_elements(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, key, first, common``: the elements that a set must share one of with any set as
+    similar as ``percent``, the rarest ``n - ceil(n * percent / 100) + 1`` of its ``n``.
+
+    Elements that no other of the ``sets`` holds are left out: ``first`` lists the others in the
+    order of their rarity, ``key`` goes through them, and ``common`` counts all elements of the
+    set that some other holds, which bounds what it can share.
+    """
+    items = sets.select("id", F.explode("members").alias("key"))
+    often = items.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    # A set's own elements are its group: bounded by its document.
+    ordered = items.join(often, "key").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("f", "key"))).alias("e"))
+    n = F.size("e")
+    head = F.slice("e", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    held = F.filter(head, lambda x: x["f"] > 1)
+    return ordered.select(
+        "id", F.transform(held, lambda x: x["key"]).alias("first"),
+        F.size(F.filter("e", lambda x: x["f"] > 1)).alias("common"),
+    ).select("id", F.explode("first").alias("key"), "first", "common")
+
+
+def _by_rare_elements(
+    rows: DataFrame, sets: DataFrame, percent: int, may_link: Relation
+) -> DataFrame:
+    """``a, b``: the pairs of different components in buckets of three or more that share a
+    rare element and may link, once each. Smaller buckets are fully tested by their stars."""
+    crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(
+        "key")
+    members = stored(rows.join(crowded, "key").drop("key", "rank").distinct(), "star-crowded")
+    rare = rarest_elements(sets.join(small(members.select("id").distinct(), 16), "id"), percent)
+    met = stored(rare.join(members, "id"), "star-rare")
+    most = F.least("x.common", "y.common")
+    return met.alias("x").join(met.alias("y"), "key").where(
+        (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
+        & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)) & may_link("x", "y")
+        # Both lists are in one order, so exactly one of their common elements comes first.
+        & (F.get(F.array_intersect("x.first", "y.first"), F.lit(0)) == F.col("key"))
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``(a, b)`` of ``edges`` whose full sets are similar enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("members").alias("ma"))
+    right = sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
+    both = F.size(F.array_intersect("ma", "mb"))
+    return edges.join(left, "a").join(right, "b").select(
+        "a", "b", both.alias("i"), (F.size("ma") + F.size("mb") - both).alias("u")
+    ).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
 
 
 def linked(
-    shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], may_link: Relation,
-    unlike: Relation, name: str,
+    shared: DataFrame, sets: DataFrame, percent: int, may_link: Relation, unlike: Relation,
+    name: str,
 ) -> DataFrame:
-    """``node, component`` of the linked members.
+    """``node, component`` of the members whose ``sets`` (stored: ``id, members``) are linked.
 
     ``shared`` (stored) holds ``key, id`` and what the relations need, one row for each bucket
-    and member. ``confirm`` keeps the pairs ``a, b`` that are links.
+    and member.
     """
+    def confirm(edges: DataFrame) -> DataFrame:
+        return confirmed(edges, sets, percent)
+
     # Each member's likeliest edge first: most groups are whole after that.
     star = stored(_star(_labelled(shared, None), F.struct("id"), may_link, unlike),
                   f"{name}-star")
@@ -70,20 +119,19 @@ def linked(
         F.col("e.a").alias("a"), "b"), f"{name}-tested0")
     links = stored(confirm(tested), f"{name}-links0")
     labels = stored(components(links), f"{name}-labels0")
-    for step in range(1, 4):
+    for step in (1, 2):
         rows = stored(_labelled(shared, labels), f"{name}-mixed{step}")
         if rows.isEmpty():
             break
         if step == 1:
-            fresh = _star(rows, F.struct("id"), may_link, unlike)
-        elif step == 2:
             degree = links.select("a").union(links.select("b")).toDF("id").groupBy("id").agg(
                 F.count(F.lit(1)).alias("degree"))
             ranked = rows.join(degree, "id", "left").withColumn(
                 "rank", -F.coalesce("degree", F.lit(0))).drop("degree")
-            fresh = _star(ranked, F.struct("rank", "id"), may_link, unlike)
+            fresh = _star(rows, F.struct("id"), may_link, unlike).union(
+                _star(ranked, F.struct("rank", "id"), may_link, unlike))
         else:
-            fresh = _within(rows, may_link)
+            fresh = _by_rare_elements(rows, sets, percent, may_link)
         fresh = stored(fresh.select("a", "b").join(tested, ["a", "b"], "left_anti").distinct(),
                        f"{name}-fresh{step}")
         if fresh.isEmpty():
