@@ -58,7 +58,8 @@ def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(
         docs[id_column].alias("id"), F.xxhash64(body).alias("t"),
         F.posexplode(F.split(body, "\n")).alias("line", "raw"),
-    ).select("id", "t", "line", normal_line(F.col("raw")).alias("s")).where("s <> ''")
+    ).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select(
+        "id", "t", "line", normal_line(F.col("raw")).alias("s"))
 
 
 def _hash(line: Column) -> Column:
@@ -88,15 +89,7 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     sets = stored(
         _lines(docs, id_column, text).select(_hash(F.col("s")).alias("h"), "s")
         .join(small(nodes, 16), "h").dropDuplicates(["h"])
-        .select("h", shingle_hashes(F.col("s")).alias("set")), "line-sets")
-
-    def confirm(edges: DataFrame) -> DataFrame:
-        left = sets.select(F.col("h").alias("a"), F.col("set").alias("x"))
-        right = sets.select(F.col("h").alias("b"), F.col("set").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return edges.join(left, "a").join(right, "b").select(
-            "a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")
-        ).where(100 * F.col("i") >= PERCENT * F.col("u")).select("a", "b")
+        .select(F.col("h").alias("id"), shingle_hashes(F.col("s")).alias("members")), "line-sets")
 
     def may_link(a: str, b: str) -> Column:
         m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -105,7 +98,7 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     def unlike(a: str, b: str) -> Column:
         return F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
 
-    labels = linked(shared, confirm, may_link, unlike, "line")
+    labels = linked(shared, sets, PERCENT, may_link, unlike, "line")
     return lines, labels.select(F.col("node").alias("h"), "component")
 
 
@@ -126,7 +119,7 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated lines of ``text``; every row and column stays, and columns
-    ``lines_before`` and ``lines_dropped`` follow.
+    ``lines_before`` and ``lines_dropped`` follow (in place of any of these names).
 
     Defined cases: null texts stay null with 0 lines; lines without words stay; equal lines
     within one text count too; the first line by id, text hash and line number stays, null ids
@@ -134,12 +127,14 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """
     dropped = dropped_lines(docs, id_column, text)
     size = dropped.agg(F.sum(F.size("lines") * 4 + 48)).first()[0] or 0
-    side = dropped.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "lines")
+    side = dropped.select(F.col("id").alias("_gone_id"), F.col("t").alias("_gone_text"),
+                          F.sort_array("lines").alias("_gone"))
     if size <= 16 << 20:
         side = F.broadcast(side)
     body = F.coalesce(docs[text], F.lit(""))
     joined = docs.join(
-        side, docs[id_column].eqNullSafe(F.col("id_")) & (F.xxhash64(body) == F.col("t_")), "left")
+        side, docs[id_column].eqNullSafe(F.col("_gone_id"))
+        & (F.xxhash64(body) == F.col("_gone_text")), "left")
     before = F.when(docs[text].isNull(), 0).otherwise(F.size(F.split(body, "\n")))
 
     def without(gone: Column) -> Column:
@@ -149,9 +144,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
             F.concat(F.array(F.lit(-1)), gone), F.concat(gone, F.array(F.size(p))),
             lambda a, b: F.slice(p, a + 2, b - a - 1))), "\n"))
 
-    gone = F.sort_array(F.col("lines"))
-    rest = F.when(F.col("lines").isNull(), docs[text]).otherwise(evaluate_once(gone, without))
+    rest = F.when(F.col("_gone").isNull(), docs[text]).otherwise(without(F.col("_gone")))
+    added = ("lines_before", "lines_dropped")
     return joined.select(
-        *[rest.alias(c) if c == text else docs[c] for c in docs.columns],
-        before.cast("long").alias("lines_before"),
-        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("lines_dropped"))
+        *[rest.alias(c) if c == text else docs[c] for c in docs.columns if c not in added],
+        before.cast("long").alias(added[0]),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(added[1]))
