@@ -1,8 +1,8 @@
 """Fuzzy duplicates of lines by MinHash, with DataFrame functions only.
 
-A line is lower-cased and its white space made single blanks. Its set holds the shingles of up to
-12 characters that start at its words: shingles at every position would say the same about a line
-at six times the cost. Equal lines are one class by hash. The sorted hashes of a set give its
+A line is lower-cased and its white space made single blanks. Its set holds the shingles of 12
+characters at every position, or the whole line if it is shorter, so that text without blanks is
+looked at as closely as words. Equal lines are one class by hash. The sorted hashes of a set give its
 signature: the least one in each of 16 ranges. A band is the value of a filled range and of the
 next filled one, so a line is in up to 16 overlapping bands: a pair at the similarity limit misses
 all of them once in some thousands. Candidates are confirmed on full sets, components follow, and
@@ -21,7 +21,8 @@ from facetlake.llm.stars import linked
 PERCENT = 75
 SHINGLE = 12
 RANGE_BITS = 4
-_SHINGLES = rf"(?s)(?<![^ ])(?=(.{{1,{SHINGLE}}}))"
+# Each match takes one character, so that a pair of surrogates is never cut.
+_SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 

@@ -83,6 +83,27 @@ def without_repeated_lines(rows):
     ) for i, text in rows}
 
 
+def without_similar_lines(rows):
+    """As ``without_repeated_lines``, with shingles at every position."""
+    first, sets = {}, {}
+    for i, text in sorted(rows):
+        for n, line in enumerate((text or "").split("\n")):
+            s = normal_line(line)
+            if s and s not in first:
+                first[s] = (i, n)
+                sets[s] = {s[k:k + 12] for k in range(max(1, len(s) - 11))}
+    found, best = Sets(), {}
+    for a, b in similar_pairs(sets):
+        found.join(a, b)
+    for s, place in first.items():
+        root = found.find(s)
+        best[root] = min(best.get(root, place), place)
+    return {i: None if text is None else "\n".join(
+        line for n, line in enumerate(text.split("\n"))
+        if not normal_line(line) or best[found.find(normal_line(line))] == (i, n)
+    ) for i, text in rows}
+
+
 def without_repeated_bytes(rows, length=100):
     """``n_bytes, n_removed, n_spans, kept`` by id."""
     seen, out = set(), {}

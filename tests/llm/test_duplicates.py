@@ -108,6 +108,28 @@ def test_lines_that_differ_a_little(make_docs):
     assert found == wanted
 
 
+def test_lines_without_blanks_are_looked_at_whole(make_docs):
+    rng = random.Random(9)
+    same = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(12))
+    tails = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(3)]
+    kept = ["https://www.example.com/a", "https://www.other.org/b",
+            "[1] https://www.foo.example/first", "[1] https://www.bar.example/second",
+            "2024-01-01T10:00:00.123456 up", "2024-01-01T10:59:31.987650 down",
+            *[same + tail for tail in tails], "😀" * 3 + tails[0][::-1]]
+    copies = [same + tails[0][:-1] + "x", "😀" * 3 + tails[0][::-1] + "!"]
+    texts = [*kept, *copies]
+    wanted = plain.without_similar_lines(list(enumerate(texts)))
+    assert wanted == dict(enumerate([*kept, "", ""]))
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(texts)).collect()}
+    assert found == wanted
+
+
+def test_lines_of_documents_by_shingles_at_every_position(documents, document_rows):
+    wanted = plain.without_similar_lines([(i, t) for i, t, _, _ in document_rows])
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(documents).collect()}
+    assert found == wanted
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     rows = dedup_lines(odd_docs).collect()
     found = {r["doc_id"]: r for r in rows}
