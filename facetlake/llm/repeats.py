@@ -141,15 +141,17 @@ def _emit(
     ids: list[tuple[int, int]], sizes: list[int], places: np.ndarray,
     names: tuple[np.ndarray, np.ndarray], n_buckets: int, mark_first: bool, width: str,
 ) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, entries) of one batch. Equal names leave one entry, their first; the places
-    that are settled by that travel in the same bucket as a bare list."""
+    """Rows (bucket, entries) of one batch. Equal names in one bucket leave one entry, their
+    first; the places that are settled by that travel in the same bucket as a bare list. Where
+    names of several buckets mix, an equal one may travel again, which only costs its entry."""
+    bucket = (names[1] % np.uint64(n_buckets)).astype(np.uint32)
     order = np.argsort(names[0], kind="stable")
-    ordered = names[0][order]
-    new = np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)]
+    ordered, dealt_to = names[0][order], bucket[order]
+    new = np.append(True, (ordered[1:] != ordered[:-1]) | (dealt_to[1:] != dealt_to[:-1]))[
+        :len(ordered)]
     repeated = ~(new & np.append(new[1:], True)[:len(new)])
     firsts = np.sort(order[new])
     settled = np.sort(order[repeated if mark_first else ~new])
-    bucket = (names[1] % np.uint64(n_buckets)).astype(np.uint32)
     documents = [np.array([k for k, _ in ids], "<i8").tobytes(),
                  np.array([h for _, h in ids], "<i8").tobytes(),
                  pack_ascending(np.cumsum(sizes))]

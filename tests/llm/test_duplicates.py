@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from facetlake.llm import shingles as sh
 from facetlake.llm.components import components
 from facetlake.llm.lines import dedup_lines
 from facetlake.llm.near_duplicates import keep_one_of_each, near_duplicates
-from facetlake.llm.repeats import (COVER, PERIOD, pack_ascending, remove_repeats,
-                                   unpack_ascending)
+from facetlake.llm.repeats import (COVER, PERIOD, _compare, _emit, pack_ascending,
+                                   remove_repeats, unpack_ascending)
 from tests.llm import plain
 
 
@@ -153,6 +154,22 @@ def test_packed_numbers_round_trip():
         assert unpack_ascending(pack_ascending(np.array(values, dtype=np.int64))).tolist() == values
 
 
+def test_equal_short_names_of_two_buckets_in_one_batch():
+    import numpy as np
+    # Places 0 and 200 share the short name but not the bucket; the other batch repeats the second.
+    def rows(doc, places, second):
+        names = (np.full(len(places), 77, np.uint64), np.array(second, np.uint64))
+        return [r for b in _emit([(doc, 0)], [400], np.array(places), names, 2, True, "<u4")
+                for r in b.to_pylist()]
+    sent = rows(1, [0, 200], [0, 1]) + rows(2, [50], [1])
+    found = {}
+    for bucket in (0, 1):
+        blobs = pa.table({"entries": [r["entries"] for r in sent if r["bucket"] == bucket]})
+        for r in _compare(True, "<u4")(blobs).to_pylist():
+            found.setdefault(r["k"], []).extend(unpack_ascending(r["places"]).tolist())
+    assert found == {1: [200], 2: [50]}
+
+
 def passages():
     rng, texts = random.Random(5), []
     base = "".join(rng.choice("abcé ") for _ in range(3000))
