@@ -5,8 +5,9 @@ fills a neighbourhood. The graph starts from random projections: nodes sorted by
 few projections are cut into even blocks, and each block compares its members. Then NN-descent:
 every node brings its neighbours and reverse neighbours together, in joins, and pairs of them that
 beat the lists they would enter become edges. A search keeps the nearest nodes found per query and
-expands, in each round, those not yet expanded, until none is left. Building compares vectors of
-one byte per component; searching measures the original ones in double precision.
+expands, in each round, those not yet expanded, until none is left. Building and searching measure
+the original components in double precision: no scale is shared, so that a few vectors of very
+large norm take nothing from the others.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ROUNDS = 4
 BEAM = 256
 ENTRIES = 64
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                       T.StructField("d", T.FloatType())])
+                       T.StructField("d", T.DoubleType())])
 
 
 @dataclass(frozen=True)
@@ -71,12 +72,11 @@ def _nodes(rows: DataFrame, members_kept: int) -> tuple[DataFrame, DataFrame]:
     return nodes.select("node", "vec"), members
 
 
-def _coded(nodes: DataFrame, bits: int) -> DataFrame:
-    """``node, v8, codes, lines``: one byte per component, and for each tree the signs of
+def _coded(nodes: DataFrame, bits: int, width: str) -> DataFrame:
+    """``node, v, codes, lines``: the bytes of all components, and for each tree the signs of
     ``bits`` random projections and one projection more."""
-    scale = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     schema = T.StructType([
-        T.StructField("node", T.LongType()), T.StructField("v8", T.BinaryType()),
+        T.StructField("node", T.LongType()), T.StructField("v", T.BinaryType()),
         T.StructField("codes", T.ArrayType(T.LongType())),
         T.StructField("lines", T.ArrayType(T.DoubleType()))])
 
@@ -89,9 +89,8 @@ def _coded(nodes: DataFrame, bits: int) -> DataFrame:
             sides = np.einsum("nd,tbd->ntb", x, planes)
             weights = np.int64(1) << np.arange(bits, dtype=np.int64)
             codes = ((sides[:, :, :bits] > 0) * weights).sum(axis=2)
-            v8 = np.rint(x / scale * 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([row.tobytes() for row in v8], pa.binary()),
+                batch.column(0), pa.array([row.tobytes() for row in x.astype(width)], pa.binary()),
                 pa.array(codes.tolist(), pa.list_(pa.int64())),
                 pa.array(sides[:, :, bits].tolist(), pa.list_(pa.float64()))],
                 names=schema.names)
@@ -113,23 +112,23 @@ def _apart(table: pa.Table, key: str) -> Iterator[pa.Table]:
         yield table.slice(a, b - a)
 
 
-def _bytes_of(table: pa.Table) -> np.ndarray:
-    rows = table.column("v8").to_pylist()
-    return np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1).astype(np.float32)
+def _vectors_of(table: pa.Table, width: str) -> np.ndarray:
+    rows = table.column("v").to_pylist()
+    return np.frombuffer(b"".join(rows), width).reshape(len(rows), -1).astype(np.float64)
 
 
 def _edge_table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
     a, b, d = (np.concatenate(c) for c in zip(*parts)) if parts else ([], [], [])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                     pa.array(d, pa.float32())], names=_EDGES.names)
+                     pa.array(d, pa.float64())], names=_EDGES.names)
 
 
-def _block_edges(degree: int) -> Callable[[pa.Table], pa.Table]:
+def _block_edges(degree: int, width: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         parts = []
         for block in _apart(table, "block"):
             ids = block.column("node").to_numpy()
-            d = _squares(_bytes_of(block))
+            d = _squares(_vectors_of(block, width))
             np.fill_diagonal(d, np.inf)
             k = min(degree, len(ids) - 1)
             if k > 0:
@@ -147,7 +146,7 @@ def _nearest(edges: DataFrame, degree: int) -> DataFrame:
         "place", F.row_number().over(order)).where(F.col("place") <= degree).drop("place")
 
 
-def _projected(coded: DataFrame, degree: int) -> DataFrame:
+def _projected(coded: DataFrame, degree: int, width: str) -> DataFrame:
     """Edges within even blocks of nodes that lie on the same sides of random planes."""
     found = None
     for tree in range(TREES):
@@ -155,29 +154,32 @@ def _projected(coded: DataFrame, degree: int) -> DataFrame:
                             F.get("lines", tree).alias("line"))
         placed = global_positions(keys, [F.col("code"), F.col("line"), F.col("node")], "place")
         blocked = placed.select("node", F.floor((F.col("place") - 1) / BLOCK).alias("block")).join(
-            coded.select("node", "v8"), "node").withColumn("part", F.floor(F.col("block") / 8))
-        edges = blocked.groupBy("part").applyInArrow(_block_edges(degree), _EDGES)
+            coded.select("node", "v"), "node").withColumn("part", F.floor(F.col("block") / 8))
+        edges = blocked.groupBy("part").applyInArrow(_block_edges(degree, width), _EDGES)
         found = edges if found is None else found.union(edges)
     return _nearest(found, degree)
 
 
-def _local_join(table: pa.Table) -> pa.Table:
+def _local_join(width: str) -> Callable[[pa.Table], pa.Table]:
     """Pairs of the neighbours of each node that beat the list of one of the two."""
-    parts = []
-    for group in _apart(table, "at"):
-        ids = group.column("node").to_numpy()
-        new = group.column("new").to_numpy(zero_copy_only=False)
-        radius = group.column("radius").to_numpy()
-        d = _squares(_bytes_of(group))
-        fresh = (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
-        i, j = np.nonzero(fresh & (d < radius[:, None]))
-        if len(i):
-            parts.append((ids[i], ids[j], d[i, j]))
-    if not parts:
-        return _edge_table(parts)
-    a, b, d = (np.concatenate(c) for c in zip(*parts))
-    _, once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
-    return _edge_table([(a[once], b[once], d[once])])
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for group in _apart(table, "at"):
+            ids = group.column("node").to_numpy()
+            new = group.column("new").to_numpy(zero_copy_only=False)
+            radius = group.column("radius").to_numpy()
+            d = _squares(_vectors_of(group, width))
+            fresh = (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :])
+            i, j = np.nonzero(fresh & (d < radius[:, None]))
+            if len(i):
+                parts.append((ids[i], ids[j], d[i, j]))
+        if not parts:
+            return _edge_table(parts)
+        a, b, d = (np.concatenate(c) for c in zip(*parts))
+        _, once = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
+        return _edge_table([(a[once], b[once], d[once])])
+
+    return run
 
 
 def _with_reverse(edges: DataFrame, degree: int) -> DataFrame:
@@ -198,8 +200,11 @@ def build_graph(
     nodes, members = _nodes(usable(vectors, id_column, vector), members_kept)
     n = nodes.count()
     bits = max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
-    coded = stored(_coded(nodes, bits), "ann-coded")
-    edges = stored(_projected(coded, degree), "ann-edges0")
+    # As wide as the table's own components, so nothing is rounded.
+    component = vectors.schema[vector].dataType.elementType
+    width = "<f4" if component == T.FloatType() else "<f8"
+    coded = stored(_coded(nodes, bits, width), "ann-coded")
+    edges = stored(_projected(coded, degree, width), "ann-edges0")
     before = None
     for step in range(1, rounds + 1):
         near = _with_reverse(edges, degree)
@@ -212,11 +217,11 @@ def build_graph(
                 "new", F.col("old").isNull()).drop("old")
         full = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).select(
             F.col("a").alias("node"), F.when(F.col("n") >= degree, F.col("d")).otherwise(
-                F.lit(float("inf"))).cast("float").alias("radius"))
-        known = coded.select("node", "v8").join(full, "node")
+                F.lit(float("inf"))).alias("radius"))
+        known = coded.select("node", "v").join(full, "node")
         met = near.select("at", "node", "new").join(known, "node").withColumn(
             "part", F.pmod(F.xxhash64("at"), F.lit(max(1, n // 512))))
-        pairs = met.groupBy("part").applyInArrow(_local_join, _EDGES)
+        pairs = met.groupBy("part").applyInArrow(_local_join(width), _EDGES)
         before, edges = edges, stored(_nearest(edges.union(pairs), degree), f"ann-edges{step}")
     both = stored(_with_reverse(edges, degree).toDF("a", "b", "d"), "ann-graph")
     return Graph(nodes, both, members)

@@ -63,3 +63,18 @@ def test_odd_vectors(spark):
         lists.setdefault(r["query_id"], []).append(r["vec_id"])
     assert lists == {0: [9, 1, 10], 1: [0, 9, 10], 9: [0, 1, 10], 10: [0, 1, 9]}
     assert nearest_vectors(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_recall_beside_vectors_of_very_large_norm(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 8000)] + 0.4 * rng.standard_normal((8000, 16))
+    x[:3] *= 1e5
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype("f4"))]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA).repartition(4)
+    wanted = brute(rows, lambda i: i % 200 == 7, 10)
+    found = {}
+    for r in nearest_vectors(frame, F.col("vec_id") % 200 == 7).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[q] & {i for _, i in best}) for q, best in wanted.items())
+    assert hits >= 0.9 * sum(map(len, wanted.values()))
