@@ -5,8 +5,10 @@ characters at every position, or the whole line if it is shorter, so that text w
 looked at as closely as words. Equal lines are one class by hash. The sorted hashes of a set give its
 signature: the least one in each of 16 ranges. A band is the value of a filled range and of the
 next filled one, so a line is in up to 16 overlapping bands: a pair at the similarity limit misses
-all of them once in some thousands. Candidates are confirmed on full sets, components follow, and
-of each component the first line of the corpus stays.
+all of them once in some thousands. Sets of up to 16 shingles fill too few ranges for that and
+meet by the least quarter of their hashes instead, of which two similar sets must share one; so do
+the sets up to 21 that can be similar to them. Candidates are confirmed on full sets, components
+follow, and of each component the first line of the corpus stays.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from facetlake.llm.stars import linked
 PERCENT = 75
 SHINGLE = 12
 RANGE_BITS = 4
+SMALL_SET = 16
 # Each match takes one character, so that a pair of surrogates is never cut.
 _SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -38,7 +41,7 @@ def shingle_hashes(line: Column) -> Column:
 
 
 def band_keys(hashes: Column) -> Column:
-    """Keys of the bands of a sorted set."""
+    """Keys of the bands of a sorted set; of a small one the elements it must share one of."""
     def range_of(x: Column) -> Column:
         return F.shiftright(x, 64 - RANGE_BITS)
 
@@ -50,7 +53,14 @@ def band_keys(hashes: Column) -> Column:
         return F.transform(values, lambda x, i: F.xxhash64(
             x, F.coalesce(F.get(values, i + 1), F.get(values, F.lit(0)))))
 
-    return evaluate_once(evaluate_once(hashes, least), keys)
+    def of_set(ordered: Column) -> Column:
+        n, bands = F.size(ordered), evaluate_once(least(ordered), keys)
+        first = F.slice(ordered, F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
+        exact = F.transform(first, lambda x: F.xxhash64(x))
+        return F.when(n <= SMALL_SET, exact).when(
+            n <= SMALL_SET * 100 // PERCENT, F.concat(exact, bands)).otherwise(bands)
+
+    return evaluate_once(hashes, of_set)
 
 
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from facetlake.llm import shingles as sh
 from facetlake.llm.components import components
-from facetlake.llm.lines import dedup_lines
+from facetlake.llm.lines import band_keys, dedup_lines
 from facetlake.llm.near_duplicates import keep_one_of_each, near_duplicates
 from facetlake.llm.repeats import (COVER, PERIOD, _compare, _emit, pack_ascending,
                                    remove_repeats, unpack_ascending)
@@ -131,6 +131,18 @@ def test_lines_of_documents_by_shingles_at_every_position(documents, document_ro
     assert found == wanted
 
 
+def test_short_similar_lines_always_share_a_key(spark):
+    rng = random.Random(21)
+    pairs = []
+    for _ in range(4000):
+        a = [rng.getrandbits(64) - 2**63 for _ in range(rng.choice([3, 6, 12, 16]))]
+        pairs.append((sorted(a), sorted([*a, *[rng.getrandbits(64) - 2**63
+                                               for _ in range(len(a) // 3)]])))
+    both = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(
+        band_keys(F.col("a")).alias("a"), band_keys(F.col("b")).alias("b"))
+    assert both.where(~F.arrays_overlap("a", "b")).count() == 0
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     rows = dedup_lines(odd_docs).collect()
     found = {r["doc_id"]: r for r in rows}
