@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm import sql
+from facetlake.llm.contamination import judge_contamination
+from facetlake.llm.merkle import build_manifest, leaf_digest, prove, verify
 from facetlake.llm.quality import judge_quality
 from facetlake.llm.privacy import span_digest, span_table
 from facetlake.llm.bpe import decode_documents, encode_documents
@@ -107,6 +109,33 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, proof and check, with half of the texts tampered with."""
+    docs = table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    joined = F.when(even, F.translate(docs["text"], "\n", "")).otherwise(docs["text"])
+    claim = leaf_digest([*[docs[c] for c in columns[:-1]], joined])
+    manifest = build_manifest(docs, columns, carried={"claim": claim})
+    checked = verify(prove(manifest), "claim")
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    names = {"leaf": "leaf", "subroot": "subroot", "proof_sha256": "siblings",
+             "folded_root": "folded"}
+    texts = {new: F.lower(F.hex(old)) for new, old in names.items()}
+    return checked.select(
+        F.col("key").alias("doc_id"), *[c.alias(n) for n, c in texts.items()],
+        root.alias("root"), (texts["folded_root"] == root).alias("verified"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's words inside passages of benchmark items."""
+    judged = judge_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated")
+
+
 LLM_CASES: dict[str, LlmCase] = {
     "op6_line_dedup": LlmCase(op6_line_dedup),
     "op9_nearest_neighbours": LlmCase(op9_nearest_neighbours),
@@ -118,4 +147,6 @@ LLM_CASES: dict[str, LlmCase] = {
     "op2_url_filter": LlmCase(op2_url_filter, sql.URL_FILTER),
     "op7_jump_shards": LlmCase(op7_jump_shards, sql.jump_shards(8)),
     "op10_quality_rules": LlmCase(op10_quality_rules),
+    "op11_merkle_manifest": LlmCase(op11_merkle_manifest, sql.MERKLE_MANIFEST),
+    "op13_decontamination": LlmCase(op13_decontamination, sql.CONTAMINATION),
 }
