@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.llm import sql
+from facetlake.llm.alignment import align_tokenizers
 from facetlake.llm.contamination import judge_contamination
 from facetlake.llm.merkle import build_manifest, leaf_digest, prove, verify
 from facetlake.llm.quality import judge_quality
@@ -127,6 +128,13 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
         root.alias("root"), (texts["folded_root"] == root).alias("verified"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's groups and links between the tokens of two tokenizers."""
+    return align_tokenizers(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's words inside passages of benchmark items."""
     judged = judge_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -148,5 +156,6 @@ LLM_CASES: dict[str, LlmCase] = {
     "op7_jump_shards": LlmCase(op7_jump_shards, sql.jump_shards(8)),
     "op10_quality_rules": LlmCase(op10_quality_rules),
     "op11_merkle_manifest": LlmCase(op11_merkle_manifest, sql.MERKLE_MANIFEST),
+    "op12_tokenizer_alignment": LlmCase(op12_tokenizer_alignment),
     "op13_decontamination": LlmCase(op13_decontamination, sql.CONTAMINATION),
 }

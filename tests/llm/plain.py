@@ -244,3 +244,90 @@ def jump(key, n):
         key = (key * 2862933555777941757 + 1) % (1 << 64)
         jump_to = int((at + 1) * (float(1 << 31) / float((key >> 33) + 1)))
     return at
+
+
+def merkle_root(digests):
+    """Every level from the leaves to the root, as lists of hexadecimal digests."""
+    levels = [digests]
+    while len(levels[-1]) > 1:
+        l = levels[-1]
+        levels.append([hashlib.sha256("".join(l[i:i + 3]).encode()).hexdigest()
+                       for i in range(0, len(l), 3)])
+    return levels
+
+
+def merkle_leaf(row):
+    parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row]
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_rows(rows):
+    """(doc_id, leaf, subroot, root, proof_sha256) of rows (doc_id, source, ...)."""
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append(row)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        leaves = sorted(((r[0] is not None, r[0] or 0, merkle_leaf(r)), r[0]) for r in groups[s])
+        trees[s] = [i for _, i in leaves], merkle_root([k[2] for k, _ in leaves])
+    top = merkle_root([trees[s][1][-1][0] for s in order])
+
+    def siblings(levels, at):
+        out = []
+        for level in levels[:-1]:
+            run = range(at - at % 3, min(at - at % 3 + 3, len(level)))
+            out += [level[j] for j in run if j != at]
+            at //= 3
+        return out
+
+    for place, s in enumerate(order):
+        ids, levels = trees[s]
+        for at, i in enumerate(ids):
+            proof = "".join(siblings(levels, at) + siblings(top, place))
+            yield (i, levels[0][at], levels[-1][0], top[-1][0],
+                   hashlib.sha256(proof.encode()).hexdigest())
+
+
+def spoken(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def contamination(texts, items, window=10):
+    """(n_words, hit words, ids) of each text; ``items``: (id, text)."""
+    windows = defaultdict(set)
+    for i, text in items:
+        words = spoken(text)
+        m = min(window, len(words))
+        for k in range(len(words) - m + 1) if m else ():
+            windows[tuple(words[k:k + m])].add(i)
+    lengths = {len(w) for w in windows}
+    for text in texts:
+        words, hit, ids = spoken(text), set(), set()
+        for m in lengths:
+            for k in range(len(words) - m + 1):
+                found = windows.get(tuple(words[k:k + m]))
+                if found:
+                    hit.update(range(k, k + m))
+                    ids |= found
+        yield len(words), len(hit), sorted(str(i) for i in ids if i is not None)
+
+
+def aligned(tokens_a, tokens_b):
+    """(groups, links) of two lists of (id, bytes) with the same bytes in all: groups as lists of
+    both sides' ids, links as pairs of ids."""
+    def spans(tokens):
+        at = 0
+        for i, b in tokens:
+            yield i, at, at + len(b)
+            at += len(b)
+
+    a, b = list(spans(tokens_a)), list(spans(tokens_b))
+    links = [(i, j) for i, s, e in a for j, t, f in b if s < f and t < e]
+    shared = sorted({e for _, _, e in a} & {e for _, _, e in b})
+    groups, low = [], 0
+    for end in shared:
+        groups.append(tuple([i for i, _, e in side if low < e <= end] for side in (a, b)))
+        low = end
+    return groups, links
