@@ -17,7 +17,9 @@ ITEM_PLACES = (rf"https?://(?:www\.)?{re.escape(LIBRARY_HOST)}", f"{APP_SCHEME}:
 ITEM_OWNERS = ("library", "groups/[0-9]+", "users/[0-9]+")
 # The item id is the only group.
 ITEM_URI = f"(?:{'|'.join(ITEM_PLACES)})/(?:{'|'.join(ITEM_OWNERS)})/items/([A-Z0-9]+)"
-_ALONE = rf"(?<!\S){ITEM_URI}(?!\S)"
+# Neither side may touch anything but white space of any kind.
+_INK = "[^" + BLANK_RUN[1:-1]
+_ALONE = f"(?<!{_INK}){ITEM_URI}(?!{_INK})"
 
 
 def _link_target(target: str) -> str:

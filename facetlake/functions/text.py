@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import html.entities
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -171,49 +172,78 @@ def strip_markup(c: Column) -> Column:
     return unescape_entities(F.trim(F.regexp_replace(bare, BLANK_RUN, " ")))
 
 
-# The rich text elements that titles and names may contain, and the two kinds of
-# span, each with the attribute it must carry.
-_ELEMENTS = ("i", "b", "sub", "sup")
-_SPANS = (
-    ("class", ("nocase",), '<span class="nocase">'),
-    ("style", ("font-variant", ":small-caps;"), '<span style="font-variant:small-caps;">'),
-)
-
-
-def _element(before: str, after: str) -> str:
-    """Pattern of an opening or closing tag of a rich text element; group 1 is its inside."""
-    return before + r"(/*)\s*(" + "|".join(_ELEMENTS) + r")\s*" + after
-
-
-def _span(attribute: str, words: tuple[str, ...], before: str, after: str, quote: str) -> str:
-    """Pattern of a span with one attribute; group 1 is what it encloses."""
-    value = r"\s*".join(["", *words, ""])
-    opening = rf"{before}span\s+{attribute}\s*=\s*{quote}{value}{quote}\s*{after}"
-    return rf"(?s){opening}(.*?){before}/\s*span\s*{after}"
+# The rich text that titles and names may hold, as written inside the angle
+# brackets. A span counts only together with its end.
+_RICH_TAGS = ("i", "/i", "b", "/b", "sub", "/sub", "sup", "/sup")
+_RICH_SPANS = ('span class="nocase"', 'span style="font-variant:small-caps;"')
+_SPAN_END = "/span"
+# Everything between two angle brackets, or the text up to the next one.
+_PIECE = "<[^<>]*>|[^<]+|<"
+_REFERENCES = {"&": "&amp;", ">": "&gt;", "<": "&lt;", "'": "&#39;", '"': "&#34;"}
+
+
+def _inside(piece: Column) -> Column:
+    """What a tag holds, with single blanks and none beside an equals sign, a quote or a slash
+    or before a colon; NULL for anything else."""
+    inside = F.regexp_replace(F.substring(piece, F.lit(2), F.length(piece) - 2), BLANK_RUN, " ")
+    inside = F.regexp_replace(inside, ' ?(["=]) ?', "$1")
+    inside = F.btrim(F.replace(F.regexp_replace(inside, "^/ ", "/"), F.lit(" :"), F.lit(":")))
+    return F.when(F.startswith(piece, F.lit("<")) & F.endswith(piece, F.lit(">")), inside)
+
+
+def _closed_spans(tags: Column) -> Column:
+    """Places of the spans of rich text that have an end, and of those ends."""
+    places = F.filter(
+        F.transform(tags, lambda t, i: F.struct(i.alias("at"), (t == _SPAN_END).alias("end"),
+                                                t.isin(*_RICH_SPANS, _SPAN_END).alias("span"))),
+        lambda e: e["span"])
+    none = F.expr("CAST(array() AS array<int>)")
+
+    def step(state: Column, event: Column) -> Column:
+        depth = F.size(state["open"])
+        return F.when(~event["end"], F.struct(
+            F.concat(state["open"], F.array(event["at"])).alias("open"),
+            state["closed"].alias("closed"),
+        )).when(depth > 0, F.struct(
+            F.slice(state["open"], F.lit(1), depth - 1).alias("open"),
+            F.concat(state["closed"], F.array(F.get(state["open"], depth - 1), event["at"]))
+            .alias("closed"),
+        )).otherwise(state)
+
+    start = F.struct(none.alias("open"), none.alias("closed"))
+    return F.aggregate(places, start, step, lambda state: state["closed"])
+
+
+def _rewritten(c: Column, rich: Callable[[Column], Column],
+               literal: Callable[[Column], Column]) -> Column:
+    """The text with ``rich`` applied to the insides of its rich text tags and ``literal`` to all
+    other pieces."""
+    def whole(pieces: Column) -> Column:
+        return evaluate_once(F.transform(pieces, _inside), lambda tags: evaluate_once(
+            _closed_spans(tags), lambda closed: F.array_join(F.zip_with(
+                pieces, F.transform(tags, lambda t, i: F.when(
+                    t.isin(*_RICH_TAGS) | F.array_contains(closed, i), t)),
+                lambda piece, tag: F.when(tag.isNotNull(), rich(tag)).otherwise(literal(piece)),
+            ), "")))
+
+    pieces = F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
+    return F.when(F.contains(c, F.lit("<")), evaluate_once(pieces, whole)).otherwise(literal(c))
 
 
 def strip_rich_text(c: Column) -> Column:
     """Remove only the rich text elements; any other markup is literal text."""
-    bare = F.regexp_replace(c, _element("<", ">"), "")
-    for attribute, words, _ in _SPANS:
-        bare = F.regexp_replace(bare, _span(attribute, words, "<", ">", '"'), "$1")
-    return bare
+    return _rewritten(c, lambda tag: F.lit(""), lambda piece: piece)
 
 
-_MARKUP_CHARACTERS = {"&": "&amp;", ">": "&gt;", "<": "&lt;", "'": "&#39;", '"': "&#34;"}
+def _escaped(piece: Column) -> Column:
+    for char, reference in _REFERENCES.items():
+        piece = F.replace(piece, F.lit(char), F.lit(reference))
+    return piece
 
 
 def escape_rich_text(c: Column) -> Column:
     """All markup characters as references, but for those of the rich text elements."""
-    safe = c
-    for char, reference in _MARKUP_CHARACTERS.items():
-        safe = F.replace(safe, F.lit(char), F.lit(reference))
-    less, more, quote = (_MARKUP_CHARACTERS[char] for char in '<>"')
-    safe = F.regexp_replace(safe, _element(less, more), "<$1$2>")
-    for attribute, words, tag in _SPANS:
-        safe = F.regexp_replace(
-            safe, _span(attribute, words, less, more, quote), f"{tag}$1</span>")
-    return safe
+    return _rewritten(c, lambda tag: F.concat(F.lit("<"), tag, F.lit(">")), _escaped)
 
 
 def abstract_snippet(c: Column, length: int, leeway: int = 0, end: str = "...") -> Column:

@@ -129,6 +129,10 @@ def facets_when_empty(
     if records_only and "item_type" in docs.columns:
         docs = docs.filter(~F.coalesce(F.col("item_type").isin(*CHILD_TYPES), F.lit(False)))
     used = [s for s in specs if chosen.get(s.filter_key)]
+    if not used:
+        # Nothing is being filtered on, so no value is active.
+        return docs.sparkSession.createDataFrame(
+            [], "facet string, value string, label string, count bigint, active boolean")
     parts = []
     for spec in used:
         matched = F.lit(True)

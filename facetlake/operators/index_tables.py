@@ -130,11 +130,23 @@ def field_stats(postings: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def merge_term_stats(old: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Document frequencies after a change, from the postings that went and came."""
-    deltas = (
-        old.select("field", "term", "df")
-        .unionByName(removed.select("field", "term", F.lit(-1).cast("bigint").alias("df")))
-        .unionByName(added.select("field", "term", F.lit(1).cast("bigint").alias("df")))
+def bucket_stats(postings: DataFrame, docs: DataFrame, bucket: str) -> dict[str, DataFrame]:
+    """A11 per bucket of documents: ``term_stats``, ``field_stats`` and the number of documents."""
+    return {
+        "term_stats": postings.groupBy(bucket, "field", "term").agg(
+            F.count(F.lit(1)).alias("df")),
+        "field_stats": postings.groupBy(bucket, "field").agg(F.sum("tf").alias("sum_len")),
+        "bucket_docs": docs.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_docs")),
+    }
+
+
+def merged_stats(
+    terms: DataFrame, fields: DataFrame, documents: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``term_stats`` and ``field_stats`` of the corpus from those of its buckets."""
+    total = documents.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).cast("bigint").alias("n"))
+    return (
+        terms.groupBy("field", "term").agg(F.sum("df").alias("df")),
+        fields.groupBy("field").agg(F.sum("sum_len").alias("sum_len")).select(
+            "field", "sum_len", total.scalar().alias("n_docs")),
     )
-    return deltas.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")

@@ -282,7 +282,12 @@ def keyword_hits(
     leaves = _Leaves(index_fields)
     leaves.collect(expr)
     alternatives = leaves.alternatives
-    hits = _leaf_scores(index, alternatives, len(leaves.numbers))
+    if alternatives:
+        hits = _leaf_scores(index, alternatives, len(leaves.numbers))
+    else:
+        # No word of the expression has a token, so no leaf finds anything.
+        hits = index.ids.filter(F.lit(False)).select(
+            "id", *[F.lit(None).cast("double").alias(f"s{n}") for n in range(len(leaves.numbers))])
     if _matches_nothing_found(expr):
         hits = index.ids.join(hits, "id", "left")
     match, score = _evaluate(expr, leaves)

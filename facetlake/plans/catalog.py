@@ -131,33 +131,35 @@ class Catalog:
 
 
 # Default searchable fields of library items by analyzer and weight.
-ITEM_FIELDS = {
-    ("id", 40.0, ("all", "metadata")): (
-        "applicationNumber billNumber callNumber codeNumber docketNumber documentNumber "
-        "patentNumber priorityNumbers publicLawNumber reportNumber"
-    ),
-    ("text", 20.0, ("all", "metadata", "title")): (
-        "caseName nameOfAct shortTitle subject title"
-    ),
-    ("text", 8.0, ("all", "metadata")): (
-        "blogTitle bookTitle code conferenceName dictionaryTitle encyclopediaTitle forumTitle "
-        "meetingName proceedingsTitle programTitle publicationTitle section series seriesTitle "
-        "session websiteTitle"
-    ),
-    ("name", 4.0, ("all", "metadata")): (
-        "archive archiveID archiveLocation assignee audioFileType audioRecordingFormat committee "
-        "company country court distributor institution issuingAuthority journalAbbreviation label "
-        "legislativeBody libraryCatalog network place programmingLanguage publisher reporter "
-        "studio system university videoRecordingFormat"
-    ),
-    ("text", 4.0, ("all", "metadata")): (
-        "date dateDecided dateEnacted filingDate issueDate abstractNote artworkMedium artworkSize "
-        "codeVolume edition episodeNumber extra genre history interviewMedium issue language "
-        "legalStatus letterType manuscriptType mapType postType presentationType references "
-        "reportType reporterVolume repository rights seriesNumber seriesText thesisType "
-        "versionNumber volume websiteType"
-    ),
-}
+ITEM_FIELDS = (
+    ("id", 40.0, ("all", "metadata"), (
+        "applicationNumber", "billNumber", "callNumber", "codeNumber", "docketNumber",
+        "documentNumber", "patentNumber", "priorityNumbers", "publicLawNumber", "reportNumber",
+    )),
+    ("text", 20.0, ("all", "metadata", "title"), (
+        "caseName", "nameOfAct", "shortTitle", "subject", "title",
+    )),
+    ("text", 8.0, ("all", "metadata"), (
+        "blogTitle", "bookTitle", "code", "conferenceName", "dictionaryTitle", "encyclopediaTitle",
+        "forumTitle", "meetingName", "proceedingsTitle", "programTitle", "publicationTitle",
+        "section", "series", "seriesTitle", "session", "websiteTitle",
+    )),
+    ("name", 4.0, ("all", "metadata"), (
+        "archive", "archiveID", "archiveLocation", "assignee", "audioFileType",
+        "audioRecordingFormat", "committee", "company", "country", "court", "distributor",
+        "institution", "issuingAuthority", "journalAbbreviation", "label", "legislativeBody",
+        "libraryCatalog", "network", "place", "programmingLanguage", "publisher", "reporter",
+        "studio", "system", "university", "videoRecordingFormat",
+    )),
+    ("text", 4.0, ("all", "metadata"), (
+        "date", "dateDecided", "dateEnacted", "filingDate", "issueDate", "abstractNote",
+        "artworkMedium", "artworkSize", "codeVolume", "edition", "episodeNumber", "extra", "genre",
+        "history", "interviewMedium", "issue", "language", "legalStatus", "letterType",
+        "manuscriptType", "mapType", "postType", "presentationType", "references", "reportType",
+        "reporterVolume", "repository", "rights", "seriesNumber", "seriesText", "thesisType",
+        "versionNumber", "volume", "websiteType",
+    )),
+)
 # Prefix that keeps item fields apart from the other columns.
 ITEM_FIELD_PREFIX = "z_"
 
@@ -166,8 +168,8 @@ def item_fields() -> tuple[IndexField, ...]:
     """Searchable fields taken directly from item data."""
     return tuple(
         IndexField(ITEM_FIELD_PREFIX + name, analyzer, boost, scopes)
-        for (analyzer, boost, scopes), names in ITEM_FIELDS.items()
-        for name in names.split()
+        for analyzer, boost, scopes, names in ITEM_FIELDS
+        for name in names
     )
 
 

@@ -2,20 +2,25 @@
 
 A version is a folder holding all tables of one build. It becomes visible through a row in
 the ``commits`` table, written last: readers see either the old or the new set of tables.
+
+Tables keyed by a document may lie in folders by a hash bucket of its id. A version then writes
+the buckets it touches, whole, and points at the folders of all others where they are.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMITS = (
-    "number bigint, folder string, tables map<string,struct<path:string,ddl:string>>, "
-    "library_version int, synced_on timestamp, stream string, batch bigint"
+    "number bigint, folder string, "
+    "tables map<string,struct<path:string,ddl:string,buckets:array<string>>>, "
+    "library_version int, synced_on timestamp, stream string, batch bigint, n_buckets int"
 )
 
 
@@ -58,6 +63,35 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
     writer.parquet(path)
 
 
+BUCKET = "bucket"
+# Buckets of a new store. More of them make a refresh write less, and more and smaller files.
+BUCKETS = 32
+
+
+def bucket_of(key: Column, n_buckets: int) -> Column:
+    """The hash bucket of a document id."""
+    return F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, name: str, path: str) -> list[str]:
+    """Write a table with a column ``bucket`` as one folder per bucket; returns those folders.
+
+    Rows are ranged by bucket and then in the table's order, so that a bucket of any size spans
+    as many files as it needs.
+    """
+    partitions, order = LAYOUT.get(name, ((), ()))
+    keys = [BUCKET, *partitions, *(order or [c for c in ("id", "src") if c in df.columns])]
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(
+        BUCKET).parquet(path)
+    files = df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
+    found = {int(m[1]) for f in files if (m := re.search(rf"/{BUCKET}=(\d+)/", f))}
+    return [f"{path}/{BUCKET}={b}" for b in sorted(found)]
+
+
+def _number(folder: str) -> int:
+    return int(folder.rsplit("=", 1)[1])
+
+
 def schema_ddl(df: DataFrame) -> str:
     """The columns and types of a table as text."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -84,15 +118,20 @@ class DocumentStore:
         row = commits.agg(F.max_by(F.struct("*"), "number").alias("c")).first()
         return row["c"] if row else None
 
-    def read(self, name: str) -> DataFrame:
-        """One table of the current version, with the schema it was written with."""
+    def read(self, name: str, buckets: Collection[int] | None = None) -> DataFrame:
+        """One table of the current version, with the schema it was written with; of a table
+        in buckets only the listed ones."""
         commit = self.latest()
         if commit is None:
             raise IndexMissingError(self.root)
         kept = commit["tables"].get(name)
         if kept is None:
             raise IndexSchemaError(f"no table {name!r} in version {commit['number']}")
-        return self.spark.read.schema(kept["ddl"]).parquet(kept["path"])
+        folders = [kept["path"]] if kept["buckets"] is None else [
+            f for f in kept["buckets"] if buckets is None or _number(f) in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], kept["ddl"])
+        return self.spark.read.schema(kept["ddl"]).parquet(*folders)
 
     def last_batch(self, stream: str) -> int | None:
         """The newest batch of a stream that has been applied."""
@@ -119,12 +158,16 @@ class DocumentStore:
         self, tables: Mapping[str, DataFrame], library_version: int | None = None,
         synced_on=None, batch: str | None = None, carry: bool = False,
         stream: str | None = None, batch_id: int | None = None,
+        n_buckets: int | None = None, touched: Collection[int] | None = None,
     ) -> str:
         """Write the tables of a new version, then commit it; returns its folder.
 
         With ``carry`` the other tables of the last version stay, as they lie: nothing of them is
         copied. ``stream`` and ``batch_id`` note the micro-batch that the version applies.
 
+        With ``n_buckets`` the tables that have a column ``bucket`` are written by bucket;
+        ``touched`` lists the buckets that they hold whole, the others stay as they lie.
+
         One writer at a time: readers may come and go, but refreshes must not overlap.
 
         ``batch`` names the folder, so that a repeated batch overwrites its own attempt.
@@ -132,11 +175,19 @@ class DocumentStore:
         previous = self.latest()
         number = (previous["number"] if previous else 0) + 1
         folder = f"{self.root}/versions/{number:08d}-{batch or uuid.uuid4().hex[:8]}"
+        old = previous["tables"] if previous else {}
+        kept = dict(old) if carry else {}
         for name, df in tables.items():
-            write_table(df, name, f"{folder}/{name}")
-        kept = dict(previous["tables"]) if previous and carry else {}
-        kept.update({name: (f"{folder}/{name}", schema_ddl(df)) for name, df in tables.items()})
-        row = [(number, folder, kept, library_version, synced_on, stream, batch_id)]
+            path = f"{folder}/{name}"
+            if n_buckets is None or BUCKET not in df.columns:
+                write_table(df, name, path)
+                kept[name] = (path, schema_ddl(df), None)
+                continue
+            stay = [] if touched is None or name not in old else [
+                f for f in old[name]["buckets"] or () if _number(f) not in touched]
+            fresh = write_buckets(df, name, path)
+            kept[name] = (path, schema_ddl(df.drop(BUCKET)), [*stay, *fresh])
+        row = [(number, folder, kept, library_version, synced_on, stream, batch_id, n_buckets)]
         self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(
             f"{self.root}/commits"
         )

@@ -53,6 +53,28 @@ def test_rich_text(value):
     )
 
 
+@pytest.mark.parametrize("given, stripped, escaped", [
+    (None, None, None),
+    ("", "", ""),
+    ("no markup & more", "no markup & more", "no markup &amp; more"),
+    ("a < d > c", "a < d > c", "a &lt; d &gt; c"),
+    ("<a<b>x</ b >", "<ax", "&lt;a<b>x</b>"),
+    ("< sup >2</sup><P>", "2<P>", "<sup>2</sup>&lt;P&gt;"),
+    ('<span  class = " nocase ">a<span>b</span>c</span>', "a<span>bc</span>",
+     '<span class="nocase">a&lt;span&gt;b</span>c&lt;/span&gt;'),
+    ('<span class="nocase">a<span style="font-variant :small-caps;">b</span>c</ span>', "abc",
+     '<span class="nocase">a<span style="font-variant:small-caps;">b</span>c</span>'),
+    ('<span class="nocase">open', '<span class="nocase">open',
+     "&lt;span class=&#34;nocase&#34;&gt;open"),
+    ('x</span><span class="no case">y</span>', 'x</span><span class="no case">y</span>',
+     "x&lt;/span&gt;&lt;span class=&#34;no case&#34;&gt;y&lt;/span&gt;"),
+    ("&lt;i&gt;<i\n>z</i>", "&lt;i&gt;z", "&amp;lt;i&amp;gt;<i>z</i>"),
+])
+def test_rich_text_pieces(value, given, stripped, escaped):
+    assert value(text.strip_rich_text(C.cast("string")), c=given) == stripped
+    assert value(text.escape_rich_text(C.cast("string")), c=given) == escaped
+
+
 def test_snippet(value):
     assert value(text.abstract_snippet(C, 12), c="one two three four") == "one two..."
     assert value(text.abstract_snippet(C, 12, 6), c="one two three four") == "one two three four"
@@ -219,3 +241,10 @@ def test_stemming(spark):
     rows = spark.createDataFrame([(w,) for w in [*STEMS, None]], "w string")
     assert {r["w"]: r["s"] for r in rows.select("w", stem_terms("w").alias("s")).collect()} == {
         **STEMS, None: None}
+
+
+@pytest.mark.parametrize("space", ["\u00a0", "\u2003", "\u3000", "\x1f", "\u0085", "\n"])
+def test_item_links_between_blanks_of_any_kind(value, space):
+    uri = f"https://www.{patterns.LIBRARY_HOST}/groups/12/items/ABCD2345"
+    assert value(patterns.item_ids_in_text(C), c=f"see{space}{uri}{space}there") == ["ABCD2345"]
+    assert value(patterns.item_ids_in_text(C), c=f"see{space}({uri}){space}there") == []

@@ -3,6 +3,7 @@
 import json
 from dataclasses import fields, replace
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from facetlake.plans.catalog import (
 from facetlake.plans.search import search
 from facetlake.sources.library import SCHEMAS, Library, LibraryEmptyError, load_library
 from facetlake.sources.store import (
-    DocumentStore, IndexEmptyError, IndexMissingError, IndexSchemaError,
+    DocumentStore, bucket_of, IndexEmptyError, IndexMissingError, IndexSchemaError,
 )
 
 URI = f"http://{LIBRARY_HOST}/groups/5/items/"
@@ -282,15 +283,23 @@ def contents(store, name):
 
 def test_incremental_equals_full(spark, tmp_path):
     store = DocumentStore(spark, str(tmp_path / "inc"))
-    assert refresh.refresh(small_library(spark), store, OPTIONS) == "full"
-    assert refresh.refresh(small_library(spark), store, OPTIONS) == "none"
+    assert refresh.refresh(small_library(spark), store, OPTIONS, n_buckets=8) == "full"
+    assert refresh.refresh(small_library(spark), store, OPTIONS, n_buckets=8) == "none"
     later = changed_library(spark)
-    assert refresh.refresh(later, store, OPTIONS) == "incremental"
+    before = store.latest()["tables"]
+    assert refresh.refresh(later, store, OPTIONS, n_buckets=8) == "incremental"
     assert store.latest()["library_version"] == 14
+    # Only buckets of changed documents lie elsewhere than before.
+    changed = {r["b"] for r in spark.createDataFrame(
+        [("BOOK",), ("ARTI",), ("CASE",), ("NEW",), ("LONE",)], "id string").select(
+        bucket_of(F.col("id"), 8).alias("b")).collect()}
+    for name, table in store.latest()["tables"].items():
+        moved = set(table["buckets"]) - set(before[name]["buckets"])
+        assert {int(f.rsplit("=", 1)[1]) for f in moved} <= changed, name
     rebuilt = DocumentStore(spark, str(tmp_path / "full"))
-    assert refresh.refresh(later, rebuilt, OPTIONS, force=True) == "full"
+    assert refresh.refresh(later, rebuilt, OPTIONS, force=True, n_buckets=8) == "full"
     assert {r["id"] for r in store.read("docs").collect()} == {"BOOK", "CASE", "NEW"}
-    for name in (*refresh.KEYED, "term_stats", "field_stats"):
+    for name in (*refresh.KEYED, *refresh.COUNTED):
         assert contents(store, name) == contents(rebuilt, name), name
 
     catalog = default_catalog().with_items(facets=[collection_facet("ROOT", "place")])
@@ -306,6 +315,34 @@ def test_incremental_equals_full(spark, tmp_path):
     assert rows(facets.filter("facet = 'tag'"), "value", "count", "active") == [("Water", 1, True)]
 
 
+def many_books(spark, n, changed=(), version=5, history=((1, 0, 10),)):
+    rows = [item(f"B{i}", version if i in changed else 1, "book",
+                 title=f"{'New' if i in changed else 'Old'} river {i}") for i in range(n)]
+    return small_library(spark, rows, COLLECTIONS, history=history)
+
+
+def test_bytes_written_grow_with_the_change(spark, tmp_path):
+    """One changed document of 400 writes a small part, forty a larger one, none nothing."""
+    store = DocumentStore(spark, str(tmp_path / "s"))
+    refresh.refresh(many_books(spark, 400), store, OPTIONS)
+
+    def written():
+        folder = Path(store.latest()["folder"])
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    sizes = [written()]
+    for step, changed in enumerate([[7], range(40), []], 2):
+        history = tuple((k, 0 if k == 1 else k, 10 * k) for k in range(1, step + 1))
+        later = many_books(spark, 400, set(changed), 10 * step - 5, history)
+        assert refresh.refresh(later, store, OPTIONS) == "incremental"
+        sizes.append(written())
+    full, one, forty, none = sizes
+    assert none == 0 < 10 * one < full and 2 * one < forty < full
+    titles = {r["id"]: r["title"] for r in store.read("docs").collect()}
+    assert len(titles) == 400 and titles["B7"] == "New river 7" and titles["B8"] == "New river 8"
+    assert titles["B300"] == "Old river 300"
+
+
 @pytest.mark.parametrize("version, synced, force, mode", [
     (None, None, False, "full"), (14, datetime(2022, 3, 2, 1), True, "full"),
     (14, datetime(2022, 3, 2, 1), False, "none"), (10, datetime(2022, 3, 1), False, "incremental"),

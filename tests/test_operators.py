@@ -348,3 +348,23 @@ def test_catalog_changes():
     assert len(more.fields) == len(catalog.fields) + 1
     assert more.sort("score").columns == ("id",)
     assert len(more.without(facets=["tag"]).facets) == len(catalog.facets) - 1
+
+
+def test_words_without_tokens(spark):
+    """Nothing but marks: found nowhere, and its negation everywhere."""
+    texts = spark.createDataFrame([(1, "body", "", "cat of nine"), (2, "body", "", "dog")],
+                                  "id long, field string, part string, text string")
+    fields = [IndexField("body", "name", 1.0, ("all",))]
+    index = build_term_index(texts.select("id").distinct(), texts, fields)
+    assert ids(keywords.keyword_hits(index, Word("!!!"), fields)) == []
+    assert ids(keywords.keyword_hits(index, none_of(Word("!!!")), fields)) == [1, 2]
+    assert ids(keywords.keyword_hits(index, any_of(Word("..."), Word("cat")), fields)) == [1]
+    assert ids(keywords.keyword_hits(index, Phrase("?! --"), fields)) == []
+
+
+def test_no_active_facet_when_empty(items):
+    spec = FacetSpec("kind", "kind", "Kind")
+    for chosen in ({}, {"kind": []}, {"other": ["x"]}):
+        found = facets.facets_when_empty(items, [spec], chosen, records_only=False)
+        assert found.collect() == []
+        assert set(found.columns) == {"facet", "value", "label", "count", "active"}

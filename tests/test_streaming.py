@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from facetlake.sources.store import DocumentStore
@@ -42,3 +43,13 @@ def test_built_store_tombstones_and_other_tables(spark, tmp_path):
     assert {r["id"]: r["version"] for r in store.read("tombstones").collect()} == {"a": 9}
     assert store.latest()["library_version"] == 100 and store.read("side").count() == 1
     assert store.latest()["tables"]["side"]["path"] == path
+
+
+def test_a_store_with_term_tables_is_refused(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    docs = spark.createDataFrame([("a", 1, "old")], "id string, version long, text string")
+    postings = docs.select(F.lit("f").alias("field"), F.lit("t").alias("term"), "id")
+    store.publish({"docs": docs, "postings": postings}, 1)
+    changes = docs.withColumn("deleted", F.lit(False))
+    with pytest.raises(ValueError, match="term tables"):
+        apply_changes(store, changes, 0, "id", "version", "deleted")
