@@ -6,9 +6,11 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from conformance.derived_library import RECORDS_SQL, TYPES, URI, derived_library
+from conformance.derived_library import (
+    FIRST_STATE, LAST_STATE, RECORDS_SQL, TYPES, URI, derived_library, library_at,
+)
 from conformance.inputs import (
-    GEOGRAPHY_SQL, documents, geography, sql_words, table,
+    GEOGRAPHY_SQL, documents, geography, sql_tokens, sql_words, table,
 )
 from conformance.registry import case
 from facetlake.functions import names
@@ -861,6 +863,73 @@ def refresh_stream(spark, d):
     return kept.read("docs").select("id", "version", "kind")
 
 
+def _rows_per_record(kept):
+    """What the tables of a store hold of each record; the words of a title are read from its
+    postings, the corpus counts from those of the buckets."""
+    def counted(name, n, rows=lambda df: df):
+        return rows(kept.read(name)).groupBy("id").agg(n)
+
+    index = refresh.open_index(kept)
+    words = index.postings.filter("field = 'z_title'")
+    n_docs = index.field_stats.filter("field = 'z_title'").select("n_docs").scalar()
+    everywhere = index.term_stats.filter("field = 'z_title' AND term = 'order'").select("df").scalar()
+    drafts = index.term_stats.filter("field = 'z_title' AND term = 'draft'").agg(
+        F.coalesce(F.sum("df"), F.lit(0)).cast("bigint")).scalar()
+    found = kept.read("docs").select("id", "title")
+    for part in (words.groupBy("id").agg(F.sum("tf").alias("title_words")),
+                 counted("deps", F.count(F.lit(1)).alias("deps")),
+                 counted("notes", F.count(F.lit(1)).alias("notes")),
+                 counted("texts", F.count(F.lit(1)).alias("titles"),
+                         lambda df: df.filter("field = 'z_title'"))):
+        found = found.join(part, "id", "left")
+    return found.select(
+        "id", "title", "title_words", "deps", F.coalesce("notes", F.lit(0)).alias("notes"),
+        "titles", n_docs.alias("n_docs"), everywhere.alias("df_order"), drafts.alias("df_draft"))
+
+
+REFRESHED_SQL = f"""
+    WITH {RECORDS_SQL}, left_over AS (SELECT * FROM rec WHERE o_orderdate >= TIMESTAMP '1995-02-01')
+    SELECT id, CASE item_type WHEN 'thesis' THEN 'Thesis ' || o_orderkey
+        ELSE '<i>Order</i> ' || o_orderkey || ' of ' || c_name END AS title,
+      CAST(len({sql_tokens("'Order ' || o_orderkey || ' of ' || c_name")}) AS BIGINT) AS title_words,
+      (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) + 3 AS deps,
+      (SELECT count(*) FROM kids WHERE kids.id = left_over.id AND l_returnflag = 'N'
+         AND l_linestatus <> 'F') AS notes,
+      CAST(1 AS BIGINT) AS titles, (SELECT count(*) FROM left_over) AS n_docs,
+      (SELECT count(*) FROM left_over) AS df_order, CAST(0 AS BIGINT) AS df_draft
+    FROM left_over
+"""
+
+
+@case("refresh_incremental", REFRESHED_SQL)
+def refresh_incremental(spark, d):
+    """Built from the first state of the library and refreshed to its last: the rows are those
+    of a build from that one."""
+    kept = _store(spark, "refreshed")
+    refresh.build_full(library_at(spark, d, FIRST_STATE), kept, OPTIONS, n_buckets=16)
+    refresh.refresh_incremental(library_at(spark, d, LAST_STATE), kept, OPTIONS)
+    return _rows_per_record(kept)
+
+
+@case("library_stream", REFRESHED_SQL)
+def library_stream(spark, d):
+    """The three synchronisations of the library as a stream of its history, one micro-batch
+    each, and an empty one in the end."""
+    from facetlake.sources.library import SCHEMAS
+    from facetlake.streaming.refresh import refresh_library_stream
+
+    kept = _store(spark, "library-stream")
+    source = f"{kept.root}/history"
+    for state in (*range(LAST_STATE + 1), LAST_STATE):
+        now = library_at(spark, d, state)
+        now.sync_history.filter(F.col("history_id") == state + 1).write.mode("overwrite").parquet(
+            f"{source}/arrived={state}")
+        history = spark.readStream.schema(SCHEMAS["sync_history"]).parquet(f"{source}/arrived=*")
+        refresh_library_stream(history, lambda now=now: now, kept, f"{kept.root}/checkpoint",
+                               OPTIONS).awaitTermination()
+    return _rows_per_record(kept)
+
+
 @case("facet_pairs", "SELECT o_orderkey AS id, o_orderstatus AS value, o_orderpriority AS label FROM orders")
 def facet_pairs(spark, d):
     pair = labelled(F.col("o_orderstatus"), F.col("o_orderpriority"))

@@ -3,11 +3,15 @@ customers write them, regions and nations are collections."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conformance.inputs import table
 from facetlake.functions.patterns import LIBRARY_HOST
+from facetlake.session import cut_lineage
 from facetlake.sources.library import Library
 
 URI = f"http://{LIBRARY_HOST}/groups/1/items/"
@@ -192,6 +196,42 @@ def _children(lines: DataFrame) -> DataFrame:
         F.expr("CASE WHEN l_quantity >= 45 THEN true END").alias("trashed"))
 
 
+# The derived library as it was synchronised three times: records of the last month are still
+# missing at first, those of the month before are drafts, and the oldest are deleted in the end.
+FIRST_STATE, LAST_STATE = 0, 2
+ERAS = """CASE WHEN o_orderdate < TIMESTAMP '1995-02-01' THEN 'gone'
+          WHEN o_orderdate >= TIMESTAMP '2001-07-01' THEN 'new'
+          WHEN o_orderdate >= TIMESTAMP '2001-06-01' THEN 'changed' END"""
+
+
+def library_at(spark: SparkSession, d: str, state: int) -> Library:
+    """The derived library after synchronisation ``state`` (0 to 2)."""
+    whole = derived_library(spark, d)
+    eras = table(spark, d, "orders").select(
+        F.expr("concat('O', o_orderkey)").alias("owner"), F.expr(ERAS).alias("era"))
+    rows = whole.item.withColumn("owner", F.coalesce("parent_item", "item_key")).join(
+        eras, "owner", "left").withColumn("era", F.coalesce("era", F.lit("")))
+    present = F.expr(f"era <> 'new' OR {state} = 2") & F.expr(f"era <> 'gone' OR {state} < 2")
+    version = F.expr(f"CASE WHEN era = 'changed' AND {state} > 0 AND parent_item IS NULL THEN 2 "
+                     "WHEN era = 'new' THEN 3 ELSE 1 END")
+    draft = F.replace("data", F.lit("<i>Order</i>"), F.lit("Draft"))
+    data = F.when((F.col("era") == "changed") & F.lit(state == 0), draft).otherwise(F.col("data"))
+    items = rows.where(present).withColumns({"version": version, "data": data})
+    history = spark.createDataFrame(
+        [(n + 1, "1", "groups", n, n + 1, datetime(2002, 1, n + 1), datetime(2002, 1, n + 1, 1))
+         for n in range(state + 1)],
+        "history_id int, library_id string, library_prefix string, since_version int, "
+        "to_version int, started_on timestamp, ended_on timestamp")
+    gone = eras.where(f"era = 'gone' AND {state} = 2").select(F.col("owner").alias("item_key"))
+    # A library is stored tables; the costly ones are laid down here.
+    return replace(
+        whole, item=cut_lineage(items.select(*whole.item.columns)), sync_history=history,
+        item_collection=cut_lineage(whole.item_collection), item_tag=cut_lineage(whole.item_tag),
+        deleted_item=gone,
+        deleted_collection=whole.deleted_collection.limit(0),
+        collection=whole.collection.withColumn("version", F.lit(1)))
+
+
 RECORDS_SQL = f"""
 rec AS (
   SELECT 'O' || o_orderkey AS id, o.*, c.c_name, c.c_mktsegment, c.c_nationkey,

@@ -73,15 +73,19 @@ def bucket_of(key: Column, n_buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_buckets)).cast("int")
 
 
-def write_buckets(df: DataFrame, name: str, path: str) -> list[str]:
+def write_buckets(df: DataFrame, name: str, path: str, n_buckets: int) -> list[str]:
     """Write a table with a column ``bucket`` as one folder per bucket; returns those folders.
 
-    Rows are ranged by bucket and then in the table's order, so that a bucket of any size spans
-    as many files as it needs.
+    A bucket is dealt to several tasks by a further part of the id's hash when there are more
+    tasks than buckets; each file is in the table's order. Unlike ranges, that needs no sample,
+    so the table is computed once.
     """
     partitions, order = LAYOUT.get(name, ((), ()))
-    keys = [BUCKET, *partitions, *(order or [c for c in ("id", "src") if c in df.columns])]
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(
+    keys = [c for c in ("id", "src") if c in df.columns][:1]
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = [F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(max(1, tasks // n_buckets)))] if keys else []
+    df.repartition(BUCKET, *part).sortWithinPartitions(
+        BUCKET, *partitions, *(order or keys)).write.mode("overwrite").partitionBy(
         BUCKET).parquet(path)
     files = df.sparkSession.read.schema(df.schema).parquet(path).inputFiles()
     found = {int(m[1]) for f in files if (m := re.search(rf"/{BUCKET}=(\d+)/", f))}
@@ -185,7 +189,7 @@ class DocumentStore:
                 continue
             stay = [] if touched is None or name not in old else [
                 f for f in old[name]["buckets"] or () if _number(f) not in touched]
-            fresh = write_buckets(df, name, path)
+            fresh = write_buckets(df, name, path, n_buckets)
             kept[name] = (path, schema_ddl(df.drop(BUCKET)), [*stay, *fresh])
         row = [(number, folder, kept, library_version, synced_on, stream, batch_id, n_buckets)]
         self.spark.createDataFrame(row, COMMITS).coalesce(1).write.mode("append").parquet(
