@@ -608,6 +608,34 @@ def related_limit(spark, d):
     return relations.related_limit(reverse, docs, order, 5).select("src", "id", "rank")
 
 
+@case("relations_of_records", f"""
+    WITH {EDGES_SQL},
+    named AS (SELECT id AS ref, id FROM nodes UNION ALL SELECT alt, id FROM nodes WHERE alt IS NOT NULL),
+    cites AS (SELECT DISTINCT src, named.id AS dst FROM edges JOIN named USING (ref)),
+    mates AS (SELECT 'P' || p_partkey AS src, 'P' || (p_partkey + 1) AS dst FROM part
+              WHERE 'P' || (p_partkey + 1) IN (SELECT id FROM nodes)
+              UNION SELECT 'P' || p_partkey, 'P1' FROM part),
+    links AS (
+      SELECT src, 'cites' AS relation, dst AS id FROM cites
+      UNION SELECT dst, 'isCitedBy', src FROM cites
+      UNION SELECT src, 'related', dst FROM mates UNION SELECT dst, 'related', src FROM mates)
+    SELECT src, relation, id, row_number() OVER (PARTITION BY src, relation ORDER BY p_name, id)
+      AS place FROM links JOIN nodes USING (id)
+""")
+def relations_of_records(spark, d):
+    """Orders cite parts; parts are related to the next one and all of them to the first, whose
+    list holds every part."""
+    from facetlake.plans.catalog import DEFAULT_RELATIONS, SortSpec
+
+    edges, docs, alternate = _graph(spark, d)
+    parts = table(spark, d, "part").select(
+        F.expr("concat('P', p_partkey)").alias("src"), F.lit("related").alias("rel"),
+        F.explode(F.expr("array(concat('P', p_partkey + 1), 'P1')")).alias("ref"))
+    return relations.relations_of_records(
+        edges.unionByName(parts), docs, alternate, DEFAULT_RELATIONS,
+        SortSpec("title", ("sort_title",), False))
+
+
 @case("resolve_id", """
     SELECT request, CASE WHEN p_partkey IS NOT NULL THEN 'P' || p_partkey END AS id,
            coalesce(request LIKE 'Brand%', false) AND p_partkey IS NOT NULL AS fellback
@@ -800,6 +828,109 @@ def feed_entries(spark, d):
         "date", "doi_url", "isbn", "publisher")
 
 
+FEED_DAYS = 400
+
+
+@case("feed_page", f"""
+    WITH {RECORDS_SQL}
+    SELECT id, CAST(n AS INTEGER) AS position,
+      CASE item_type WHEN 'thesis' THEN 'Thesis ' || o_orderkey
+        ELSE '<i>Order</i> ' || o_orderkey || ' of ' || c_name END AS title,
+      stamp AS published, c_mktsegment AS publisher, item_count, page_count
+    FROM (SELECT *, row_number() OVER (ORDER BY epoch(o_orderdate) DESC, id) AS n,
+            count(*) OVER () AS item_count,
+            CAST(ceil(count(*) OVER () / 20.0) AS BIGINT) AS page_count
+          FROM rec
+          WHERE o_orderstatus = 'F' AND item_type <> 'report' AND c_mktsegment IN ('BUILDING', 'MACHINERY')
+            AND o_orderdate >= TIMESTAMP '2000-03-01' - INTERVAL {FEED_DAYS} DAYS
+            AND list_contains({sql_tokens("lower('Order ' || o_orderkey || ' of ' || c_name)")}, 'customer'))
+    WHERE n BETWEEN 21 AND 40
+""")
+def feed_page(spark, d):
+    """The second page of a feed of records with a word, a facet filter, a list of required and
+    one of rejected values, and an age limit."""
+    from dataclasses import replace
+    from datetime import datetime
+
+    from facetlake.operators.index_tables import build_term_index
+    from facetlake.operators.keywords import Word
+    from facetlake.plans.catalog import FacetSpec as Facet, default_catalog
+    from facetlake.plans.publish import feed_page as fed
+
+    catalog = default_catalog()
+    titles = [f for f in catalog.fields if f.name == "z_title"]
+    catalog = replace(catalog, fields=titles, facets=(
+        Facet("link", "facet_link", "link", kind="boolean"),))
+    made = plan.Assembly(derived_library(spark, d), OPTIONS, catalog)
+    docs = made.docs.withColumn("segment", F.from_json("data", "publisher string")["publisher"])
+    entries, totals = fed(
+        docs, build_term_index(docs, made.texts, catalog.fields), catalog,
+        Word("customers", "title"), {"link": ["t"]}, number=2, max_days=FEED_DAYS,
+        as_of=datetime(2000, 3, 1, 9), required={"segment": ["BUILDING", "MACHINERY"]},
+        rejected={"item_type": ["report"]})
+    return entries.select("id", "position", "title", "published", "publisher").join(totals)
+
+
+@case("export_group", f"""
+    WITH {RECORDS_SQL}, sorted AS (
+      SELECT 'bibtex of ' || o_orderkey AS record, row_number() OVER (
+        ORDER BY {sql_words("CASE item_type WHEN 'thesis' THEN 'Thesis ' || o_orderkey ELSE 'Order ' || o_orderkey || ' of ' || c_name END")}, id) AS n,
+        count(*) OVER () AS total FROM rec)
+    SELECT '0-head' AS part, '[' AS text
+    UNION ALL SELECT '1-records', record FROM sorted WHERE n < total
+    UNION ALL SELECT '2-foot', record || ' ]' FROM sorted WHERE n = total
+""")
+def export_group(spark, d):
+    """Every record inside a group format, written as files and read again."""
+    from dataclasses import replace
+
+    from facetlake.plans.catalog import DEFAULT_EXPORTS, SortSpec
+    from facetlake.plans.publish import EXPORT_PARTS, write_export_group
+
+    spec = replace(DEFAULT_EXPORTS[1], delimiter=" ,\n", group_format="[\n{} ]\n")
+    path = _store(spark, "export").root
+    write_export_group(_docs(spark, d), spec, SortSpec("title", ("sort_title",), False), path)
+    parts = [spark.read.option("lineSep", end).text(f"{path}/{part}").select(
+        F.lit(part).alias("part"), F.col("value").alias("text"))
+        for part, end in zip(EXPORT_PARTS, ("\n", spec.delimiter, "\n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@case("result_items", f"""
+    WITH {RECORDS_SQL},
+    page AS (SELECT id, CAST(row_number() OVER (ORDER BY epoch(o_orderdate) DESC, id) AS INTEGER) AS position FROM rec
+             QUALIFY position <= 100),
+    entries AS (
+      SELECT DISTINCT p.id, 'cites' AS kind, 'O' || (l_suppkey + step) AS child, NULL AS label,
+        'O' || (l_suppkey + step) AS value
+      FROM page p JOIN kids USING (id), (SELECT unnest([0, 1]) AS step)
+      WHERE l_returnflag = 'N' AND l_linestatus = 'F'
+      UNION ALL SELECT p.id, 'attachment', child_key, 'part' || l_partkey || '.pdf', 'application/pdf'
+      FROM page p JOIN kids USING (id) WHERE l_returnflag = 'A' AND l_linestatus = 'F'
+      UNION ALL SELECT p.id, 'link', child_key, CASE l_linestatus WHEN 'F' THEN 'Part ' || l_partkey
+          ELSE 'https://parts.example.org/' || l_partkey END, 'https://parts.example.org/' || l_partkey
+      FROM page p JOIN kids USING (id) WHERE l_returnflag = 'R'
+      UNION ALL SELECT p.id, 'note', child_key, NULL, '<p>Line <b>' || l_linenumber
+          || '</b> ships &amp; cites <a href="{URI}O' || l_suppkey || '">it</a><br/>see {URI}O'
+          || (l_suppkey + 1) || '</p>'
+      FROM page p JOIN kids USING (id) WHERE l_returnflag = 'N' AND l_linestatus <> 'F')
+    SELECT page.id, position, kind, CAST(CASE WHEN kind IS NOT NULL THEN row_number() OVER (
+        PARTITION BY page.id, kind ORDER BY child) END AS INTEGER) AS place, child, label, value
+    FROM page LEFT JOIN entries ON page.id = entries.id
+""")
+def result_items(spark, d):
+    """Everything that belongs to the hundred records added last."""
+    from facetlake.operators.sorting import page, with_positions
+    from facetlake.plans.catalog import SortSpec
+    from facetlake.plans.search import result_items as items_of
+
+    made = _tables(spark, d)
+    added = SortSpec("added", ("sort_date_added",), True)
+    newest = page(made.docs.select("id", "sort_date_added"), added, 1, 100)
+    tables = {n: getattr(made, n) for n in ("edges", "attachments", "links", "notes")}
+    return items_of(with_positions(newest, added, 1, 100), tables)
+
+
 @case("url_inventory", """
     SELECT id, position, CAST(ceil(position / 1000.0) AS BIGINT) AS page,
            CAST(ceil(n / 1000.0) AS BIGINT) AS page_count_upper FROM (

@@ -12,6 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.operators.numbering import global_positions
+from facetlake.operators.sorting import sort_columns
+from facetlake.plans.catalog import RelationSpec, SortSpec
+from facetlake.session import cut_lineage
+
 # Item types that are not records of their own.
 CHILD_TYPES = ("note", "attachment")
 
@@ -64,3 +69,97 @@ def related_limit(
         .withColumn("rank", F.row_number().over(window))
         .filter(F.col("rank") <= k)
     )
+
+
+# A key with more than this part of all rows is heavy; so at most that many keys are.
+HEAVY_PART = 200
+# Tasks that the rows of a heavy key are dealt to.
+SALTS = 64
+
+
+def heavy_keys(rows: DataFrame, on: Sequence[str], part: int = HEAVY_PART) -> DataFrame:
+    """The keys that hold more than one row in ``part``: fewer than ``part`` rows, whatever the
+    size of the table."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counts.filter(F.col("_n") * part > total.scalar()).select(*on))
+
+
+def join_salted(
+    many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner",
+    part: int = HEAVY_PART, salts: int = SALTS,
+) -> DataFrame:
+    """``many`` joined with ``few`` where some keys may hold a large part of ``many``.
+
+    The rows of a heavy key are dealt to ``salts`` tasks, each with its own copy of the key's
+    rows of ``few``; all other rows go the usual way.
+    """
+    heavy = F.broadcast(heavy_keys(many, on, part).withColumn("_heavy", F.lit(True)))
+    drawn = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
+    left = many.join(heavy, list(on), "left").withColumn(
+        "_salt", F.when(F.col("_heavy"), drawn).otherwise(0)).drop("_heavy")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0)))
+    right = few.join(heavy, list(on), "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def specified_links(
+    edges: DataFrame, docs: DataFrame, alternate_ids: DataFrame, specs: Sequence[RelationSpec]
+) -> DataFrame:
+    """``src, relation, id``: the links of every document that the specifications ask for, both
+    ends known by id, or by alternate id where a specification says so.
+
+    One join finds the ends of all references; each direction is a projection of it. The ids
+    listed are those of records only.
+    """
+    known = [s.key for s in specs]
+    by_alternate = [s.key for s in specs if s.match_alternate]
+    names = docs.select(F.col("id").alias("ref"), F.col("id").alias("to"),
+                        F.lit(False).alias("other")).unionByName(
+        alternate_ids.join(docs.select("id"), "id", "left_semi").select(
+            F.col("alternate_id").alias("ref"), F.col("id").alias("to"),
+            F.lit(True).alias("other")))
+    sources = docs.select(F.col("id").alias("src"))
+    cited = edges.filter(F.col("rel").isin(known)).select("src", "rel", "ref").distinct().join(
+        sources, "src", "left_semi")
+    ends = join_salted(cited, names, ["ref"]).filter(
+        ~F.col("other") | F.col("rel").isin(by_alternate)).select("src", "rel", "to").distinct()
+    forward = {s.key: s.key for s in specs}
+    backward = {s.key: s.key if not s.directed else s.reverse_key for s in specs
+                if not s.directed or s.reverse_key}
+
+    def named(relations: dict[str, str]) -> Column:
+        name = F.lit(None).cast("string")
+        for key, list_name in relations.items():
+            name = F.when(F.col("rel") == key, F.lit(list_name)).otherwise(name)
+        return name
+
+    both = F.array(
+        F.struct("src", named(forward).alias("relation"), F.col("to").alias("id")),
+        F.struct(F.col("to").alias("src"), named(backward).alias("relation"),
+                 F.col("src").alias("id")))
+    links = ends.select(F.explode(both).alias("link")).select("link.*")
+    links = links.filter("relation IS NOT NULL").distinct()
+    return join_salted(links, record_ids(docs), ["id"])
+
+
+def relations_of_records(
+    edges: DataFrame, docs: DataFrame, alternate_ids: DataFrame, specs: Sequence[RelationSpec],
+    sort: SortSpec, limit: int | None = None,
+) -> DataFrame:
+    """``src, relation, id, place``: the related records of every document by
+    specification, in ``sort`` order, places from 1; with ``limit`` only the first ones.
+
+    A list may hold a large part of all records: the links are sorted by range over (document,
+    relation, sort keys), and a place is the distance from where the list begins.
+    """
+    keys = docs.select("id", *sort.columns)
+    links = specified_links(edges, docs, alternate_ids, specs)
+    ordered = join_salted(links, keys, ["id"])
+    order = [F.col("src"), F.col("relation"), *sort_columns(sort)]
+    placed = global_positions(ordered, order, "_at")
+    begins = placed.groupBy("src", "relation").agg(F.min("_at").alias("_begin"))
+    found = join_salted(placed, begins, ["src", "relation"]).select(
+        "src", "relation", "id", (F.col("_at") - F.col("_begin") + 1).alias("place"))
+    return found if limit is None else found.filter(F.col("place") <= limit)

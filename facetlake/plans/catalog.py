@@ -66,12 +66,14 @@ class SortSpec:
 
 @dataclass(frozen=True)
 class RelationSpec:
-    """Links of one kind; undirected links are followed both ways."""
+    """Links of one kind; undirected links are followed both ways, directed ones also backwards
+    if ``reverse_key`` names that list."""
 
     key: str
     column: str
     directed: bool = True
     match_alternate: bool = False
+    reverse_key: str | None = None
 
 
 @dataclass(frozen=True)
@@ -200,7 +202,8 @@ DEFAULT_SORTS = (
 )
 
 DEFAULT_RELATIONS = (
-    RelationSpec("cites", "rel_cites", directed=True, match_alternate=True),
+    RelationSpec("cites", "rel_cites", directed=True, match_alternate=True,
+                 reverse_key="isCitedBy"),
     RelationSpec("related", "rel_related", directed=False),
 )
 

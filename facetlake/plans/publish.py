@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from facetlake.functions.text import strip
 from facetlake.functions import dates, names, patterns, text, values
+from facetlake.operators.index_tables import TermIndex
+from facetlake.operators.keywords import Expr
 from facetlake.operators.numbering import global_positions
 from facetlake.operators.relations import CHILD_TYPES
 from facetlake.operators.sorting import sort_columns
-from facetlake.plans.catalog import ExportSpec, SortSpec
+from facetlake.plans.catalog import Catalog, ExportSpec, SortSpec
+from facetlake.plans.search import search
+from facetlake.session import cut_lineage
 
 # Fixed value: URLs per page of the inventory.
 URLS_PER_PAGE = 1000
@@ -47,6 +51,52 @@ def write_export(
     lines.write.mode("overwrite").option("lineSep", spec.delimiter or "\n").text(path)
 
 
+EXPORT_PARTS = ("0-head", "1-records", "2-foot")
+
+
+def write_export_group(
+    matched: DataFrame, spec: ExportSpec, sort: SortSpec | None, path: str
+) -> None:
+    """Write all records in order inside the group format, the delimiter between records.
+
+    Three folders, ``EXPORT_PARTS``, hold the text before, the records, and the last record with
+    the text after; their files laid end to end are the export. The records are sorted by range
+    and written by as many tasks; only the last one, which no delimiter follows, and the fixed
+    texts are written apart. Without a delimiter each record must end its last line, as stored
+    formats do: a text file cannot be written otherwise.
+    """
+    spark = matched.sparkSession
+    before, after = spec.group_format.split("{}", 1)
+    records = matched.select("*", F.coalesce(F.col(spec.column), F.lit("")).alias("_record"))
+    placed = cut_lineage(global_positions(records, sort_columns(sort), "_at").select(
+        "_at", "_record"))
+    last = placed.agg(F.max("_at")).first()[0]
+    if not spec.delimiter:
+        if not placed.filter(~F.endswith("_record", F.lit("\n"))).isEmpty():
+            raise ValueError("records without a delimiter must end with a line feed")
+        lines = F.regexp_replace("_record", r"\n\z", "")
+    else:
+        lines = F.col("_record")
+    # Rows come out of the numbering in order, and a text file keeps the order of its task.
+    placed.filter(F.col("_at") < F.lit(last)).orderBy("_at").select(lines.alias("value")).write.mode(
+        "overwrite").option("lineSep", spec.delimiter or "\n").text(f"{path}/{EXPORT_PARTS[1]}")
+
+    def write_one(text: DataFrame, end: str, part: str) -> None:
+        """One row, written with its last character as the line end."""
+        rows = text.filter("value <> ''").select(
+            F.substring("value", F.lit(1), F.length("value") - 1).alias("value"))
+        rows.write.mode("overwrite").option("lineSep", end or "\n").text(f"{path}/{part}")
+
+    head = spark.range(1).select(F.lit(before).alias("value"))
+    write_one(head, before[-1:], EXPORT_PARTS[0])
+    final = placed.filter(F.col("_at") == F.lit(last)).select("_record")
+    if last is None:
+        final = spark.range(1).select(F.lit("").alias("_record"))
+    # At most one record: its end is known on the driver.
+    end = after[-1:] or (final.select(F.substring("_record", -1, 1)).first() or ("",))[0]
+    write_one(final.select(F.concat("_record", F.lit(after)).alias("value")), end, EXPORT_PARTS[2])
+
+
 def export_text(records: DataFrame, spec: ExportSpec) -> DataFrame:
     """S12 for a page of records: one joined text inside the group format."""
     ordered = F.sort_array(F.collect_list(F.struct("position", "record")))
@@ -65,6 +115,30 @@ def export_record(resolved: DataFrame, docs: DataFrame, spec: ExportSpec) -> Dat
     )
 
 
+# Fixed value: the order of a feed.
+FEED_SORT = SortSpec("date_added_desc", ("sort_date_added",), True)
+
+
+def feed_page(
+    docs: DataFrame, index: TermIndex, catalog: Catalog, keywords: Expr | None = None,
+    filters: Mapping[str, Sequence[str]] | None = None, number: int = 1, length: int = 20,
+    max_days: int = 0, as_of: datetime | None = None,
+    required: Mapping[str, Sequence] | None = None, rejected: Mapping[str, Sequence] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The entries of one page of a feed, newest first, and the totals of the feed.
+
+    Takes what a search takes: keywords and facet filters; ``required`` (any of the values) and
+    ``rejected`` columns; and an age limit in days before the midnight of ``as_of``, 0 for none.
+    Notes and attachments are no entries. A page number beyond the end gives the last page.
+    """
+    recent = feed_window(docs, as_of, max_days) if max_days else docs
+    found = search(recent, index, catalog, keywords, filters, FEED_SORT,
+                   any_values=required or {}, rejected=rejected or {})
+    newest = found.page(number, length)
+    entries = feed_entries(newest).join(newest.select("id", "position"), "id")
+    return entries, found.totals(length)
+
+
 def feed_window(df: DataFrame, as_of: datetime, max_days: int) -> DataFrame:
     """Only documents dated at most ``max_days`` before today's midnight; 0 is no limit."""
     if not max_days:

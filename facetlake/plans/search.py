@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.operators import facets as facet_ops
@@ -77,8 +77,9 @@ def search(
     return SearchResult(matched, catalog, filters or {}, spec)
 
 
-# Columns of a result list when none are named.
-RESULT_FIELDS = ("id", "attachments", "bib", "coins", "data", "url")
+# Columns of a result list when none are named. Attachments are rows of their own,
+# see ``result_items``.
+RESULT_FIELDS = ("id", "bib", "coins", "data", "url")
 
 
 def select_fields(
@@ -88,6 +89,43 @@ def select_fields(
     return df.select(*[k for k in dict.fromkeys([*keys, *extra]) if k in df.columns])
 
 
+def result_items(page_rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """P5: what belongs to the rows of a page: ``id, position, kind, place, child, label, value``.
+
+    ``kind`` is ``cites`` (the record referred to), ``attachment`` (file name and media type),
+    ``link`` (title and URL) or ``note`` (its text); ``place`` numbers a row's entries of a kind
+    from 1, by ``child``. A page row without any has one row with a null ``kind``. The entries
+    are rows, so a record with very many children is no problem; every child table is cut to the
+    page's ids first.
+    """
+    page_ids = page_rows.select("id", "position")
+
+    def own(name: str, key: str = "id") -> DataFrame:
+        # A page is small: its ids are sent to the tasks that scan the children.
+        return tables[name].withColumnRenamed(key, "id").join(
+            F.broadcast(page_ids.select("id")), "id", "left_semi")
+
+    def entries(rows: DataFrame, kind: str, child: Column, label: Column,
+                value: Column) -> DataFrame:
+        return rows.select("id", F.lit(kind).alias("kind"), child.alias("child"),
+                           label.cast("string").alias("label"), value.alias("value"))
+
+    none = F.lit(None).cast("string")
+    every = entries(own("edges", "src").filter("rel = 'cites'").distinct(), "cites", F.col("ref"),
+                    none, F.col("ref"))
+    for more in (
+        entries(own("attachments"), "attachment", F.col("child_key"), F.col("data.filename"),
+                F.col("data.content_type")),
+        entries(own("links"), "link", F.col("child_key"), F.col("title"), F.col("url")),
+        entries(own("notes"), "note", F.col("child_key"), none, F.col("note")),
+    ):
+        every = every.unionByName(more)
+    placed = every.withColumn(
+        "place", F.row_number().over(Window.partitionBy("id", "kind").orderBy("child")))
+    return page_ids.join(placed, "id", "left").select(
+        "id", "position", "kind", "place", "child", "label", "value")
+
+
 def badge_flags(df: DataFrame, badges: Sequence[BadgeSpec]) -> DataFrame:
     """One boolean column per badge, by weight."""
     for badge in sorted(badges, key=lambda b: b.weight):

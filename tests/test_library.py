@@ -223,6 +223,29 @@ def test_exports(made, spark, tmp_path):
     assert not publish.export_allowed(6, replace(ris, max_records=5))
 
 
+@pytest.mark.parametrize("delimiter, group, wanted", [
+    ("", "{}", "ris:CASE\nris:ARTI\nris:BOOK\n"),
+    ("", "<{}>", "<ris:CASE\nris:ARTI\nris:BOOK\n>"),
+    (",\n", "[\n{}]\n", "[\nris:CASE\n,\nris:ARTI\n,\nris:BOOK\n]\n"),
+])
+def test_grouped_exports_laid_end_to_end(made, tmp_path, delimiter, group, wanted):
+    author_asc = next(s for s in DEFAULT_SORTS if s.key == "author_asc")
+    spec = replace(DEFAULT_EXPORTS[0], delimiter=delimiter, group_format=group)
+    for matched, expected in ((publish.records_of(made["docs"]), wanted),
+                              (made["docs"].limit(0), group.replace("{}", ""))):
+        path = tmp_path / ("all" if expected == wanted else "none")
+        publish.write_export_group(matched, spec, author_asc, str(path))
+        files = [f for part in publish.EXPORT_PARTS for f in sorted((path / part).glob("part-*"))]
+        assert "".join(f.read_text() for f in files) == expected
+
+
+def test_records_that_end_no_line_need_a_delimiter(made, tmp_path):
+    author_asc = next(s for s in DEFAULT_SORTS if s.key == "author_asc")
+    spec = replace(DEFAULT_EXPORTS[0], column="bib")
+    with pytest.raises(ValueError, match="line feed"):
+        publish.write_export_group(made["docs"], spec, author_asc, str(tmp_path / "x"))
+
+
 def test_custom_columns_and_fields(spark):
     """X-1, X-2: a field and a column of one's own."""
     options = replace(OPTIONS, extra_columns={"loud": F.upper("item_type")})

@@ -368,3 +368,45 @@ def test_no_active_facet_when_empty(items):
         found = facets.facets_when_empty(items, [spec], chosen, records_only=False)
         assert found.collect() == []
         assert set(found.columns) == {"facet", "value", "label", "count", "active"}
+
+
+def test_a_record_cited_by_a_third_of_all_others(spark):
+    """Its list is whole and in order, and its links are dealt to many tasks."""
+    n = 3000
+    docs = spark.range(n).select(F.format_string("R%04d", "id").alias("id"),
+                                 F.lit("book").alias("item_type"),
+                                 F.format_string("t%04d", n - F.col("id")).alias("sort_title"))
+    edges = spark.range(n).select(
+        F.format_string("R%04d", "id").alias("src"), F.lit("cites").alias("rel"),
+        F.when(F.col("id") % 3 == 0, "alias").otherwise(
+            F.format_string("R%04d", F.col("id") % 900)).alias("ref"))
+    other = spark.createDataFrame([("R0001", "alias"), ("gone", "alias")],
+                                  "id string, alternate_id string")
+    specs = default_catalog().relations
+    title = SortSpec("title", ("sort_title",), False)
+    found = relations.relations_of_records(edges, docs, other, specs, title)
+    hot = sorted((r["place"], r["id"]) for r in found.filter(
+        "src = 'R0001' AND relation = 'isCitedBy'").collect())
+    citing = sorted({f"R{i:04d}" for i in range(n) if i % 3 == 0 or i % 900 == 1}, reverse=True)
+    assert hot == list(enumerate(citing, 1))
+    first = relations.relations_of_records(edges, docs, other, specs, title, limit=2)
+    assert {r["place"] for r in first.collect()} == {1, 2}
+    names = docs.select(F.lit("alias").alias("ref"), F.col("id").alias("to")).limit(1)
+    spread = relations.join_salted(edges, names, ["ref"]).select(F.spark_partition_id().alias("p"))
+    assert spread.count() == 1000
+    heavy = relations.heavy_keys(edges, ["ref"]).collect()
+    assert [r["ref"] for r in heavy] == ["alias"]
+
+
+def test_relations_by_alternate_id_only_where_specified(spark):
+    docs = spark.createDataFrame([("a", "book", "x"), ("b", "book", "y"), ("n", "note", "z")],
+                                 "id string, item_type string, sort_title string")
+    edges = spark.createDataFrame(
+        [("a", "related", "B2"), ("a", "cites", "B2"), ("a", "related", "n"), ("n", "cites", "a"),
+         ("a", "unknown", "b"), ("lost", "cites", "a")], "src string, rel string, ref string")
+    other = spark.createDataFrame([("b", "B2")], "id string, alternate_id string")
+    found = relations.relations_of_records(edges, docs, other, default_catalog().relations,
+                                           SortSpec("title", ("sort_title",), False))
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("a", "cites", "b", 1), ("b", "isCitedBy", "a", 1), ("n", "cites", "a", 1),
+        ("n", "related", "a", 1)]
