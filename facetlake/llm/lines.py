@@ -1,4 +1,4 @@
-"""Fuzzy duplicates of lines by MinHash, with DataFrame functions only.
+"""Fuzzy duplicates of lines by MinHash.
 
 A line is lower-cased and its white space made single blanks. Its set holds the shingles of 12
 characters at every position, or the whole line if it is shorter, so that text without blanks is
@@ -9,58 +9,128 @@ all of them once in some thousands. Sets of up to 16 shingles fill too few range
 meet by the least quarter of their hashes instead, of which two similar sets must share one; so do
 the sets up to 21 that can be similar to them. Candidates are confirmed on full sets, components
 follow, and of each component the first line of the corpus stays.
+
+Lines are split, made normal and joined by DataFrame functions; their shingles are hashed in numpy,
+a batch of lines at a time: by regular expressions that alone exceeded the time allowed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetlake.functions.paths import evaluate_once
 from facetlake.llm.scratch import small, stored
+from facetlake.llm.shingles import mix
 from facetlake.llm.stars import linked
 
 PERCENT = 75
 SHINGLE = 12
 RANGE_BITS = 4
 SMALL_SET = 16
-# Each match takes one character, so that a pair of surrogates is never cut.
-_SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}\z))."
+# Characters hashed together; a longer line is hashed alone.
+PIECE_CHARS = 1 << 19
 _BLANKS = r"[\x20\x09-\x0D]+"
 
+_RANDOM = np.random.default_rng(1217)
+_CHAR = _RANDOM.integers(0, 1 << 63, size=1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _HIGH, _LENGTH, _PAIR, _ALONE = (
+    int(x) << 1 | 1 for x in _RANDOM.integers(0, 1 << 63, size=5, dtype=np.uint64))
+_MASK = (1 << 64) - 1
+_BASE &= _MASK
+
 
 def normal_line(line: Column) -> Column:
     """Lower case, words apart by one blank; empty without words."""
     return F.btrim(F.lower(F.regexp_replace(line, _BLANKS, " ")))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The sorted distinct hashes of a normal line's shingles."""
-    found = F.regexp_extract_all(line, F.lit(_SHINGLES), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
-
-
-def band_keys(hashes: Column) -> Column:
+@lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of the base and of its inverse, modulo 2^64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([
+        np.ones(1, dtype=np.uint64), np.full((1 << bits) - 1, x, dtype=np.uint64)]))
+        for x in (_BASE, inverse))
+
+
+def shingle_hashes(lines: list[str]) -> Iterator[np.ndarray]:
+    """For each normal line the sorted distinct hashes of its shingles, from rolling sums."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4")
+    powers, inverses = _powers(max(1, len(codes)).bit_length())
+    values = _CHAR[codes & 0xFFFF] + (codes >> 16).astype(np.uint64) * np.uint64(_HIGH & _MASK)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64),
+                           np.cumsum(values * powers[:len(codes)], dtype=np.uint64)])
+    n = max(0, len(codes) - SHINGLE + 1)
+    windows = mix((sums[SHINGLE:SHINGLE + n] - sums[:n]) * inverses[:n]).view(np.int64)
+    at = 0
+    for line in lines:
+        end = at + len(line)
+        if len(line) >= SHINGLE:
+            found = np.sort(windows[at:end - SHINGLE + 1])
+            yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+        else:
+            whole = (sums[end:end + 1] - sums[at:at + 1]) * inverses[at:at + 1]
+            yield mix(whole + np.uint64((len(line) * _LENGTH) & _MASK)).view(np.int64)
+        at = end
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
     """Keys of the bands of a sorted set; of a small one the elements it must share one of."""
-    def range_of(x: Column) -> Column:
-        return F.shiftright(x, 64 - RANGE_BITS)
-
-    def least(ordered: Column) -> Column:
-        return F.filter(ordered, lambda x, i: (i == 0) | (
-            range_of(x) != range_of(F.get(ordered, i - 1))))
-
-    def keys(values: Column) -> Column:
-        return F.transform(values, lambda x, i: F.xxhash64(
-            x, F.coalesce(F.get(values, i + 1), F.get(values, F.lit(0)))))
-
-    def of_set(ordered: Column) -> Column:
-        n, bands = F.size(ordered), evaluate_once(least(ordered), keys)
-        first = F.slice(ordered, F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int"))
-        exact = F.transform(first, lambda x: F.xxhash64(x))
-        return F.when(n <= SMALL_SET, exact).when(
-            n <= SMALL_SET * 100 // PERCENT, F.concat(exact, bands)).otherwise(bands)
-
-    return evaluate_once(hashes, of_set)
+    n, parts = len(hashes), []
+    if n <= SMALL_SET * 100 // PERCENT:
+        head = hashes[:n - -(-n * PERCENT // 100) + 1].view(np.uint64)
+        parts.append(mix(head ^ np.uint64(_ALONE & _MASK)))
+    if n > SMALL_SET:
+        ranges = hashes >> (64 - RANGE_BITS)
+        least = hashes[np.concatenate([[True], ranges[1:] != ranges[:-1]])].view(np.uint64)
+        parts.append(mix(least * np.uint64(_PAIR & _MASK) + np.roll(least, -1)))
+    return np.concatenate(parts).view(np.int64)
+
+
+def _pieces(lines: list[str]) -> Iterator[list[str]]:
+    begin = held = 0
+    for i, line in enumerate(lines):
+        if i > begin and held + len(line) > PIECE_CHARS:
+            yield lines[begin:i]
+            begin, held = i, 0
+        held += len(line)
+    yield lines[begin:]
+
+
+def _hashed(rows: DataFrame, keyed: bool) -> DataFrame:
+    """``rows`` with their sets, made from the last column, a normal line, in its place: the size
+    ``n`` and the ``keys`` of the bands if ``keyed``, else the ``members``."""
+    kept = rows.schema.fields[:-1]
+    many = T.ArrayType(T.LongType())
+    added = [T.StructField("n", T.IntegerType()), T.StructField("keys", many)] if keyed else [
+        T.StructField("members", many)]
+    schema = T.StructType([*kept, *added])
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+        flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            for lines in _pieces(batch.column(batch.num_columns - 1).to_pylist()):
+                sets = list(shingle_hashes(lines))
+                found = [pa.array([len(x) for x in sets], pa.int32()),
+                         lists([band_keys(x) for x in sets])] if keyed else [lists(sets)]
+                whole = batch.slice(begin, len(lines))
+                begin += len(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [*whole.columns[:-1], *found], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -83,12 +153,9 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     A line's node is its 64-bit hash ``h``; ``g`` is a second one. Lines that share ``h`` by
     chance, seen from ``g``, take no part.
     """
-    hashed = _lines(docs, id_column, text).select(
-        "id", "t", "line", _hash(F.col("s")).alias("h"),
-        F.xxhash64("s", F.lit(1)).alias("g"), shingle_hashes(F.col("s")).alias("set"))
-    lines = stored(hashed.select(
-        "id", "t", "line", "h", "g", F.size("set").alias("n"), band_keys(F.col("set")).alias("keys")
-    ), "lines")
+    split = _lines(docs, id_column, text).select(
+        "id", "t", "line", _hash(F.col("s")).alias("h"), F.xxhash64("s", F.lit(1)).alias("g"), "s")
+    lines = stored(_hashed(split, True), "lines")
 
     banded = lines.select("h", "n", F.explode("keys").alias("key"))
     several = stored(banded.groupBy("key").agg(
@@ -97,10 +164,9 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     shared = stored(banded.join(small(several, 16), "key").select(
         "key", F.col("h").alias("id"), "n").distinct(), "line-shared")
     nodes = stored(shared.select(F.col("id").alias("h")).distinct(), "line-nodes")
-    sets = stored(
-        _lines(docs, id_column, text).select(_hash(F.col("s")).alias("h"), "s")
-        .join(small(nodes, 16), "h").dropDuplicates(["h"])
-        .select(F.col("h").alias("id"), shingle_hashes(F.col("s")).alias("members")), "line-sets")
+    texts = _lines(docs, id_column, text).select(_hash(F.col("s")).alias("h"), "s").join(
+        small(nodes, 16), "h").dropDuplicates(["h"])
+    sets = stored(_hashed(texts.select(F.col("h").alias("id"), "s"), False), "line-sets")
 
     def may_link(a: str, b: str) -> Column:
         m, n = F.col(f"{a}.n"), F.col(f"{b}.n")

@@ -18,7 +18,7 @@ def wanted(document_rows):
     kept = plain.kept_by_quality(document_rows, quality.LEAST_SPREAD, quality.LEAST_ROWS,
                                  quality.CUTOFF)
     rows = [(i, t) for i, t, _, _ in document_rows if kept[i]]
-    texts = plain.without_repeated_lines(rows)
+    texts = plain.without_similar_lines(rows)
     rows = [(i, texts[i]) for i, t in rows if texts[i] == t or plain.WORD.search(texts[i])]
     near = plain.near_components(rows)
     return [(i, plain.masked(t, plain.base_spans(t))) for i, t in rows if near[i][1] == i]
