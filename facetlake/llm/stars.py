@@ -11,13 +11,20 @@ common passage brings nobody together, and no link is given up.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.llm.components import components
 from facetlake.llm.scratch import small, stored
+from facetlake.llm.shingles import mix
+
+# Counts of elements are kept for so many slots, whatever the number of elements.
+SLOT_BITS = 21
 
 # Over two row aliases: whether the rows may link, and how unlike they look.
 Relation = Callable[[str, str], Column]
@@ -49,45 +56,89 @@ def _star(rows: DataFrame, hub: Column, may_link: Relation, unlike: Relation) ->
     ).distinct()
 
 
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _element_counts(sets: DataFrame) -> np.ndarray:
+    """How many ``members`` of all sets fall into each of 2^``SLOT_BITS`` slots: 16 MiB, summed up
+    on the executors. An element that several sets hold has two at least."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            flat = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False)
+            counts += np.bincount(_slots(flat), minlength=len(counts))
+        filled = np.flatnonzero(counts)
+        for at in range(0, len(filled), 100_000):
+            part = filled[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), pa.array(counts[part])], names=["slot", "n"])
+
+    rows = sets.select("members").mapInArrow(partial, "slot long, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
 def rarest_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, key, first, common``: the elements that a set must share one of with any set as
+    """``id, n, key, left``: the elements that a set must share one of with any set as
     similar as ``percent``, the rarest ``n - ceil(n * percent / 100) + 1`` of its ``n``.
 
-    Elements that no other of the ``sets`` holds are left out: ``first`` lists the others in the
-    order of their rarity, ``key`` goes through them, and ``common`` counts all elements of the
-    set that some other holds, which bounds what it can share.
+    Any order that all sets follow is good for that; here it is the count of an element's slot,
+    then the element. Elements that no other of the ``sets`` can hold are left out, and ``left``
+    counts the others of the whole set from the key on, which bounds what it can share if the key
+    is the first shared one: keys with too few are left out.
     """
-    items = sets.select("id", F.explode("members").alias("key"))
-    often = items.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
-    # A set's own elements are its group: bounded by its document.
-    ordered = items.join(often, "key").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("f", "key"))).alias("e"))
-    n = F.size("e")
-    head = F.slice("e", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    held = F.filter(head, lambda x: x["f"] > 1)
-    return ordered.select(
-        "id", F.transform(held, lambda x: x["key"]).alias("first"),
-        F.size(F.filter("e", lambda x: x["f"] > 1)).alias("common"),
-    ).select("id", F.explode("first").alias("key"), "first", "common")
+    counts = sets.sparkSession.sparkContext.broadcast(_element_counts(sets))
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def chosen(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        often = counts.value[_slots(members)]
+        order = np.lexsort((members, often))
+        held = often[order] > 1
+        n = len(members)
+        head = n - -(-n * percent // 100) + 1
+        left = held[::-1].cumsum()[::-1]
+        keep = held[:head] & (100 * left[:head] >= percent * n)
+        return members[order][:head][keep], left[:head][keep]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            found = [chosen(x.values.to_numpy(zero_copy_only=False)) for x in lists]
+            sizes = [len(keys) for keys, _ in found]
+            flat = [np.concatenate([f[i] for f in found] or [[]]).astype(np.int64) for i in (0, 1)]
+            owner = pa.array(np.repeat(np.arange(len(found)), sizes))
+            counted = pa.array([len(x.values) for x in lists], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(owner), counted.take(owner), pa.array(flat[0]),
+                pa.array(flat[1].astype(np.int32)),
+            ], names=["id", "n", "key", "left"])
+
+    # No column of the sets but these two is read.
+    return sets.select("id", "members").mapInArrow(rows, f"id {kind}, n int, key long, left int")
 
 
 def _by_rare_elements(
     rows: DataFrame, sets: DataFrame, percent: int, may_link: Relation
 ) -> DataFrame:
     """``a, b``: the pairs of different components in buckets of three or more that share a
-    rare element and may link, once each. Smaller buckets are fully tested by their stars."""
+    rare element and may link. Smaller buckets are fully tested by their stars.
+
+    At the first element that two sets share, both must have enough others left; a pair may come
+    up at later ones too."""
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(
         "key")
     members = stored(rows.join(crowded, "key").drop("key", "rank").distinct(), "star-crowded")
     rare = rarest_elements(sets.join(small(members.select("id").distinct(), 16), "id"), percent)
-    met = stored(rare.join(members, "id"), "star-rare")
-    most = F.least("x.common", "y.common")
+    met = stored(rare.withColumnRenamed("n", "_size").join(members, "id"), "star-rare")
+    most = F.least("x.left", "y.left")
     return met.alias("x").join(met.alias("y"), "key").where(
         (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-        & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)) & may_link("x", "y")
-        # Both lists are in one order, so exactly one of their common elements comes first.
-        & (F.get(F.array_intersect("x.first", "y.first"), F.lit(0)) == F.col("key"))
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        & ((100 + percent) * most >= percent * (F.col("x._size") + F.col("y._size")))
+        & may_link("x", "y")
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
