@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,8 @@ _END_BITS = 36
 # these chunks end where its matches do; other white space sends the text there whole.
 _BYTE_CHUNKS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]")
 _OTHER_SPACE = re.compile("[^\\S \\n]|[\u180e\u200b\ufeff]")
+_LETTERS_AND_MARKS = re.compile(
+    "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 _PIECE_CHUNKS = re.compile(r" +[^ ]+| +")
 
 
@@ -55,20 +58,26 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class _Remembered(dict):
-    """Ids of a chunk as little-endian 32-bit bytes."""
+class _Chunks:
+    """Ids of texts from the ids of their chunks, as little-endian 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, pattern: re.Pattern, encode: Callable[[list[str]], list[list[int]]]):
+        self.pattern, self.encode = pattern, encode
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), dtype="<i4").tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Chunks not seen before are encoded together, once."""
+        chunks = [self.pattern.findall(t) for t in texts]
+        if len(self.known) >= CHUNKS_KEPT:
+            self.known.clear()
+        known = self.known
+        fresh = list(set().union(*chunks).difference(known))
+        long = {}
+        for chunk, ids in zip(fresh, self.encode(fresh)):
+            (known if len(chunk) <= LONGEST_KEPT else long)[chunk] = array("i", ids).tobytes()
+        if long:
+            known = {**known, **long}
+        return [b"".join(map(known.__getitem__, c)) for c in chunks]
 
 
 class ByteTokens:
@@ -85,18 +94,46 @@ class ByteTokens:
         for entry, i in vocab.items():
             self.bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else (
                 entry.encode())
-        self._whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self._chunks = _Remembered(self._whole)
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+        self._written = {b: c for c, b in byte.items()}
+        self._marks: dict[str, list[int]] = {}  # of up to four of 31 marks
+        self._chunks = _Chunks(_BYTE_CHUNKS, lambda chunks: list(map(self._chunk, chunks)))
         with open(path, encoding="utf-8") as file:
             kind = json.load(file)
         self._by_chunk = kind["normalizer"] is None and kind["pre_tokenizer"] == {
             "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
             "use_regex": True}
 
-    def ids(self, text: str) -> bytes:
-        if not self._by_chunk or _OTHER_SPACE.search(text):
-            return np.array(self._whole(text), dtype="<i4").tobytes()
-        return b"".join(map(self._chunks.__getitem__, _BYTE_CHUNKS.findall(text)))
+    def _whole(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _part(self, part: str) -> list[int]:
+        if part.isascii():
+            written = part.replace(" ", self._written[32])
+        else:
+            written = part.encode().decode("latin-1").translate(self._written)
+        return [token.id for token in self._model.tokenize(written)]
+
+    def _chunk(self, chunk: str) -> list[int]:
+        """Letters and then marks are two matches of the pattern: they go to the model at once."""
+        simple = _LETTERS_AND_MARKS.fullmatch(chunk)
+        if not simple:
+            return self._whole(chunk)
+        letters, marks = simple.groups()
+        if not marks:
+            return self._part(letters)
+        if len(marks) > 4:
+            return self._part(letters) + self._part(marks)
+        found = self._marks.get(marks)
+        if found is None:
+            found = self._marks[marks] = self._part(marks)
+        return self._part(letters) + found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [not self._by_chunk or bool(_OTHER_SPACE.search(t)) for t in texts]
+        cut = iter(self._chunks.ids([t for t, w in zip(texts, whole) if not w]))
+        return [array("i", self._whole(t)).tobytes() if w else next(cut)
+                for t, w in zip(texts, whole)]
 
 
 class PieceTokens:
@@ -109,20 +146,22 @@ class PieceTokens:
         pieces = [model.id_to_piece(i) for i in range(model.piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else
                       p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
-        blank = model.piece_to_id("\u2581")
+        blank = [model.piece_to_id("\u2581")]
 
-        def encode(chunk: str) -> list[int]:
+        def encode(chunks: list[str]) -> list[list[int]]:
             # The library returns nothing for an empty text, where a blank would stand.
-            return model.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [blank]
+            found = model.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
+            return [ids if len(c) > 1 else blank[:len(c)] for c, ids in zip(chunks, found)]
 
-        self._chunks = _Remembered(encode)
+        self._encode, self._chunks = encode, _Chunks(_PIECE_CHUNKS, encode)
         # No piece goes on after a blank, so no merge does.
         self._by_chunk = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
 
-    def ids(self, text: str) -> bytes:
-        if not self._by_chunk or "\u2581" in text:
-            return np.array(self._chunks.encode(text), dtype="<i4").tobytes()
-        return b"".join(map(self._chunks.__getitem__, _PIECE_CHUNKS.findall(text)))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        whole = [not self._by_chunk or "\u2581" in t for t in texts]
+        cut = iter(self._chunks.ids([t for t, w in zip(texts, whole) if not w]))
+        return [array("i", self._encode([t])[0]).tobytes() if w else next(cut)
+                for t, w in zip(texts, whole)]
 
 
 class Sides:
@@ -144,7 +183,7 @@ class Sides:
         wanted = [t.encode() for t in spaced]
         found = []
         for tokens, entries in zip(self.tokens, self.entries):
-            raw = [tokens.ids(t) if t else b"" for t in spaced]
+            raw = tokens.ids(spaced)
             sizes = [len(r) // 4 for r in raw]
             flat = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
             found.append(pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat))
