@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.llm import shingles as sh
+from facetlake.llm.components import components
 from facetlake.llm.scratch import small, stored
 from facetlake.llm.stars import linked
 
 PERCENT = 75
-# Of 128 sketch bits, pairs at the similarity limit differ in 16 on average, with a deviation of
-# 3.7. More differing bits than this rule a pair out of 10^7 of them out; small sets, whose bins
-# share few values, are never ruled out.
-MOST_BITS = 36
-SMALL_SET = 24
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -90,23 +86,29 @@ def _differing(a: str, b: str) -> Column:
 
 
 def _may_link(a: str, b: str) -> Column:
-    """Whether sizes and sketch bits of two rows allow the similarity."""
+    """Whether the sizes of two sets allow the similarity; sketch bits only order candidates."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (
-        (_differing(a, b) <= MOST_BITS) | (F.least(na, nb) < SMALL_SET))
+    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def class_links(classes: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``node, component`` of the linked classes (``id, n, b1, b2, bands``, one row each)."""
+def class_links(
+    classes: DataFrame, docs: DataFrame, id_column: str, text: str, repeated: bool
+) -> DataFrame:
+    """``node, component`` of the linked classes (``id, n, b1, b2, bands``, one row each).
+
+    An id that stands for several classes is one node with several sets; ``repeated`` says that
+    ids may repeat at all."""
     banded = classes.where("n >= 3").select("id", "n", "b1", "b2", F.explode("bands").alias("key"))
     common = stored(
-        banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"),
-        "near-buckets")
+        banded.groupBy("key").agg(F.min("id").alias("i0"), F.max("id").alias("i1"))
+        .where("i0 <> i1").select("key"), "near-buckets")
     shared = stored(banded.join(small(common, 16), "key"), "near-shared")
     ids = stored(shared.select("id").distinct(), "near-ids")
     named = docs.select(docs[id_column].alias("id"), docs[text].alias("text")).join(
         small(ids, 24), "id", "left_semi")
-    sets = stored(document_sets(named, "id", "text").dropDuplicates(["id"]), "near-sets")
+    if repeated:
+        named = named.distinct()
+    sets = stored(document_sets(named, "id", "text"), "near-sets")
 
     return linked(shared, sets, PERCENT, _may_link, _differing, "near")
 
@@ -117,9 +119,20 @@ def _resolved(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     classes = stored(
         filled.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "near-classes")
-    representatives = filled.join(classes, ["n", "k1", "k2"]).where("id = rep").select(
-        "id", "n", "b1", "b2", "bands").dropDuplicates(["id"])
-    labels = class_links(representatives, docs, id_column, text)
+    classed = filled.join(classes, ["n", "k1", "k2"])
+    again = stored(filled.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where(
+        "rows > 1").select("id"), "near-repeated")
+    repeated = not again.isEmpty()
+    representatives = classed.where("id = rep").select("id", "n", "k1", "k2", "b1", "b2", "bands")
+    if repeated:
+        representatives = representatives.dropDuplicates(["id", "n", "k1", "k2"])
+    labels = class_links(
+        representatives.drop("k1", "k2"), docs, id_column, text, repeated)
+    if repeated:
+        # An id brings the classes of all its texts together.
+        several = stored(classed.join(again, "id").select("id", "rep").distinct(), "near-several")
+        least = several.groupBy("id").agg(F.min("rep").alias("component"))
+        labels = components(labels.union(several.join(least, "id").select("rep", "component")))
     # Each class by its component; joined back on the set's key.
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -138,8 +151,9 @@ def near_duplicates(
     least 75 times the union; a component is kept by its smallest id.
 
     Defined cases: null texts and texts without words have an empty set and stay alone; a text
-    of fewer than five words is one shingle; repeated ids share their component and are all kept
-    if it bears their id; a null id has a null component and is kept; an empty table gives no
+    of fewer than five words is one shingle; an id with several texts is one document that is
+    linked wherever one of its texts is, and its rows are all kept if the component bears its id;
+    a null id has a null component and is kept; an empty table gives no
     rows. Reads only the two named columns.
     """
     return _resolved(docs, id_column, text).select(

@@ -63,6 +63,33 @@ def test_near_copies_odd_rows(odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_ids_with_several_texts_link_wherever_one_of_them_does(spark):
+    rng = random.Random(5)
+    a, b = ([f"{name}{rng.random()}" for _ in range(60)] for name in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (1, " ".join(a)),
+            (4, "quite alone, this one is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert near_duplicates(docs).count() == len(rows)
+    # Texts of two larger groups that only an id between them joins.
+    rows = [(7, " ".join(a)), (8, " ".join(a)), (9, " ".join(b)), (8, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(docs).collect()} == {7}
+
+
+def test_small_sets_at_the_limit_are_all_linked(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        words = [f"w{rng.random()}" for _ in range(36)]
+        # 32 shingles against 24 of them: exactly three quarters.
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[4:-4]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_duplicates(docs).where("component_id = doc_id - doc_id % 2").count() == len(rows)
+
+
 def test_sketches_fill_every_range():
     for n in (1, 2, 5, 400):
         values = sh.sketch(next(sh.shingle_sets([" ".join(map(str, range(n + 4))).encode()])))
