@@ -2,8 +2,9 @@
 
 Every text gives counts and a vector of four transformed statistics. For each group of documents
 the minimum-covariance-determinant method looks for the three quarters of the rows with the
-tightest covariance: starting from medians, rows are ranked by Mahalanobis distance, and mean and
-covariance are taken anew from the nearest ones. Rows far outside that core are rejected.
+tightest covariance: from two starts at the medians, rows are ranked by Mahalanobis distance and
+mean and covariance are taken anew from the nearest ones, until the determinant stops falling; the
+start with the least determinant counts. Rows far outside that core are rejected.
 DataFrame functions only; groups are moments in a table, never rows in one task.
 """
 
@@ -21,13 +22,18 @@ WINDOW = 5
 
 VECTOR = ("x0", "x1", "x2", "x3")
 # Least standard deviation of each statistic. Most clean texts have no symbols and no repeated
-# lines at all, so that the plain estimate can be 0; short texts vary more than long ones.
-LEAST_SPREAD = (0.06, 0.1, 0.08, 0.2)
+# lines at all, so that the plain estimate can be 0; short texts vary more than long ones. Each is
+# small enough for its statistic to pass the cutoff alone: x3, which ends at 1, does from a share of
+# 0.52 of repeated lines.
+LEAST_SPREAD = (0.06, 0.1, 0.08, 0.12)
 CORE_SHARE = 0.75
-STEPS = 3
+LEAST_FALL = 1e-3  # of the logarithm of the determinant; a smaller one ends the steps
+MAD_TO_SPREAD = 1.4826
 MEDIAN_CHI2 = 3.3567  # median of chi-square with four degrees of freedom
 CUTOFF = 36.0  # its quantile at about 1 - 3e-7
 LEAST_ROWS = 200
+_MODEL = ("g", "start", *[f"m{i}" for i in range(len(VECTOR))],
+          *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)], "logdet")
 
 
 def text_hash(text: Column) -> Column:
@@ -153,10 +159,12 @@ def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """``g, m0 ...`` and the Cholesky factor ``l00, l10, ...`` of covariance plus spread."""
+    """``_MODEL``: means, the Cholesky factor ``l00, l10, ...`` of covariance plus spread, and the
+    logarithm of its determinant."""
     p, n = len(VECTOR), F.col("n")
-    table = moments.select("g", "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)],
-                           *[f"s{i}{j}" for i in range(p) for j in range(i + 1)])
+    table = moments.select(
+        "g", "start", "n", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)],
+        *[f"s{i}{j}" for i in range(p) for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
             value = F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")
@@ -167,8 +175,8 @@ def _factored(moments: DataFrame) -> DataFrame:
             # Rounding can bring a pivot down to 0, never far below.
             factor = F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l{j}{j}")
             table = table.withColumn(f"l{i}{j}", factor)
-    return table.select("g", *[f"m{i}" for i in range(p)],
-                        *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in range(1, p)), 2 * F.log("l00"))
+    return table.withColumn("logdet", logdet).select(*_MODEL)
 
 
 def _distance() -> Column:
@@ -187,7 +195,7 @@ def _distance() -> Column:
 
 def _moments(rows: DataFrame) -> DataFrame:
     p = len(VECTOR)
-    return rows.groupBy("g").agg(
+    return rows.groupBy("g", "start").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(VECTOR[i]).alias(f"s{i}") for i in range(p)],
         *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}")
@@ -199,28 +207,57 @@ def _measured(grouped: DataFrame, model: DataFrame) -> DataFrame:
     return grouped.join(small(model, 200), "g").withColumn("d2", _distance())
 
 
-def fit_core(grouped: DataFrame, steps: int = STEPS) -> DataFrame:
+def _starts(grouped: DataFrame) -> DataFrame:
+    """``_MODEL``: for each group the medians with twice the least spreads (0), and with the
+    spreads that the median deviations stand for (1)."""
+    p = len(VECTOR)
+    middle = [F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(VECTOR)]
+    centre = stored(grouped.groupBy("g").agg(*middle), "quality-centre")
+    deviation = [F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}")
+                 for i, x in enumerate(VECTOR)]
+    apart = grouped.join(small(centre, 60), "g").groupBy("g").agg(*deviation)
+    both = stored(centre.join(apart, "g"), "quality-deviations")
+
+    def start(number: int, spread: list[Column]) -> DataFrame:
+        return both.select(
+            "g", F.lit(number).alias("start"), *[f"m{i}" for i in range(p)],
+            *[(spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}")
+              for i in range(p) for j in range(i + 1)],
+            F.lit(float("inf")).alias("logdet"))
+
+    return start(0, [F.lit(2 * x) for x in LEAST_SPREAD]).union(start(1, [
+        F.sqrt(x ** 2 + (MAD_TO_SPREAD * F.col(f"d{i}")) ** 2)
+        for i, x in enumerate(LEAST_SPREAD)]))
+
+
+def fit_core(grouped: DataFrame) -> DataFrame:
     """``g``, location, factor and ``scale`` of every group's core.
 
     ``scale`` is the median squared distance over its value for a normal core, at least 1.
-    Quantiles are approximate to 1/10,000 of a group's rows.
+    Quantiles are approximate to 1/10,000 of a group's rows. A start goes on while its
+    determinant falls, which the least spreads bound from below.
     """
-    middle = [F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(VECTOR)]
-    centre = stored(grouped.groupBy("g").agg(*middle), "quality-centre")
-    p = len(VECTOR)
-    model = centre.select("g", *[f"m{i}" for i in range(p)], *[
-        F.lit(2 * LEAST_SPREAD[i] if i == j else 0.0).alias(f"l{i}{j}")
-        for i in range(p) for j in range(i + 1)])
-    model = stored(model, "quality-start")
-    for step in range(steps):
-        near = stored(
-            _measured(grouped, model).groupBy("g")
-            .agg(F.percentile_approx("d2", CORE_SHARE).alias("near")), f"quality-near{step}")
-        core = _measured(grouped, model).join(small(near, 60), "g").where("d2 <= near")
-        model = stored(_factored(_moments(core)), f"quality-model{step}")
-    spread = _measured(grouped, model).groupBy("g").agg(
+    key = ["g", "start"]
+    model = stored(_starts(grouped), "quality-start")
+    settled = model.limit(0)
+    while not model.isEmpty():
+        near = stored(_measured(grouped, model).groupBy(*key).agg(
+            F.percentile_approx("d2", CORE_SHARE).alias("near")), "quality-near")
+        core = _measured(grouped, model).join(small(near, 60), key).where("d2 <= near")
+        fresh = stored(_factored(_moments(core)), "quality-step")
+        before = model.select(*key, F.col("logdet").alias("before"))
+        falling = stored(fresh.join(before, key).where(
+            F.col("logdet") < F.col("before") - LEAST_FALL).select(*_MODEL), "quality-falling")
+        settled = stored(settled.union(model.join(falling.select(*key), key, "left_anti").select(
+            *_MODEL)), "quality-settled")
+        model = falling
+    rest = [c for c in _MODEL if c != "g"]
+    best = stored(settled.groupBy("g").agg(
+        F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("best")
+    ).select("g", "best.*"), "quality-best")
+    spread = _measured(grouped, best).groupBy("g").agg(
         F.greatest(F.percentile_approx("d2", 0.5) / MEDIAN_CHI2, F.lit(1.0)).alias("scale"))
-    return stored(model.join(spread, "g"), "quality-core")
+    return stored(best.join(spread, "g").drop("start", "logdet"), "quality-core")
 
 
 def _judged(docs: DataFrame, id_column: str, least_rows: int, cutoff: float) -> DataFrame:

@@ -170,27 +170,35 @@ def statistics(text):
             np.sqrt(upper / max(chars, 1)), np.sqrt(dup / max(len(lines), 1))]
 
 
-def core_distances(x, spread, share=0.75, steps=3, median_chi2=3.3567):
+def core_distances(x, spread, share=0.75, least_fall=1e-3, median_chi2=3.3567):
     """Distances of the rows of one group from its core, over the group's scale."""
     spread = np.array(spread)
 
     def lower(values, q):
         return np.sort(values)[max(0, int(np.ceil(q * len(values))) - 1)]
 
-    mean = np.array([lower(x[:, i], 0.5) for i in range(x.shape[1])])
-    cov = np.diag((2 * spread) ** 2)
-
-    def distances():
+    def distances(mean, cov):
         y = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T)
         return (y * y).sum(axis=0)
 
-    for _ in range(steps):
-        d = distances()
-        core = x[d <= lower(d, share)]
-        mean = core.mean(axis=0)
-        cov = core.T @ core / len(core) - np.outer(mean, mean)
-        cov[np.diag_indices_from(cov)] = np.maximum(np.diag(cov), 0) + spread ** 2
-    d = distances()
+    def core_of(mean, cov):
+        logdet = np.inf
+        while True:
+            d = distances(mean, cov)
+            core = x[d <= lower(d, share)]
+            new_mean = core.mean(axis=0)
+            new = core.T @ core / len(core) - np.outer(new_mean, new_mean)
+            new[np.diag_indices_from(new)] = np.maximum(np.diag(new), 0) + spread ** 2
+            fallen = np.linalg.slogdet(new)[1]
+            if not fallen < logdet - least_fall:
+                return logdet, mean, cov
+            logdet, mean, cov = fallen, new_mean, new
+
+    middle = np.array([lower(c, 0.5) for c in x.T])
+    deviation = np.array([lower(c, 0.5) for c in abs(x - middle).T])
+    starts = (2 * spread) ** 2, spread ** 2 + (1.4826 * deviation) ** 2
+    _, mean, cov = min((core_of(middle, np.diag(v)) for v in starts), key=lambda m: m[0])
+    d = distances(mean, cov)
     return d / max(1.0, lower(d, 0.5) / median_chi2)
 
 

@@ -1,5 +1,8 @@
 """URLs, shards, personal data and quality against plain versions and SQL."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +211,33 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert all(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_repeated_short_lines_alone_can_reject(spark):
+    rng = random.Random(8)
+
+    def paragraph():
+        return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(60))
+
+    clean = [(i, "\n".join(paragraph() for _ in range(10)), "en", "web") for i in range(300)]
+    odd = [(1000 + i, "\n".join(f"{paragraph()}\nShare\nLike\nMore" for _ in range(10)), "en", "web")
+           for i in range(5)]
+    docs = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
+    rows = quality.judge_quality(docs).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if not r["kept"]} == {i for i, *_ in odd}
+
+
+def test_core_of_a_group_with_a_far_cluster(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.3, (240, 4)), rng.normal(3, 0.1, (60, 4))])
+    rows = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, x0 double, x1 double,"
+                                 " x2 double, x3 double")
+    core = quality.fit_core(rows)
+    found = quality._measured(rows, core).selectExpr("x0", "d2 / scale AS d").collect()
+    wanted = dict(zip(x[:, 0], plain.core_distances(x, quality.LEAST_SPREAD)))
+    assert all(r["d"] == pytest.approx(wanted[r["x0"]], rel=1e-6) for r in found)
+    assert min(r["d"] for r in found if r["x0"] > 2) > quality.CUTOFF
+
+
 def test_quality_odd_rows(odd_docs, no_docs):
     rows = quality.judge_quality(odd_docs).collect()
     assert len(rows) == odd_docs.count()
