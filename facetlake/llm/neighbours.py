@@ -27,7 +27,7 @@ from facetlake.operators.numbering import global_positions
 DEGREE = 24
 TREES = 6
 BLOCK = 128
-ROUNDS = 4
+SETTLED = 0.01  # NN-descent ends when a smaller share of all list entries changes in a round
 BEAM = 256
 ENTRIES = 64
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
@@ -36,24 +36,29 @@ _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 
 @dataclass(frozen=True)
 class Graph:
-    """``nodes``: node, vec; ``edges``: a, b, d (both directions); ``members``: node, vec_id."""
+    """``nodes``: node, vec, all of ``length``; ``edges``: a, b, d (both directions);
+    ``members``: node, vec_id."""
 
     nodes: DataFrame
     edges: DataFrame
     members: DataFrame
+    length: int
 
 
-def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``vec_id, vec``: vectors of the commonest length without null or non-finite components,
-    not all zero."""
+def sound(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """``vec_id, vec``: vectors without null or non-finite components, not all zero."""
     vec = vectors[vector].cast("array<double>")
-    rows = vectors.select(vectors[id_column].alias("vec_id"), vec.alias("vec")).where(
+    return vectors.select(vectors[id_column].alias("vec_id"), vec.alias("vec")).where(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vec", lambda x: x != 0))
-    length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(
+
+
+def commonest_length(rows: DataFrame) -> int:
+    """The length of most ``vec``, the longer one if two are as frequent; 0 without rows."""
+    found = rows.groupBy(F.size("vec").alias("n")).count().orderBy(
         F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (length["n"] if length else 0))
+    return found["n"] if found else 0
 
 
 def _nodes(rows: DataFrame, members_kept: int) -> tuple[DataFrame, DataFrame]:
@@ -193,11 +198,14 @@ def _with_reverse(edges: DataFrame, degree: int) -> DataFrame:
 
 def build_graph(
     vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
-    degree: int = DEGREE, rounds: int = ROUNDS, members_kept: int = 11,
+    degree: int = DEGREE, settled: float = SETTLED, members_kept: int = 11,
 ) -> Graph:
     """The graph over all usable vectors; at least ``members_kept`` neighbours can be named for
-    any group of equal vectors."""
-    nodes, members = _nodes(usable(vectors, id_column, vector), members_kept)
+    any group of equal vectors. Rounds go on while more than the share ``settled`` of the list
+    entries change."""
+    rows = sound(vectors, id_column, vector)
+    length = commonest_length(rows)
+    nodes, members = _nodes(rows.where(F.size("vec") == length), members_kept)
     n = nodes.count()
     bits = max(1, int(np.ceil(np.log2(max(2, n / BLOCK)))))
     # As wide as the table's own components, so nothing is rounded.
@@ -205,8 +213,9 @@ def build_graph(
     width = "<f4" if component == T.FloatType() else "<f8"
     coded = stored(_coded(nodes, bits, width), "ann-coded")
     edges = stored(_projected(coded, degree, width), "ann-edges0")
-    before = None
-    for step in range(1, rounds + 1):
+    before, step, entries, changed = None, 0, edges.count(), np.inf
+    while changed > settled * entries:
+        step += 1
         near = _with_reverse(edges, degree)
         if before is None:
             near = near.withColumn("new", F.lit(True))
@@ -223,8 +232,10 @@ def build_graph(
             "part", F.pmod(F.xxhash64("at"), F.lit(max(1, n // 512))))
         pairs = met.groupBy("part").applyInArrow(_local_join(width), _EDGES)
         before, edges = edges, stored(_nearest(edges.union(pairs), degree), f"ann-edges{step}")
+        entries = edges.count()
+        changed = edges.join(before, ["a", "b"], "left_anti").count()
     both = stored(_with_reverse(edges, degree).toDF("a", "b", "d"), "ann-graph")
-    return Graph(nodes, both, members)
+    return Graph(nodes, both, members, length)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -278,13 +289,14 @@ def nearest_vectors(
     """``query_id, rank, vec_id, score``: the ``k`` nearest other vectors found for each row of
     ``vectors`` for which ``is_query`` holds, ties to smaller ids.
 
-    Defined cases: vectors that are null, zero, of an uncommon length, or hold null or
-    non-finite components take no part, nor do null ids; equal vectors are at distance 0 and
+    Defined cases: vectors that are null, zero, of another length than most rows of the whole
+    table, or hold null or non-finite components take no part, nor do null ids; equal vectors are at distance 0 and
     found by their smallest ids; rows with equal id and vector are one; with fewer than ``k``
     candidates all are returned; an empty table gives no rows. Reads only the two named columns.
     """
     graph = build_graph(vectors, id_column, vector, members_kept=k + 1)
-    chosen = usable(vectors.where(is_query), id_column, vector).distinct()
+    chosen = sound(vectors.where(is_query), id_column, vector).where(
+        F.size("vec") == graph.length).distinct()
     keyed = graph.nodes.select("node", F.xxhash64("vec").alias("h1"),
                                F.xxhash64("vec", F.lit(1)).alias("h2"))
     queries = chosen.withColumn("h1", F.xxhash64("vec")).withColumn(

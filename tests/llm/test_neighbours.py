@@ -65,6 +65,13 @@ def test_odd_vectors(spark):
     assert nearest_vectors(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_the_whole_table_decides_on_the_length(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(100, [1.0, 2.0, 3.0]), (200, [3.0] * 3)]
+    frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+    found = nearest_vectors(frame, F.col("vec_id").isin(5, 100, 200), k=2).collect()
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in found} == {(5, 4, 1.0), (5, 6, 1.0)}
+
+
 def test_recall_beside_vectors_of_very_large_norm(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16))
