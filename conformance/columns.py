@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conformance.inputs import DATED_SQL, DOCS_SQL, dated, documents, sql_fold, sql_tokens, \
     sql_words, table
 from conformance.registry import case
+from conformance.stems import stems_sql
 from facetlake.functions import dates, languages, paths, patterns, stemming, text, values
 from facetlake.operators import tags
 
@@ -26,7 +27,12 @@ def tokenize(spark, d):
     )
 
 
-@case("stem_terms")
+@case("stem_terms", f"""
+    WITH tokens AS (SELECT unnest({sql_tokens('text')}) AS word FROM documents),
+    words AS (SELECT word, count(*) AS n FROM tokens WHERE word <> chr(30) GROUP BY word),
+    {stems_sql('words')}
+    SELECT word, stem, n FROM words JOIN stems USING (word)
+""")
 def stem_terms(spark, d):
     words = table(spark, d, "documents").select(
         F.explode(text.tokenize(F.col("text"), keep_separator=False)).alias("word")

@@ -9,10 +9,12 @@ from conformance.inputs import (
     stored_index, table,
 )
 from conformance.registry import case
+from conformance.stems import stems_sql
 from facetlake.functions import dates
 from facetlake.operators import facets, filters, keywords, sorting
+from facetlake.operators.index_tables import build_term_index
 from facetlake.operators.keywords import Boosted, Phrase, Word, all_of, any_of, none_of
-from facetlake.plans.catalog import BadgeSpec, FacetSpec, SortSpec
+from facetlake.plans.catalog import BadgeSpec, FacetSpec, IndexField, SortSpec
 from facetlake.plans.search import badge_flags, search, select_fields
 
 # --- SQL of the term tables -------------------------------------------------------------
@@ -109,6 +111,58 @@ def corpus_stats(spark, d):
     return index.term_stats.join(index.field_stats, "field")
 
 
+# --- a stemmed field --------------------------------------------------------------------
+
+STEMMED = (IndexField("text", "text", 1.0, ("all",)),)
+STEMMED_SQL = f"""
+raw AS (
+  SELECT id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos
+  FROM (SELECT doc_id AS id, {sql_tokens('text')} AS t FROM documents)),
+{stems_sql('raw')},
+words AS (SELECT id, {sql_fold('stem')} AS term, pos FROM raw JOIN stems USING (word)),
+postings AS (SELECT 'text' AS field, term, id, count(*) AS tf, 1.0 AS boost, false AS verbatim
+             FROM words GROUP BY term, id),
+{TERMS_SQL[TERMS_SQL.index('lengths AS'):]}
+"""
+
+
+def stemmed_index(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = docs.select("id", F.lit("text").alias("field"), F.lit("").alias("part"), "text")
+    return build_term_index(docs.select("id"), texts, STEMMED)
+
+
+@case("stemmed_postings", f"""
+    WITH {STEMMED_SQL}
+    SELECT p.term, p.id, CAST(p.tf AS BIGINT) AS tf, CAST(l.len AS BIGINT) AS len,
+           CAST(df AS BIGINT) AS df
+    FROM postings p JOIN lengths l USING (field, id) JOIN dfs USING (field, term)
+""")
+def stemmed_postings(spark, d):
+    index = stemmed_index(spark, d)
+    return index.postings.join(index.term_stats, ["field", "term"]).select(
+        "term", "id", "tf", "len", "df")
+
+
+@case("stemmed_search", f"WITH {STEMMED_SQL}, {leaf_sql('a0', 'one')}, {leaf_sql('a1', 'antion')}, "
+      + leaf_sql('a2', 'this') + " "
+      + boolean_sql(["a0", "a1", "a2"],
+                    "(a0.s IS NOT NULL OR a1.s IS NOT NULL) AND a2.s IS NULL",
+                    "coalesce(a0.s, 0) + coalesce(a1.s, 0)"))
+def stemmed_search(spark, d):
+    expr = all_of(any_of(Word("Ones"), Word("antions")), none_of(Word("this")))
+    return keywords.keyword_hits(stemmed_index(spark, d), expr, STEMMED).select(
+        "id", F.round("score", 4).alias("score"))
+
+
+@case("stemmed_phrase", f"WITH {STEMMED_SQL}, {phrase_sql('a0', 'as the', 3)} "
+      + boolean_sql(["a0"], "a0.s IS NOT NULL", "a0.s"))
+def stemmed_phrase(spark, d):
+    return keywords.keyword_hits(
+        stemmed_index(spark, d), Phrase("AS the", slop=3), STEMMED
+    ).select("id", F.round("score", 4).alias("score"))
+
+
 # --- keyword predicates -----------------------------------------------------------------
 
 

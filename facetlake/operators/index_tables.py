@@ -18,6 +18,11 @@ from facetlake.plans.catalog import IndexField
 from facetlake.session import cut_lineage
 
 
+# Words whose stems are broadcast, and the longest of them: 60 MB at the very most.
+FREQUENT_WORDS = 100_000
+LONGEST_FREQUENT = 64
+
+
 @dataclass
 class TermIndex:
     """The tables one search needs."""
@@ -67,13 +72,32 @@ def token_positions(
     if not stemmed:
         return grouped
     is_stemmed = F.col("field").isin(stemmed)
-    reduced = grouped.filter(is_stemmed).withColumn("term", fold_accents(stem_terms("term")))
-    reduced = reduced.groupBy(*group, "term").agg(
+    reduced = stemmed_rows(cut_lineage(grouped.filter(is_stemmed))).groupBy(*group, "term").agg(
         F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
     )
     return grouped.filter(~is_stemmed).unionByName(reduced)
 
 
+def stemmed_rows(rows: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
+    """``rows`` (laid down) with the folded stems of their words as ``term``.
+
+    Each distinct word is stemmed once. The ``most`` frequent ones among words of usual length,
+    which are nearly all of a text, are sent to every task; only rows with others move.
+    """
+    words = cut_lineage(rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select(
+        "term", "n", fold_accents(stem_terms("term")).alias("stem")))
+    frequent = cut_lineage(
+        words.filter(F.length("term") <= LONGEST_FREQUENT).orderBy(F.desc("n"), "term")
+        .limit(most).select("term", "stem"))
+    others = words.select("term", "stem").join(F.broadcast(frequent), "term", "left_anti")
+    columns = [F.col("stem").alias(c) if c == "term" else F.col(c) for c in rows.columns]
+    found = rows.join(F.broadcast(frequent), "term").select(*columns)
+    if others.isEmpty():
+        return found
+    rest = rows.join(F.broadcast(frequent), "term", "left_anti").join(others, "term")
+    return found.unionByName(rest.select(*columns))
+
+
 def build_term_index(
     ids: DataFrame, texts: DataFrame, index_fields: Sequence[IndexField],
     materialize: bool = False,

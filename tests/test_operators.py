@@ -410,3 +410,16 @@ def test_relations_by_alternate_id_only_where_specified(spark):
     assert sorted(tuple(r) for r in found.collect()) == [
         ("a", "cites", "b", 1), ("b", "isCitedBy", "a", 1), ("n", "cites", "a", 1),
         ("n", "related", "a", 1)]
+
+
+def test_stems_of_frequent_and_other_words(spark):
+    from facetlake.operators.index_tables import stemmed_rows
+
+    words = ["hopping"] * 5 + ["hoping"] * 4 + ["knives"] * 2 + ["Relational", "x" * 80 + "ing", "hopes"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, term string")
+    wanted = [(i, fold_word(stem(w))) for i, w in enumerate(words)]
+    for most in (100, 2):
+        found = stemmed_rows(rows, most)
+        assert found.columns == rows.columns
+        assert sorted(map(tuple, found.collect())) == wanted
+    assert stemmed_rows(rows.limit(0)).count() == 0
