@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetlake.operators import facets as facet_ops
 from facetlake.operators import filters as filter_ops
@@ -15,6 +17,7 @@ from facetlake.operators.index_tables import TermIndex
 from facetlake.operators.keywords import Expr, keyword_hits
 from facetlake.operators.relations import CHILD_TYPES
 from facetlake.plans.catalog import BadgeSpec, Catalog, FacetSpec, SortSpec
+from facetlake.session import cut_lineage
 
 
 @dataclass
@@ -25,22 +28,48 @@ class SearchResult:
     catalog: Catalog
     filters: Mapping[str, Sequence[str]]
     sort: SortSpec | None
+    docs: DataFrame
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Ids, scores and sort keys of all matches, laid down by one run of the search."""
+        columns = self.sort.columns if self.sort else ()
+        return cut_lineage(self.matched.select(*dict.fromkeys(["id", "score", *columns])))
 
     def totals(self, page_length: int = 20) -> DataFrame:
         return sorting.result_totals(self.matched, page_length)
 
     def page(self, number: int = 1, length: int = 20) -> DataFrame:
-        """O7 with W1; a number beyond the end gives the last page, which costs a count."""
-        if number > 1:
-            number = sorting.fit_page(self.matched.count(), number, length)
-        rows = sorting.page(self.matched, self.sort, number, length)
-        return sorting.with_positions(rows, self.sort, number, length)
+        """O7 with W1; a number beyond the end gives the last page.
+
+        The first page is one pass. Any other is found on ``keys``, and the documents are read
+        for the ids of the page only, which reach the scan.
+        """
+        if number <= 1:
+            rows = sorting.page(self.matched, self.sort, 1, length)
+            return sorting.with_positions(rows, self.sort, 1, length)
+        number = sorting.fit_page(self.keys.count(), number, length)
+        return self._fetched(sorting.page(self.keys, self.sort, number, length), number, length)
+
+    def _fetched(self, keys: DataFrame, number: int, length: int) -> DataFrame:
+        """The documents of ``keys``, the rows of one page, in their order."""
+        placed = sorting.with_positions(keys, self.sort, number, length).select(
+            "id", "score", "position").collect()
+        schema = T.StructType([self.keys.schema["id"], self.keys.schema["score"],
+                               T.StructField("position", T.LongType())])
+        rows = self.keys.sparkSession.createDataFrame(placed, schema)
+        wanted = self.docs.filter(F.col("id").isin([r["id"] for r in placed]))
+        return wanted.join(F.broadcast(rows), "id").select(
+            *self.matched.columns, "position").orderBy("position")
 
     def everything(self) -> DataFrame:
         return sorting.all_results(self.matched, self.sort)
 
     def at(self, position: int, expected_id=None) -> DataFrame:
-        return sorting.result_at(self.matched, self.sort, position, expected_id)
+        """As ``sorting.result_at``, with the document read last; no row beyond the end."""
+        found = self._fetched(sorting.page(self.keys, self.sort, position, 1), position, 1)
+        moved = F.lit(False) if expected_id is None else F.col("id") != F.lit(expected_id)
+        return found.drop("position").withColumn("moved", moved)
 
     def facets(self, specs: Sequence[FacetSpec] | None = None) -> DataFrame:
         specs = list(specs or self.catalog.facets)
@@ -74,7 +103,7 @@ def search(
     else:
         matched = kept.join(keyword_hits(index, keywords, catalog.fields), "id")
     spec = catalog.sort(sort) if isinstance(sort, str) else sort
-    return SearchResult(matched, catalog, filters or {}, spec)
+    return SearchResult(matched, catalog, filters or {}, spec, docs)
 
 
 # Columns of a result list when none are named. Attachments are rows of their own,

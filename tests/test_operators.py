@@ -327,6 +327,36 @@ def test_scores(spark, corpus):
     assert result.totals(5).first()["item_count"] == len(filtered)
 
 
+def test_later_pages_read_their_documents_last(spark, corpus, tmp_path, monkeypatch):
+    _, index, n = corpus
+    path = str(tmp_path / "docs")
+    spark.range(n).selectExpr("CAST(id AS INT) AS id", "-id % 3 AS third", "'book' AS item_type",
+                              "repeat('x', 100) AS wide").write.parquet(path)
+    docs, spec = spark.read.parquet(path), SortSpec("third", ("third",))
+    catalog = Catalog(fields=FIELDS, facets=(), sorts=(spec,))
+    for near in (sorting.NEAR_PLACES, 0):  # by the best rows of each task, then by a range sort
+        monkeypatch.setattr(sorting, "NEAR_PLACES", near)
+        result = search(docs, index, catalog, Word("cat"), sort=spec)
+        order = sorted(scores(result.matched), key=lambda d: (-(d % 3), d))
+        for number in (2, 3, 10 ** 9):
+            last = min(number, -(-len(order) // 4))
+            found = result.page(number, 4)
+            rows = found.collect()
+            assert [r["id"] for r in rows] == order[4 * last - 4:4 * last]
+            assert [r["position"] for r in rows] == list(range(4 * last - 3, 4 * last - 3 + len(rows)))
+            assert found.columns == [*result.matched.columns, "position"]
+            assert "PushedFilters: [In(id" in found._jdf.queryExecution().executedPlan().toString() or (
+                len(rows) == 1)
+            # The search ran before: neither its terms nor its scores are in the plan.
+            assert "tf" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert result.at(3, order[2]).select("id", "moved", "wide").collect() == [
+            (order[2], False, "x" * 100)]
+        assert result.at(1, -1).first()["moved"]
+        assert result.at(10 ** 6).count() == 0
+    nothing = search(docs, index, catalog, Word("absent"), sort=spec)
+    assert nothing.page(2, 5).count() == 0
+
+
 def test_one_exchange_for_any_expression(corpus, tmp_path, spark):
     """With stored tables a boolean query shuffles once, per document."""
     _, index, _ = corpus
