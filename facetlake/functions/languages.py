@@ -128,6 +128,19 @@ def runtime_languages(spark: SparkSession) -> tuple[tuple[str, str, str, str], .
     return tuple(found[k] for k in sorted(found))
 
 
+_KNOWN: dict[str, tuple[tuple[str, str, str, str], ...]] = {}
+
+
+def known_languages(spark: SparkSession) -> tuple[tuple[str, str, str, str], ...]:
+    """``LANGUAGES`` and what else the runtime can name, looked up once per application."""
+    key = spark.sparkContext.applicationId
+    if key not in _KNOWN:
+        own = {row[0] for row in LANGUAGES}
+        _KNOWN[key] = (
+            *(row for row in runtime_languages(spark) if row[0] not in own), *LANGUAGES)
+    return _KNOWN[key]
+
+
 def title_case(c: Column) -> Column:
     """Every run of letters capitalised."""
     runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))

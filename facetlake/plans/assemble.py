@@ -253,7 +253,9 @@ def _documents(
         values.labelled(F.col("item_type"), F.coalesce("type_label", "item_type"))
         .alias("facet_item_type"),
         dates.year_path(parsed).alias("facet_year"),
-        languages.normalize_language(field["language"]).alias("facet_language"),
+        languages.normalize_language(
+            field["language"], languages=languages.known_languages(kept.sparkSession)
+        ).alias("facet_language"),
         values.has_url(field["url"]).alias("facet_link"),
         *[F.col(f"facet_collection_{root}") for root in options.collection_roots],
         names.creator_names(creators).alias("text_creator"),

@@ -8,7 +8,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from facetlake.operators import facets as facet_ops
 from facetlake.operators import filters as filter_ops
@@ -53,11 +52,10 @@ class SearchResult:
 
     def _fetched(self, keys: DataFrame, number: int, length: int) -> DataFrame:
         """The documents of ``keys``, the rows of one page, in their order."""
-        placed = sorting.with_positions(keys, self.sort, number, length).select(
-            "id", "score", "position").collect()
-        schema = T.StructType([self.keys.schema["id"], self.keys.schema["score"],
-                               T.StructField("position", T.LongType())])
-        rows = self.keys.sparkSession.createDataFrame(placed, schema)
+        found = sorting.with_positions(keys, self.sort, number, length).select(
+            "id", "score", "position")
+        placed = found.collect()
+        rows = self.keys.sparkSession.createDataFrame(placed, found.schema)
         wanted = self.docs.filter(F.col("id").isin([r["id"] for r in placed]))
         return wanted.join(F.broadcast(rows), "id").select(
             *self.matched.columns, "position").orderBy("position")

@@ -212,6 +212,14 @@ def test_languages(value, given, options, expected):
     assert (None if found is None else [tuple(p) for p in found]) == expected
 
 
+def test_languages_beyond_the_common_ones(spark, value):
+    known = languages.known_languages(spark)
+    found = value(languages.normalize_language(C, languages=known), c="ceb; Cebuano; el; gre; Klingonish")
+    assert [tuple(p) for p in found] == [
+        ("ceb", "Cebuano"), ("ell", "Modern Greek (1453-)"), ("klingonish", "Klingonish")]
+    assert len({row[0] for row in known}) == len(known)
+
+
 def test_paths(value):
     abc = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     ab, a = F.slice(abc, 1, 2), F.slice(abc, 1, 1)
