@@ -73,9 +73,9 @@ def tokenize(c: Column, keep_separator: bool = True) -> Column:
     return F.regexp_extract_all(cleaned, F.lit(alternatives), F.lit(0))
 
 
-def sort_key_text(c: Column) -> Column:
+def sort_key_text(c: Column, terminated: bool = False) -> Column:
     """T4: comparable form of a display text: markup removed, folded words joined by a blank."""
-    return normalize_words(strip_markup(c))
+    return normalize_words(strip_markup(c, terminated))
 
 
 def normalize_words(c: Column) -> Column:
@@ -99,10 +99,11 @@ def id_key(c: Column) -> Column:
 
 # A reference is a number or a name; HTML5 lets some of both end without a semicolon.
 _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+_TERMINATED = _ENTITY.replace(";?", ";")
 # References that plain replacement handles; the ampersand must come last.
 _COMMON = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
            ("&nbsp;", "\xa0"), ("&amp;", "&")]
-_UNCOMMON = r"&(?!(?:lt|gt|quot|#34|#39|nbsp|amp);)" + _ENTITY[1:]
+_NOT_COMMON = r"&(?!(?:lt|gt|quot|#34|#39|nbsp|amp);)"
 
 # The names of HTML5, as one constant: control characters separate names from characters.
 _NAMED = "\x1d".join(f"&{name}\x1f{chars}" for name, chars in html.entities.html5.items())
@@ -134,42 +135,50 @@ def _of_number(hexed: Column, decimal: Column) -> Column:
         listed, F.when(usable, named), F.lit("\ufffd")))
 
 
-def _decode_entity(entity: Column) -> Column:
+def _decode_entity(entity: Column, terminated: bool) -> Column:
     table = F.str_to_map(F.lit(_NAMED), F.lit("\x1d"), F.lit("\x1f"))
     number = _of_number(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);?$", 1),
                         F.regexp_extract(entity, r"^&#([0-9]+);?$", 1))
+    if terminated:
+        return F.coalesce(number, F.try_element_at(table, entity), entity)
     begun = F.regexp_extract(entity, f"^&(?:{_OPEN_NAMES})", 0)
     open_name = F.when(begun != "", F.concat(
         F.try_element_at(table, begun), F.substr(entity, F.length(begun) + 1)))
     return F.coalesce(number, F.try_element_at(table, entity), open_name, entity)
 
 
-def unescape_entities(c: Column) -> Column:
-    """Character references to characters, each decoded once."""
-    return evaluate_once(c, _unescaped)
+def unescape_entities(c: Column, terminated: bool = False) -> Column:
+    """Character references to characters, each decoded once; with ``terminated`` only those that
+    end with a semicolon."""
+    return evaluate_once(c, lambda text: _unescaped(text, terminated))
 
 
-def _unescaped(c: Column) -> Column:
-    simple = c
+def _unescaped(c: Column, terminated: bool) -> Column:
+    simple, pattern = c, _TERMINATED if terminated else _ENTITY
     for entity, char in _COMMON:
         simple = F.replace(simple, F.lit(entity), F.lit(char))
     # Limit -1 keeps trailing empty pieces, so pieces = entities + 1.
-    pieces = F.split(c, _ENTITY, -1)
-    found = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _decode_entity)
+    pieces = F.split(c, pattern, -1)
+    found = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+                        lambda entity: _decode_entity(entity, terminated))
     general = F.array_join(
         F.flatten(
             F.zip_with(pieces, found, lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))
         ),
         "",
     )
-    return F.when(c.rlike(_UNCOMMON), general).otherwise(simple)
+    return F.when(c.rlike(_NOT_COMMON + pattern[1:]), general).otherwise(simple)
 
 
-def strip_markup(c: Column) -> Column:
-    """Comments and tags removed, blanks collapsed, entities decoded."""
+def strip_markup(c: Column, terminated: bool = False) -> Column:
+    """Comments and tags removed, blanks collapsed, entities decoded.
+
+    As in HTML5, some names count without a semicolon, also where the removal of a tag makes one
+    run on; ``terminated`` leaves those as they are, for texts that may be cut within one.
+    """
     bare = F.regexp_replace(c, r"(?s)<!(?=--).*?-->", "")
     bare = F.regexp_replace(bare, "<[^>]*>", "")
-    return unescape_entities(F.trim(F.regexp_replace(bare, BLANK_RUN, " ")))
+    return unescape_entities(F.trim(F.regexp_replace(bare, BLANK_RUN, " ")), terminated)
 
 
 # The rich text that titles and names may hold, as written inside the angle

@@ -42,6 +42,16 @@ def test_strip_markup(value, given, expected):
     assert value(text.strip_markup(C), c=given) == expected
 
 
+@pytest.mark.parametrize("given, html5, terminated", [
+    ("cut&amp</p><b>p{", "cut&p{", "cut&ampp{"),
+    ("&amp; &copy; &amplt; &eacute;&eacute &#233;&#233", "& © &lt; éé éé", "& © &amplt; é&eacute é&#233"),
+    ("a &amp;lt; &quo", "a &lt; &quo", "a &lt; &quo"),
+])
+def test_references_without_semicolon(value, given, html5, terminated):
+    assert value(text.strip_markup(C), c=given) == html5
+    assert value(text.strip_markup(C, terminated=True), c=given) == terminated
+
+
 def test_rich_text(value):
     caps = '<span style="font-variant:small-caps;">A <i>b</i></span>'
     assert value(text.strip_rich_text(C), c=caps + '<em>c</em><span class="nocase">d</span>') == (
