@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetlake.session import cut_lineage
+from facetlake.session import lay_down
 
 _SLOT_BITS = 33
 
@@ -17,11 +17,11 @@ def global_positions(
 ) -> DataFrame:
     """Number all rows from 1 in ``order``, which must be total (end with a unique key).
 
-    A range-partitioned sort is checkpointed, so that partition numbers are stable; rows are
-    then counted per partition and each partition is shifted by the rows before it. The only
-    window runs over one row per partition.
+    A range-partitioned sort is laid down together with the partition and place of each row;
+    rows are then counted per partition and each partition is shifted by the rows before it. The
+    only window runs over one row per partition.
     """
-    ordered = cut_lineage(df.orderBy(*order)).withColumn("_slot", F.monotonically_increasing_id())
+    ordered = lay_down(df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()))
     ordered = ordered.withColumn("_part", F.shiftright("_slot", _SLOT_BITS))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from facetlake.operators.numbering import global_positions
 from facetlake.operators.sorting import sort_columns
 from facetlake.plans.catalog import RelationSpec, SortSpec
-from facetlake.session import cut_lineage
+from facetlake.session import lay_down
 
 # Item types that are not records of their own.
 CHILD_TYPES = ("note", "attachment")
@@ -23,8 +23,11 @@ CHILD_TYPES = ("note", "attachment")
 
 def record_ids(docs: DataFrame) -> DataFrame:
     """Ids that may appear in a relation list."""
-    kept = ~F.coalesce(F.col("item_type").isin(*CHILD_TYPES), F.lit(False))
-    return docs.filter(kept).select("id")
+    return docs.filter(_is_record()).select("id")
+
+
+def _is_record() -> Column:
+    return ~F.coalesce(F.col("item_type").isin(*CHILD_TYPES), F.lit(False))
 
 
 def related_forward(
@@ -52,8 +55,19 @@ def related_reverse(edges: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def related_undirected(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Both directions together."""
-    return related_forward(edges, docs).unionByName(related_reverse(edges, docs)).distinct()
+    """Both directions together.
+
+    Both ends of a link are looked up once, and each direction is a projection of them.
+    """
+    known = docs.select("id", _is_record().alias("record"))
+    ends = edges.select("src", "rel", "ref").join(
+        known.select(F.col("id").alias("ref"), F.col("record").alias("to_record")), "ref").join(
+        known.select(F.col("id").alias("src"), F.col("record").alias("from_record")), "src", "left")
+    both = F.array(
+        F.when(F.col("to_record"), F.struct("src", "rel", F.col("ref").alias("id"))),
+        F.when(F.col("from_record"), F.struct(F.col("ref").alias("src"), "rel",
+                                              F.col("src").alias("id"))))
+    return ends.select(F.inline(F.array_compact(both))).distinct()
 
 
 def related_limit(
@@ -77,24 +91,38 @@ HEAVY_PART = 200
 SALTS = 64
 
 
+# Hash slots in which keys are counted before any key is counted by itself.
+SLOTS = 1 << 16
+
+
 def heavy_keys(rows: DataFrame, on: Sequence[str], part: int = HEAVY_PART) -> DataFrame:
     """The keys that hold more than one row in ``part``: fewer than ``part`` rows, whatever the
-    size of the table."""
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    return cut_lineage(counts.filter(F.col("_n") * part > total.scalar()).select(*on))
+    size of the table.
+
+    Rows are counted by hash slot, which moves a bounded number of counts, and then only the keys
+    of full slots by themselves. ``rows`` is read twice.
+    """
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS)).alias("_slot")
+    slots = lay_down(rows.groupBy(slot).agg(F.count(F.lit(1)).alias("_n")))
+    least = F.col("_n") * part > slots.agg(F.sum("_n").alias("n")).scalar()
+    full = F.broadcast(slots.filter(least).select("_slot"))
+    counts = rows.select(*on, slot).join(full, "_slot", "left_semi").groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n"))
+    return lay_down(counts.filter(least).select(*on))
 
 
 def join_salted(
     many: DataFrame, few: DataFrame, on: Sequence[str], how: str = "inner",
-    part: int = HEAVY_PART, salts: int = SALTS,
+    part: int = HEAVY_PART, salts: int = SALTS, heavy: DataFrame | None = None,
 ) -> DataFrame:
     """``many`` joined with ``few`` where some keys may hold a large part of ``many``.
 
     The rows of a heavy key are dealt to ``salts`` tasks, each with its own copy of the key's
-    rows of ``few``; all other rows go the usual way.
+    rows of ``few``; all other rows go the usual way. ``heavy`` lists those keys if known.
     """
-    heavy = F.broadcast(heavy_keys(many, on, part).withColumn("_heavy", F.lit(True)))
+    if heavy is None:
+        heavy = heavy_keys(many, on, part)
+    heavy = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
     drawn = F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")
     left = many.join(heavy, list(on), "left").withColumn(
         "_salt", F.when(F.col("_heavy"), drawn).otherwise(0)).drop("_heavy")
@@ -104,27 +132,9 @@ def join_salted(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def specified_links(
-    edges: DataFrame, docs: DataFrame, alternate_ids: DataFrame, specs: Sequence[RelationSpec]
-) -> DataFrame:
-    """``src, relation, id``: the links of every document that the specifications ask for, both
-    ends known by id, or by alternate id where a specification says so.
-
-    One join finds the ends of all references; each direction is a projection of it. The ids
-    listed are those of records only.
-    """
-    known = [s.key for s in specs]
-    by_alternate = [s.key for s in specs if s.match_alternate]
-    names = docs.select(F.col("id").alias("ref"), F.col("id").alias("to"),
-                        F.lit(False).alias("other")).unionByName(
-        alternate_ids.join(docs.select("id"), "id", "left_semi").select(
-            F.col("alternate_id").alias("ref"), F.col("id").alias("to"),
-            F.lit(True).alias("other")))
-    sources = docs.select(F.col("id").alias("src"))
-    cited = edges.filter(F.col("rel").isin(known)).select("src", "rel", "ref").distinct().join(
-        sources, "src", "left_semi")
-    ends = join_salted(cited, names, ["ref"]).filter(
-        ~F.col("other") | F.col("rel").isin(by_alternate)).select("src", "rel", "to").distinct()
+def _links(ends: DataFrame, specs: Sequence[RelationSpec]) -> DataFrame:
+    """``src, relation, id`` and the sort keys, both directions of all ends that have a list for
+    them; the records listed are those with an entry."""
     forward = {s.key: s.key for s in specs}
     backward = {s.key: s.key if not s.directed else s.reverse_key for s in specs
                 if not s.directed or s.reverse_key}
@@ -136,12 +146,11 @@ def specified_links(
         return name
 
     both = F.array(
-        F.struct("src", named(forward).alias("relation"), F.col("to").alias("id")),
+        F.struct("src", named(forward).alias("relation"), F.col("to_entry").alias("entry")),
         F.struct(F.col("to").alias("src"), named(backward).alias("relation"),
-                 F.col("src").alias("id")))
-    links = ends.select(F.explode(both).alias("link")).select("link.*")
-    links = links.filter("relation IS NOT NULL").distinct()
-    return join_salted(links, record_ids(docs), ["id"])
+                 F.col("src_entry").alias("entry")))
+    links = ends.select(F.inline(both)).filter("relation IS NOT NULL AND entry IS NOT NULL")
+    return links.select("src", "relation", "entry.*")
 
 
 def relations_of_records(
@@ -149,17 +158,50 @@ def relations_of_records(
     sort: SortSpec, limit: int | None = None,
 ) -> DataFrame:
     """``src, relation, id, place``: the related records of every document by
-    specification, in ``sort`` order, places from 1; with ``limit`` only the first ones.
+    specification, in ``sort`` order, places from 1; with ``limit`` only the first ones. Both ends
+    are known by id, or by alternate id where a specification says so; only records are listed.
 
-    A list may hold a large part of all records: the links are sorted by range over (document,
-    relation, sort keys), and a place is the distance from where the list begins.
+    The entries of a list, an id with its sort keys, are found by the joins that look up the two
+    ends; the lists then move once. A list may hold a large part of all records: those of the few
+    documents with that many links are sorted by range, and a place is the distance from where
+    the list begins.
     """
-    keys = docs.select("id", *sort.columns)
-    links = specified_links(edges, docs, alternate_ids, specs)
-    ordered = join_salted(links, keys, ["id"])
-    order = [F.col("src"), F.col("relation"), *sort_columns(sort)]
-    placed = global_positions(ordered, order, "_at")
-    begins = placed.groupBy("src", "relation").agg(F.min("_at").alias("_begin"))
-    found = join_salted(placed, begins, ["src", "relation"]).select(
-        "src", "relation", "id", (F.col("_at") - F.col("_begin") + 1).alias("place"))
-    return found if limit is None else found.filter(F.col("place") <= limit)
+    known = [s.key for s in specs]
+    by_alternate = [s.key for s in specs if s.match_alternate]
+    # Read by both counts of keys and by the join.
+    cited = lay_down(edges.filter(F.col("rel").isin(known)).select("src", "rel", "ref"))
+    own = docs.select("id", F.when(_is_record(), F.struct("id", *sort.columns)).alias("entry"))
+    names = own.select(F.col("id").alias("ref"), F.col("id").alias("to"),
+                       F.col("entry").alias("to_entry"), F.lit(False).alias("other")).unionByName(
+        alternate_ids.join(own, "id").select(
+            F.col("alternate_id").alias("ref"), F.col("id").alias("to"),
+            F.col("entry").alias("to_entry"), F.lit(True).alias("other")))
+    heavy_refs, heavy_srcs = heavy_keys(cited, ["ref"]), heavy_keys(cited, ["src"])
+    ends = join_salted(cited, names, ["ref"], heavy=heavy_refs).filter(
+        ~F.col("other") | F.col("rel").isin(by_alternate)).select("src", "rel", "to", "to_entry")
+    ends = lay_down(join_salted(
+        ends, own.select(F.col("id").alias("src"), F.col("entry").alias("src_entry")), ["src"],
+        heavy=heavy_srcs))
+    links = _links(ends, specs)
+    order = sort_columns(sort)
+
+    # The documents with long lists: those that hold a large part of the references.
+    long = names.join(F.broadcast(heavy_refs), "ref", "left_semi").select(
+        F.col("to").alias("src")).unionByName(heavy_srcs).distinct()
+    long = lay_down(long)
+    window = Window.partitionBy("src", "relation").orderBy(*order)
+    usual = links.join(long, "src", "left_anti").repartition("src", "relation")
+    short = usual.distinct().withColumn("place", F.row_number().over(window))
+    if limit is not None:
+        short = short.filter(F.col("place") <= limit)
+    columns = ["src", "relation", "id"]
+    short = short.select(*columns, F.col("place").cast("bigint").alias("place"))
+    if long.isEmpty():
+        return short
+    placed = global_positions(links.join(long, "src", "left_semi").distinct(),
+                              [F.col("src"), F.col("relation"), *order], "_at")
+    # Laid down like the documents of long lists, so their size decides how they are joined.
+    begins = lay_down(placed.groupBy("src", "relation").agg(F.min("_at").alias("_begin")))
+    found = placed.join(begins, ["src", "relation"]).select(
+        *columns, (F.col("_at") - F.col("_begin") + 1).alias("place"))
+    return short.unionByName(found if limit is None else found.filter(F.col("place") <= limit))

@@ -442,6 +442,36 @@ def test_relations_by_alternate_id_only_where_specified(spark):
         ("n", "related", "a", 1)]
 
 
+def _moves(df):
+    """Hash exchanges of the plan as it is before adaptive execution."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_links_move_once_for_each_end_and_once_by_list(spark):
+    docs = spark.createDataFrame([(c, "book", c) for c in "abc"] + [("n", "note", "n")],
+                                 "id string, item_type string, sort_title string")
+    edges = spark.createDataFrame(
+        [("a", "related", "b"), ("b", "related", "a"), ("c", "related", "c"),
+         ("a", "related", "b"), ("n", "related", "c"), ("lost", "related", "a")],
+        "src string, rel string, ref string")
+    other = spark.createDataFrame([], "id string, alternate_id string")
+    found = relations.relations_of_records(edges, docs, other, default_catalog().relations,
+                                           SortSpec("title", ("sort_title",), False))
+    assert _moves(found) <= 2
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("a", "related", "b", 1), ("b", "related", "a", 1), ("c", "related", "c", 1),
+        ("n", "related", "c", 1)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = relations.related_undirected(edges, docs)
+        assert _moves(both) <= 5
+        assert sorted((r["src"], r["id"]) for r in both.collect()) == [
+            ("a", "b"), ("b", "a"), ("c", "c"), ("lost", "a"), ("n", "c")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_stems_of_frequent_and_other_words(spark):
     from facetlake.operators.index_tables import stemmed_rows
 
