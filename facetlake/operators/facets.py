@@ -20,7 +20,7 @@ from facetlake.operators.filters import facet_matches
 from facetlake.operators.numbering import global_positions
 from facetlake.operators.relations import CHILD_TYPES
 from facetlake.plans.catalog import FacetSpec
-from facetlake.session import cut_lineage
+from facetlake.session import lay_down
 
 ENTRY = "array<struct<facet:string,value:string,label:string>>"
 
@@ -204,7 +204,7 @@ def limit_with_leeway(counts: DataFrame, specs: Sequence[FacetSpec]) -> DataFram
     Facets that sort alike are ranked together.
     """
     # The documents are read once: ranks and totals below start from the laid down counts.
-    counts = cut_lineage(counts)
+    counts = lay_down(counts)
     unlimited = [s.key for s in specs if not s.initial_limit]
     parts = [counts.filter(F.col("facet").isin(unlimited))] if unlimited else []
     limited = [s for s in specs if s.initial_limit]

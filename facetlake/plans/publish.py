@@ -17,7 +17,7 @@ from facetlake.operators.relations import CHILD_TYPES
 from facetlake.operators.sorting import sort_columns
 from facetlake.plans.catalog import Catalog, ExportSpec, SortSpec
 from facetlake.plans.search import search
-from facetlake.session import cut_lineage
+from facetlake.session import lay_down
 
 # Fixed value: URLs per page of the inventory.
 URLS_PER_PAGE = 1000
@@ -68,7 +68,7 @@ def write_export_group(
     spark = matched.sparkSession
     before, after = spec.group_format.split("{}", 1)
     records = matched.select("*", F.coalesce(F.col(spec.column), F.lit("")).alias("_record"))
-    placed = cut_lineage(global_positions(records, sort_columns(sort), "_at").select(
+    placed = lay_down(global_positions(records, sort_columns(sort), "_at").select(
         "_at", "_record"))
     last = placed.agg(F.max("_at")).first()[0]
     if not spec.delimiter:

@@ -16,7 +16,7 @@ from facetlake.operators.index_tables import TermIndex
 from facetlake.operators.keywords import Expr, keyword_hits
 from facetlake.operators.relations import CHILD_TYPES
 from facetlake.plans.catalog import BadgeSpec, Catalog, FacetSpec, SortSpec
-from facetlake.session import cut_lineage
+from facetlake.session import lay_down
 
 
 @dataclass
@@ -33,7 +33,7 @@ class SearchResult:
     def keys(self) -> DataFrame:
         """Ids, scores and sort keys of all matches, laid down by one run of the search."""
         columns = self.sort.columns if self.sort else ()
-        return cut_lineage(self.matched.select(*dict.fromkeys(["id", "score", *columns])))
+        return lay_down(self.matched.select(*dict.fromkeys(["id", "score", *columns])))
 
     def totals(self, page_length: int = 20) -> DataFrame:
         return sorting.result_totals(self.matched, page_length)

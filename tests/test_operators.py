@@ -472,6 +472,25 @@ def test_links_move_once_for_each_end_and_once_by_list(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_words_are_grouped_within_their_text(spark):
+    texts = spark.createDataFrame(
+        [(1, "body", "", "b a b. \x1e a"), (1, "stem", "", "Hopping hops hop"), (2, "body", "", ""),
+         (2, "stem", "", None), (3, "stem", "", "the")],
+        "id long, field string, part string, text string")
+    fields = [IndexField("body", "name", 1.0, ("all",)), IndexField("stem", "text", 1.0, ("all",))]
+    index = build_term_index(texts.select("id").distinct(), texts, fields)
+    plan = index.positions._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+    assert sorted((r["field"], r["term"], r["id"], r["positions"])
+                  for r in index.positions.collect()) == [
+        ("body", "\x1e", 1, [3]), ("body", "a", 1, [1, 4]), ("body", "b", 1, [0, 2]),
+        ("stem", "hop", 1, [0, 1, 2]), ("stem", "the", 3, [0])]
+    assert sorted(map(tuple, index.field_stats.select("field", "sum_len", "n_docs").collect())) == [
+        ("body", 5, 3), ("stem", 4, 3)]
+    assert sorted((r["term"], r["df"]) for r in index.term_stats.collect()) == [
+        ("\x1e", 1), ("a", 1), ("b", 1), ("hop", 1), ("the", 1)]
+
+
 def test_stems_of_frequent_and_other_words(spark):
     from facetlake.operators.index_tables import stemmed_rows
 
