@@ -67,7 +67,10 @@ def write_export_group(
     """
     spark = matched.sparkSession
     before, after = spec.group_format.split("{}", 1)
-    records = matched.select("*", F.coalesce(F.col(spec.column), F.lit("")).alias("_record"))
+    # The documents are computed once, for their order and the stored text alone.
+    order = sort.columns if sort and sort.columns else ("score",)
+    records = lay_down(matched.select(
+        *dict.fromkeys([*order, "id"]), F.coalesce(F.col(spec.column), F.lit("")).alias("_record")))
     placed = lay_down(global_positions(records, sort_columns(sort), "_at").select(
         "_at", "_record"))
     last = placed.agg(F.max("_at")).first()[0]

@@ -14,7 +14,7 @@ from facetlake.operators.keywords import Phrase, Word, all_of
 from facetlake.plans import publish, refresh
 from facetlake.plans.assemble import Assembly, AssemblyOptions
 from facetlake.plans.catalog import (
-    DEFAULT_EXPORTS, DEFAULT_SORTS, IndexField, collection_facet, default_catalog,
+    DEFAULT_EXPORTS, DEFAULT_SORTS, IndexField, SortSpec, collection_facet, default_catalog,
 )
 from facetlake.plans.search import search
 from facetlake.sources.library import SCHEMAS, Library, LibraryEmptyError, load_library
@@ -246,6 +246,18 @@ def test_records_that_end_no_line_need_a_delimiter(made, tmp_path):
         publish.write_export_group(made["docs"], spec, author_asc, str(tmp_path / "x"))
 
 
+def test_an_export_computes_only_what_it_writes(spark, tmp_path):
+    docs = spark.range(3).select(
+        F.col("id").cast("string").alias("id"), (-F.col("id")).alias("key"),
+        F.concat(F.lit("r"), F.col("id")).alias("ris"),
+        F.raise_error(F.lit("not asked for")).cast("string").alias("costly"))
+    spec = replace(DEFAULT_EXPORTS[0], delimiter=",", group_format="[{}]")
+    publish.write_export_group(docs, spec, SortSpec("k", ("key",), False), str(tmp_path / "x"))
+    files = [f for part in publish.EXPORT_PARTS
+             for f in sorted((tmp_path / "x" / part).glob("part-*"))]
+    assert "".join(f.read_text() for f in files) == "[r2,r1,r0]"
+
+
 def test_custom_columns_and_fields(spark):
     """X-1, X-2: a field and a column of one's own."""
     options = replace(OPTIONS, extra_columns={"loud": F.upper("item_type")})
