@@ -258,6 +258,16 @@ def test_an_export_computes_only_what_it_writes(spark, tmp_path):
     assert "".join(f.read_text() for f in files) == "[r2,r1,r0]"
 
 
+def test_tables_written_together_decode_the_items_once(spark, made):
+    """A refresh writes every table: what they share is laid down, and the rows are the same."""
+    written = Assembly(small_library(spark), OPTIONS, materialize=True).tables()
+    for name, df in written.items():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json(StructField(creators" not in plan, name
+        assert df.columns == made[name].columns
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, made[name].collect())), name
+
+
 def test_custom_columns_and_fields(spark):
     """X-1, X-2: a field and a column of one's own."""
     options = replace(OPTIONS, extra_columns={"loud": F.upper("item_type")})
