@@ -20,10 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Words, pieces and pairs remembered by a Python worker; beyond that the memory starts anew.
-WORDS_KEPT = 1_000_000
-PIECES_KEPT = 300_000
-PAIRS_KEPT = 2_000_000
+# Words and pieces remembered by a Python worker: at most twice as many, for what is in use is
+# taken over when the older half is dropped. Of pairs the memory starts anew beyond the number.
+WORDS_KEPT = 250_000
+PIECES_KEPT = 150_000
+PAIRS_KEPT = 500_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -36,10 +37,27 @@ def load_ranks(path: str) -> list[bytes]:
     return tokens
 
 
-class BytePairs:
+class Vocabulary:
+    """Decoder for one vocabulary."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.buffer = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.sizes = np.array([len(token) for token in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all tokens, copied from one buffer that holds the vocabulary."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.buffer[np.arange(len(shift)) + shift].tobytes()
+
+
+class BytePairs(Vocabulary):
     """Encoder and decoder for one vocabulary whose ids are the ranks of its merges."""
 
     def __init__(self, tokens: list[bytes], pattern: str) -> None:
+        super().__init__(tokens)
         self.tokens = tokens
         self.ids = {token: i for i, token in enumerate(tokens) if token}
         self.split = regex.compile(pattern).findall
@@ -58,10 +76,8 @@ class BytePairs:
                 self.merged[halves] = i
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.older_pieces: dict[str, list[int]] = {}
         self.words = _Words(self)
-        self.buffer = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.sizes = np.array(self.lengths, dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def _longest_prefix(self, token: bytes) -> int:
         return next((self.ids[token[:n]] for n in range(len(token) - 1, 0, -1)
@@ -154,8 +170,11 @@ class BytePairs:
             found = known.get(piece)
             if found is None:
                 if len(known) >= PIECES_KEPT:
-                    known.clear()
-                found = self.encode_piece(piece.encode("utf-8"))
+                    self.older_pieces, self.pieces = known, {}
+                    known = self.pieces
+                found = self.older_pieces.get(piece)
+                if found is None:
+                    found = self.encode_piece(piece.encode("utf-8"))
                 if len(piece) <= 64:
                     known[piece] = found
             ids += found
@@ -179,13 +198,6 @@ class BytePairs:
         start = np.array(self.encode_pieces(first), dtype=np.int32)
         return np.concatenate([start, np.frombuffer(rest, dtype=np.int32)])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of all tokens, copied from one buffer that holds the vocabulary."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        shift = np.repeat(self.starts[ids] - (ends - sizes), sizes)
-        return self.buffer[np.arange(len(shift)) + shift].tobytes()
-
 
 class _UnevenBlanks(Exception):
     """The text has white space beside a blank."""
@@ -197,14 +209,18 @@ class _Words(dict):
     def __init__(self, coder: BytePairs) -> None:
         super().__init__()
         self.coder = coder
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        inner = word.removeprefix("\n")
-        if not inner or inner[0].isspace() or inner[-1].isspace():
-            raise _UnevenBlanks
-        cut = word if len(inner) < len(word) else " " + word
-        ids = np.array(self.coder.encode_pieces(cut), dtype=np.int32).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            inner = word.removeprefix("\n")
+            if not inner or inner[0].isspace() or inner[-1].isspace():
+                raise _UnevenBlanks
+            cut = word if len(inner) < len(word) else " " + word
+            ids = np.array(self.coder.encode_pieces(cut), dtype=np.int32).tobytes()
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
@@ -212,6 +228,14 @@ class _Words(dict):
 
 
 _LOADED: dict[tuple[str, str], BytePairs] = {}
+_DECODERS: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The bytes of the tokens alone, once per Python worker."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Vocabulary(load_ranks(path))
+    return _DECODERS[path]
 
 
 def byte_pairs(path: str, pattern: str) -> BytePairs:
@@ -258,12 +282,14 @@ def encode_documents(
 def decode_documents(
     encoded: DataFrame, path: str, pattern: str, ids: str = "ids", rows: int = 512
 ) -> DataFrame:
-    """``encoded`` with the decoded bytes in a column ``decoded``; null ids give no bytes."""
+    """``encoded`` with the decoded bytes in a column ``decoded``; null ids give no bytes.
+
+    Decoding needs no ``pattern``: it stands beside ``path`` as in ``encode_documents``."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     place = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_pairs(path, pattern)
+        coder = vocabulary(path)
         for batch in _slices(batches, rows):
             lists = batch.column(place)
             found = [coder.decode(lists[i].values.to_numpy()) if lists[i].is_valid else b""

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from facetlake.llm import bpe
 from facetlake.llm.bpe import byte_pairs, decode_documents, encode_documents
 from facetlake.llm.packing import (pack_documents, packed_sequences, plan_sequences, token_pieces)
 
@@ -63,6 +64,20 @@ def test_documents_encoded_and_decoded(odd_docs, no_docs, library):
     assert decode_documents(encode_documents(no_docs, RANKS, PATTERN), RANKS, PATTERN).count() == 0
 
 
+def test_memory_of_words_and_pieces_is_bounded_and_changes_no_ids(coder, monkeypatch):
+    """What is remembered is dropped by halves; words in use stay, and no id depends on it."""
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 8)
+    monkeypatch.setattr(bpe, "PIECES_KEPT", 8)
+    small = bpe.BytePairs(coder.tokens, PATTERN)
+    texts = [f"a common word {n} other{n}, and\nline{n * 7919}" for n in range(60)]
+    for text in texts:
+        assert small.encode(text).tolist() == coder.encode(text).tolist()
+        assert len(small.words) + len(small.words.older) <= 16
+        assert len(small.pieces) + len(small.older_pieces) <= 16
+    assert bpe.vocabulary(RANKS).decode(small.encode(texts[7])) == texts[7].encode()
+
+
+
 # --- packing ----------------------------------------------------------------------------
 
 
