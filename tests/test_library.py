@@ -19,7 +19,7 @@ from facetlake.plans.catalog import (
 from facetlake.plans.search import search
 from facetlake.sources.library import SCHEMAS, Library, LibraryEmptyError, load_library
 from facetlake.sources.store import (
-    DocumentStore, bucket_of, IndexEmptyError, IndexMissingError, IndexSchemaError,
+    DocumentStore, bucket_of, IndexEmptyError, IndexMissingError, IndexSchemaError, write_table,
 )
 
 URI = f"http://{LIBRARY_HOST}/groups/5/items/"
@@ -296,6 +296,20 @@ def test_store_errors(spark, tmp_path):
         refresh.refresh(small_library(spark, history=()), store)
 
 
+def test_words_are_written_where_they_are(spark, tmp_path):
+    """No row per word moves: as many files as tasks, each sorted by word."""
+    postings = spark.range(30).repartition(3, "id").selectExpr(
+        "'text' AS field", "explode(array('b', 'a', concat('w', id))) AS term",
+        "cast(id AS string) AS id", "1L AS tf", "3L AS len")
+    write_table(postings, "postings", str(tmp_path / "p"))
+    files = sorted((tmp_path / "p" / "field=text").glob("part-*.parquet"))
+    assert len(files) == 3
+    for file in files:
+        terms = [r["term"] for r in spark.read.parquet(str(file)).collect()]
+        assert terms == sorted(terms)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 90
+
+
 def test_load_library(spark, tmp_path):
     library = small_library(spark)
     for f in fields(Library):
