@@ -35,7 +35,7 @@ SHINGLE = 12
 RANGE_BITS = 4
 SMALL_SET = 16
 # Characters hashed together; a longer line is hashed alone.
-PIECE_CHARS = 1 << 19
+PIECE_CHARS = 1 << 17
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 _RANDOM = np.random.default_rng(1217)
@@ -48,7 +48,11 @@ _BASE &= _MASK
 
 def normal_line(line: Column) -> Column:
     """Lower case, words apart by one blank; empty without words."""
-    return F.btrim(F.lower(F.regexp_replace(line, _BLANKS, " ")))
+    # Most lines have single blanks alone: looking for others costs less than replacing them.
+    uneven = F.lit(False)
+    for blanks in ("  ", "\t", "\n", "\x0b", "\x0c", "\r"):
+        uneven = uneven | line.contains(blanks)
+    return F.btrim(F.lower(F.when(uneven, F.regexp_replace(line, _BLANKS, " ")).otherwise(line)))
 
 
 @lru_cache(maxsize=4)
@@ -60,48 +64,90 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
         for x in (_BASE, inverse))
 
 
-def shingle_hashes(lines: list[str]) -> Iterator[np.ndarray]:
-    """For each normal line the sorted distinct hashes of its shingles, from rolling sums."""
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all normal lines, one line after the other, and how
+    many each has; from rolling sums over the lines laid end to end."""
+    lengths = np.array([len(line) for line in lines], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), dtype="<u4")
     powers, inverses = _powers(max(1, len(codes)).bit_length())
-    values = _CHAR[codes & 0xFFFF] + (codes >> 16).astype(np.uint64) * np.uint64(_HIGH & _MASK)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64),
-                           np.cumsum(values * powers[:len(codes)], dtype=np.uint64)])
+    values = _CHAR[codes & 0xFFFF]
+    if len(codes) and codes.max() > 0xFFFF:
+        values = values + (codes >> 16).astype(np.uint64) * np.uint64(_HIGH & _MASK)
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(values * powers[:len(codes)], dtype=np.uint64, out=sums[1:])
     n = max(0, len(codes) - SHINGLE + 1)
     windows = mix((sums[SHINGLE:SHINGLE + n] - sums[:n]) * inverses[:n]).view(np.int64)
-    at = 0
-    for line in lines:
-        end = at + len(line)
-        if len(line) >= SHINGLE:
-            found = np.sort(windows[at:end - SHINGLE + 1])
-            yield found[np.concatenate([[True], found[1:] != found[:-1]])]
-        else:
-            whole = (sums[end:end + 1] - sums[at:at + 1]) * inverses[at:at + 1]
-            yield mix(whole + np.uint64((len(line) * _LENGTH) & _MASK)).view(np.int64)
-        at = end
+
+    sizes = np.maximum(lengths - SHINGLE + 1, 1)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.empty(offsets[-1], dtype=np.int64)
+    short = np.flatnonzero(lengths < SHINGLE)
+    whole = (sums[ends[short]] - sums[begins[short]]) * inverses[begins[short]]
+    flat[offsets[short]] = mix(
+        whole + lengths[short].astype(np.uint64) * np.uint64(_LENGTH & _MASK)).view(np.int64)
+    for i in np.flatnonzero(lengths >= SHINGLE).tolist():
+        part = flat[offsets[i]:offsets[i + 1]]
+        part[:] = windows[begins[i]:begins[i] + len(part)]
+        part.sort()
+    fresh = np.ones(len(flat), dtype=bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[offsets[:-1]] = True
+    before = np.concatenate([[0], np.cumsum(fresh)])
+    return flat[fresh], np.diff(before[offsets])
+
+
+def shingle_hashes(lines: list[str]) -> Iterator[np.ndarray]:
+    """For each normal line the sorted distinct hashes of its shingles."""
+    flat, counts = _sets(lines)
+    yield from np.split(flat, np.cumsum(counts)[:-1])
+
+
+def _keys(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of sorted sets that lie one after the other, and how many each has; of
+    a small set also the elements it must share one of."""
+    starts = np.cumsum(counts) - counts
+    small_ones = np.flatnonzero(counts <= SMALL_SET * 100 // PERCENT)
+    n = counts[small_ones]
+    head = n - -(-n * PERCENT // 100) + 1
+    at = np.arange(head.sum()) + np.repeat(starts[small_ones] - (np.cumsum(head) - head), head)
+    alone = mix(flat[at].view(np.uint64) ^ np.uint64(_ALONE & _MASK))
+
+    ranges = flat >> (64 - RANGE_BITS)
+    begins = np.ones(len(flat), dtype=bool)
+    begins[1:] = ranges[1:] != ranges[:-1]
+    begins[starts] = True
+    at = np.flatnonzero(begins)
+    owner = np.searchsorted(starts, at, side="right") - 1
+    banded = counts[owner] > SMALL_SET
+    at, owner = at[banded], owner[banded]
+    filled = np.bincount(owner, minlength=len(counts))
+    last = np.cumsum(filled)[filled > 0] - 1
+    following = np.arange(1, len(at) + 1)
+    following[last] = last + 1 - filled[filled > 0]
+    least = flat[at].view(np.uint64)
+    pairs = mix(least * np.uint64(_PAIR & _MASK) + least[following])
+
+    owners = np.concatenate([np.repeat(small_ones, head), owner])
+    keys = np.concatenate([alone, pairs]).view(np.int64)
+    return (keys[np.argsort(owners, kind="stable")],
+            np.bincount(owners, minlength=len(counts)))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """Keys of the bands of a sorted set; of a small one the elements it must share one of."""
-    n, parts = len(hashes), []
-    if n <= SMALL_SET * 100 // PERCENT:
-        head = hashes[:n - -(-n * PERCENT // 100) + 1].view(np.uint64)
-        parts.append(mix(head ^ np.uint64(_ALONE & _MASK)))
-    if n > SMALL_SET:
-        ranges = hashes >> (64 - RANGE_BITS)
-        least = hashes[np.concatenate([[True], ranges[1:] != ranges[:-1]])].view(np.uint64)
-        parts.append(mix(least * np.uint64(_PAIR & _MASK) + np.roll(least, -1)))
-    return np.concatenate(parts).view(np.int64)
-
-
-def _pieces(lines: list[str]) -> Iterator[list[str]]:
+    return _keys(hashes, np.array([len(hashes)]))[0]
+
+
+def _pieces(sizes: list[int]) -> Iterator[slice]:
     begin = held = 0
-    for i, line in enumerate(lines):
-        if i > begin and held + len(line) > PIECE_CHARS:
-            yield lines[begin:i]
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > PIECE_CHARS:
+            yield slice(begin, i)
             begin, held = i, 0
-        held += len(line)
-    yield lines[begin:]
+        held += size
+    yield slice(begin, len(sizes))
 
 
 def _hashed(rows: DataFrame, keyed: bool) -> DataFrame:
@@ -113,26 +159,51 @@ def _hashed(rows: DataFrame, keyed: bool) -> DataFrame:
         T.StructField("members", many)]
     schema = T.StructType([*kept, *added])
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+    def lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin = 0
-            for lines in _pieces(batch.column(batch.num_columns - 1).to_pylist()):
-                sets = list(shingle_hashes(lines))
-                found = [pa.array([len(x) for x in sets], pa.int32()),
-                         lists([band_keys(x) for x in sets])] if keyed else [lists(sets)]
-                whole = batch.slice(begin, len(lines))
-                begin += len(lines)
+            lines = batch.column(batch.num_columns - 1).to_pylist()
+            for piece in _pieces([len(line) for line in lines]):
+                flat, counts = _sets(lines[piece])
+                found = [pa.array(counts, pa.int32()),
+                         lists(*_keys(flat, counts))] if keyed else [lists(flat, counts)]
+                whole = batch.slice(piece.start, piece.stop - piece.start)
                 yield pa.RecordBatch.from_arrays(
                     [*whole.columns[:-1], *found], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _similar(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The ``(a, b)`` of ``edges`` whose lines, from ``texts`` (``id, s``), have full sets similar
+    enough. Lines move, not their sets, which take many times the bytes."""
+    left = texts.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    right = texts.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            for piece in _pieces([len(x) + len(y) for x, y in pairs]):
+                flat, counts = _sets([line for pair in pairs[piece] for line in pair])
+                total = counts[0::2] + counts[1::2]
+                ends = np.cumsum(total)
+                for begin, end in zip((ends - total).tolist(), ends.tolist()):
+                    flat[begin:end].sort()
+                twice = np.zeros(len(flat), dtype=bool)
+                twice[1:] = flat[1:] == flat[:-1]
+                twice[ends - total] = False
+                seen = np.concatenate([[0], np.cumsum(twice)])
+                both = seen[ends] - seen[ends - total]
+                alike = pa.array(100 * both >= percent * (total - both))
+                yield batch.slice(piece.start, len(total)).select([0, 1]).filter(alike)
+
+    return edges.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
+        run, edges.select("a", "b").schema)
+
+
 def _lines(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """``id, t, line, s``: id (least possible if null), hash of the text, line number, line."""
     body = F.coalesce(docs[text], F.lit(""))
@@ -166,7 +237,7 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     nodes = stored(shared.select(F.col("id").alias("h")).distinct(), "line-nodes")
     texts = _lines(docs, id_column, text).select(_hash(F.col("s")).alias("h"), "s").join(
         small(nodes, 16), "h").dropDuplicates(["h"])
-    sets = stored(_hashed(texts.select(F.col("h").alias("id"), "s"), False), "line-sets")
+    texts = stored(texts.select(F.col("h").alias("id"), "s"), "line-texts")
 
     def may_link(a: str, b: str) -> Column:
         m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -175,7 +246,8 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     def unlike(a: str, b: str) -> Column:
         return F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
 
-    labels = linked(shared, sets, PERCENT, may_link, unlike, "line")
+    labels = linked(shared, texts, PERCENT, may_link, unlike, "line", _similar,
+                    lambda some: _hashed(some.select("id", "s"), False))
     return lines, labels.select(F.col("node").alias("h"), "component")
 
 
@@ -184,8 +256,11 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     lines, labels = line_components(docs, id_column, text)
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "t", "line")
     classes = lines.groupBy("h").agg(
-        F.min(place).alias("place"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 = g1")
-    named = stored(classes.join(labels, "h", "left").select(
+        F.min(place).alias("place"), F.min("g").alias("g0"), F.max("g").alias("g1"),
+        F.count(F.lit(1)).alias("times")).where("g0 = g1")
+    # A line that occurs once and is linked with none repeats nothing.
+    named = stored(classes.join(labels, "h", "left").where(
+        "times > 1 or component is not null").select(
         "h", "place", F.coalesce("component", "h").alias("component")), "line-classes")
     first = named.groupBy("component").agg(F.min("place").alias("first"))
     firsts = stored(named.join(first, "component").select("h", "first"), "line-firsts")

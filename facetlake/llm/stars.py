@@ -28,6 +28,8 @@ SLOT_BITS = 21
 
 # Over two row aliases: whether the rows may link, and how unlike they look.
 Relation = Callable[[str, str], Column]
+# From edges, the table of sets and the percentage asked for: the edges that hold.
+Confirmation = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def _labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -121,7 +123,8 @@ def rarest_elements(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_rare_elements(
-    rows: DataFrame, sets: DataFrame, percent: int, may_link: Relation
+    rows: DataFrame, sets: DataFrame, percent: int, may_link: Relation,
+    members_of: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``a, b``: the pairs of different components in buckets of three or more that share a
     rare element and may link. Smaller buckets are fully tested by their stars.
@@ -131,7 +134,8 @@ def _by_rare_elements(
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(
         "key")
     members = stored(rows.join(crowded, "key").drop("key", "rank").distinct(), "star-crowded")
-    rare = rarest_elements(sets.join(small(members.select("id").distinct(), 16), "id"), percent)
+    rare = rarest_elements(
+        members_of(sets.join(small(members.select("id").distinct(), 16), "id")), percent)
     met = stored(rare.withColumnRenamed("n", "_size").join(members, "id"), "star-rare")
     most = F.least("x.left", "y.left")
     return met.alias("x").join(met.alias("y"), "key").where(
@@ -153,15 +157,17 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(
     shared: DataFrame, sets: DataFrame, percent: int, may_link: Relation, unlike: Relation,
-    name: str,
+    name: str, holds: Confirmation = confirmed,
+    members_of: Callable[[DataFrame], DataFrame] = lambda sets: sets,
 ) -> DataFrame:
     """``node, component`` of the members whose ``sets`` (stored: ``id, members``) are linked.
 
     ``shared`` (stored) holds ``key, id`` and what the relations need, one row for each bucket
-    and member.
+    and member. Where ``sets`` hold something shorter that the members follow from, ``holds``
+    confirms edges on it, and ``members_of`` makes ``id, members`` of some of its rows.
     """
     def confirm(edges: DataFrame) -> DataFrame:
-        return confirmed(edges, sets, percent)
+        return holds(edges, sets, percent)
 
     # Each member's likeliest edge first: most groups are whole after that.
     star = stored(_star(_labelled(shared, None), F.struct("id"), may_link, unlike),
@@ -182,7 +188,7 @@ def linked(
             fresh = _star(rows, F.struct("id"), may_link, unlike).union(
                 _star(ranked, F.struct("rank", "id"), may_link, unlike))
         else:
-            fresh = _by_rare_elements(rows, sets, percent, may_link)
+            fresh = _by_rare_elements(rows, sets, percent, may_link, members_of)
         fresh = stored(fresh.select("a", "b").join(tested, ["a", "b"], "left_anti").distinct(),
                        f"{name}-fresh{step}")
         if fresh.isEmpty():

@@ -189,6 +189,29 @@ def test_shingle_hashes_tell_shingles_apart():
     assert len(set(by_shingle.values())) == len(by_shingle)
 
 
+def test_lines_move_and_not_their_sets(make_docs, monkeypatch):
+    """A set takes eight bytes for each character of its line: none is written or shuffled."""
+    from pyspark.sql import types as T
+
+    from facetlake.llm import lines, scratch, stars
+    written = {}
+
+    def noted(df, name):
+        written[name] = {f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)}
+        return scratch.stored(df, name)
+
+    for module in (lines, stars):
+        monkeypatch.setattr(module, "stored", noted)
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(900)}" for _ in range(40)]
+    texts = [" ".join(edited(base, k, rng)) for k in (0, 1, 2, 1, 30)]
+    wanted = plain.without_similar_lines(list(enumerate(texts)))
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(texts)).collect()}
+    assert found == wanted
+    arrays = {name: kinds for name, kinds in written.items() if kinds}
+    assert arrays == {"lines": {"keys"}, "line-dropped": {"lines"}}
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     rows = dedup_lines(odd_docs).collect()
     found = {r["doc_id"]: r for r in rows}
