@@ -345,7 +345,7 @@ def result_totals(spark, d):
 """)
 def page(spark, d):
     """A page far beyond the end is the last page."""
-    result = search(documents(spark, d), stored_index(spark, d), CATALOG, sort="longest")
+    result = search(documents(spark, d), None, CATALOG, sort="longest")
     return result.page(10 ** 9, 15).select("id", "n_chars")
 
 

@@ -77,7 +77,7 @@ class SearchResult:
 
 def search(
     docs: DataFrame,
-    index: TermIndex,
+    index: TermIndex | None,
     catalog: Catalog,
     keywords: Expr | None = None,
     filters: Mapping[str, Sequence[str]] | None = None,
@@ -87,7 +87,8 @@ def search(
 ) -> SearchResult:
     """Documents matching keywords and filters.
 
-    Filters only mask documents: they meet the keyword hits by id, after scoring.
+    Filters only mask documents: they meet the keyword hits by id, after scoring. Without
+    ``keywords`` no term table is looked at, and ``index`` may be None.
     ``structured`` takes ``all_values``, ``any_values``, ``ranges`` and ``rejected``.
     """
     rejected = dict(structured.pop("rejected", None) or {})

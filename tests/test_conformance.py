@@ -25,3 +25,13 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_page_without_keywords_needs_no_term_tables(spark, monkeypatch):
+    from conformance import searching
+
+    def unwanted(*_):
+        raise AssertionError("term tables were built")
+
+    monkeypatch.setattr(searching, "stored_index", unwanted)
+    assert CASES["page"].query(spark, FOLDER).count() > 0
