@@ -864,7 +864,7 @@ def feed_page(spark, d):
     made = plan.Assembly(derived_library(spark, d), OPTIONS, catalog)
     docs = made.docs.withColumn("segment", F.from_json("data", "publisher string")["publisher"])
     entries, totals = fed(
-        docs, build_term_index(docs, made.texts, catalog.fields), catalog,
+        docs, build_term_index(docs, made.texts, catalog.fields, materialize=True), catalog,
         Word("customers", "title"), {"link": ["t"]}, number=2, max_days=FEED_DAYS,
         as_of=datetime(2000, 3, 1, 9), required={"segment": ["BUILDING", "MACHINERY"]},
         rejected={"item_type": ["report"]})

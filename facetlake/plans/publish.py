@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from facetlake.functions.text import strip
 from facetlake.functions import dates, names, patterns, text, values
+from facetlake.operators import sorting
 from facetlake.operators.index_tables import TermIndex
 from facetlake.operators.keywords import Expr
 from facetlake.operators.numbering import global_positions
@@ -137,9 +138,9 @@ def feed_page(
     recent = feed_window(docs, as_of, max_days) if max_days else docs
     found = search(recent, index, catalog, keywords, filters, FEED_SORT,
                    any_values=required or {}, rejected=rejected or {})
-    newest = found.page(number, length)
-    entries = feed_entries(newest).join(newest.select("id", "position"), "id")
-    return entries, found.totals(length)
+    # Both follow from the keys, so the search runs once and a page's documents are read once.
+    newest = found.later_page(number, length)
+    return feed_entries(newest, "position"), sorting.result_totals(found.keys, length)
 
 
 def feed_window(df: DataFrame, as_of: datetime, max_days: int) -> DataFrame:
@@ -159,8 +160,8 @@ def first_date(fields: Column) -> Column:
     return F.coalesce(*[F.nullif(fields[name], F.lit("")) for name in DATE_FIELDS])
 
 
-def feed_entries(docs: DataFrame) -> DataFrame:
-    """Entry columns of the documents of one feed page."""
+def feed_entries(docs: DataFrame, *extra: str) -> DataFrame:
+    """Entry columns of the documents of one feed page, and ``extra`` ones as they are."""
     field = F.from_json("data", "map<string,string>")
 
     def nonempty(name: str) -> Column:
@@ -180,7 +181,7 @@ def feed_entries(docs: DataFrame) -> DataFrame:
         values.doi_url(nonempty("DOI")).alias("doi_url"),
         plain("ISBN").alias("isbn"), plain("ISSN").alias("issn"),
         plain("language").alias("language"), plain("publisher").alias("publisher"),
-        plain("rights").alias("rights"),
+        plain("rights").alias("rights"), *extra,
     )
 
 

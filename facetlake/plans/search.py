@@ -47,6 +47,10 @@ class SearchResult:
         if number <= 1:
             rows = sorting.page(self.matched, self.sort, 1, length)
             return sorting.with_positions(rows, self.sort, 1, length)
+        return self.later_page(number, length)
+
+    def later_page(self, number: int, length: int = 20) -> DataFrame:
+        """Any page, by ``keys``: for callers that need those too, the first one as well."""
         number = sorting.fit_page(self.keys.count(), number, length)
         return self._fetched(sorting.page(self.keys, self.sort, number, length), number, length)
 
