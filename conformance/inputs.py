@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,31 +75,40 @@ def fresh_index(spark: SparkSession, folder: str) -> TermIndex:
     return build_term_index(ids, document_texts(spark, folder), FIELDS)
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+_BUILT: dict[tuple[str, ...], str] = {}
 _STATS = ("term_stats", "field_stats")
 
 
-def stored_index(spark: SparkSession, folder: str) -> TermIndex:
-    """Term tables of the documents, written to the shared scratch folder once per application.
+def kept_index(
+    spark: SparkSession, folder: str, name: str, texts: Callable[[SparkSession, str], DataFrame],
+    fields: Sequence[IndexField],
+) -> TermIndex:
+    """Term tables of some ``texts`` of the documents, written to the shared scratch folder once
+    per application.
 
     This is how searches use them: built by one job, then only read. Words are written once,
     sorted where they are; postings and positions are columns of that table.
     """
     ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, name)
     if key not in _BUILT:
         digest = hashlib.sha256("/".join(key).encode()).hexdigest()[:16]
-        root = f"{scratch_dir(spark)}/term-index-{digest}"
-        write_table(word_rows(document_texts(spark, folder), FIELDS), "positions", f"{root}/words")
+        root = f"{scratch_dir(spark)}/{name}-{digest}"
+        write_table(word_rows(texts(spark, folder), fields), "positions", f"{root}/words")
         index = index_of_words(ids, spark.read.parquet(f"{root}/words"))
-        for name in _STATS:
-            write_table(getattr(index, name), name, f"{root}/{name}")
+        for stats in _STATS:
+            write_table(getattr(index, stats), stats, f"{root}/{stats}")
         _BUILT[key] = root
     root = _BUILT[key]
     index = index_of_words(ids, spark.read.parquet(f"{root}/words"))
     return replace(index, **{n: spark.read.parquet(f"{root}/{n}") for n in _STATS})
 
 
+def stored_index(spark: SparkSession, folder: str) -> TermIndex:
+    """Term tables of the documents as searches use them, see ``kept_index``."""
+    return kept_index(spark, folder, "term-index", document_texts, FIELDS)
+
+
 # --- orders as dated records ------------------------------------------------------------
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conformance.inputs import (
-    CATALOG, DOCS_SQL, FACETS, FIELDS, SORTS, dated, documents, fresh_index, sql_fold, sql_tokens,
-    stored_index, table,
+    CATALOG, DOCS_SQL, FACETS, FIELDS, SORTS, dated, documents, fresh_index, kept_index, sql_fold,
+    sql_tokens, stored_index, table,
 )
 from conformance.registry import case
 from conformance.stems import stems_sql
 from facetlake.functions import dates
 from facetlake.operators import facets, filters, keywords, sorting
-from facetlake.operators.index_tables import build_term_index
 from facetlake.operators.keywords import Boosted, Phrase, Word, all_of, any_of, none_of
 from facetlake.plans.catalog import BadgeSpec, FacetSpec, IndexField, SortSpec
 from facetlake.plans.search import badge_flags, search, select_fields
@@ -126,10 +125,13 @@ postings AS (SELECT 'text' AS field, term, id, count(*) AS tf, 1.0 AS boost, fal
 """
 
 
+def stemmed_texts(spark, d):
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.lit("text").alias("field"), F.lit("").alias("part"), "text")
+
+
 def stemmed_index(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    texts = docs.select("id", F.lit("text").alias("field"), F.lit("").alias("part"), "text")
-    return build_term_index(docs.select("id"), texts, STEMMED)
+    return kept_index(spark, d, "stemmed-index", stemmed_texts, STEMMED)
 
 
 @case("stemmed_postings", f"""
