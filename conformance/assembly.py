@@ -20,6 +20,7 @@ from facetlake.operators import children, dimensions, facets, hierarchy, lookups
 from facetlake.plans import assemble as plan
 from facetlake.plans import refresh
 from facetlake.plans.catalog import FacetSpec
+from facetlake.session import lay_down
 from facetlake.sources import store
 from facetlake.sources.library import decode_json, library_state
 
@@ -796,10 +797,13 @@ def export_record(spark, d):
     from facetlake.plans.catalog import DEFAULT_EXPORTS
     from facetlake.plans.publish import export_record as exported
 
-    docs = _docs(spark, d)
+    spec = DEFAULT_EXPORTS[1]
+    # Documents are stored tables: three look-ups read them, one run computes them. Identifiers
+    # that are not stored would be computed once more, to keep empty lists out of the explosion.
+    docs = lay_down(_docs(spark, d).select("id", "alternate_id", spec.column))
     alternate = docs.select("id", F.explode("alternate_id").alias("alternate_id"))
     asked = table(spark, d, "orders").select(F.expr("concat('X', o_orderkey)").alias("request"))
-    return exported(lookups.resolve_ids(asked, docs, alternate), docs, DEFAULT_EXPORTS[1])
+    return exported(lookups.resolve_ids(asked, docs, alternate), docs, spec)
 
 
 @case("feed_entries", f"""

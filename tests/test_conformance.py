@@ -35,3 +35,9 @@ def test_a_page_without_keywords_needs_no_term_tables(spark, monkeypatch):
 
     monkeypatch.setattr(searching, "stored_index", unwanted)
     assert CASES["page"].query(spark, FOLDER).count() > 0
+
+
+def test_records_are_assembled_once_for_their_exports(spark):
+    """Three look-ups read the documents; none of them computes them again."""
+    files = CASES["export_record"].query(spark, FOLDER).inputFiles()
+    assert not [f for f in files if "lineitem" in f or "customer" in f]
