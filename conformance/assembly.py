@@ -924,15 +924,23 @@ def export_group(spark, d):
 """)
 def result_items(spark, d):
     """Everything that belongs to the hundred records added last."""
+    from dataclasses import replace
+
     from facetlake.operators.sorting import page, with_positions
     from facetlake.plans.catalog import SortSpec
     from facetlake.plans.search import result_items as items_of
 
-    made = _tables(spark, d)
+    library = derived_library(spark, d)
     added = SortSpec("added", ("sort_date_added",), True)
-    newest = page(made.docs.select("id", "sort_date_added"), added, 1, 100)
+    docs = plan.Assembly(library, OPTIONS).docs.select("id", "sort_date_added")
+    # The page is found once, and its ids reach the scans of the items: only what belongs to it
+    # is decoded, and kept side by side.
+    newest = lay_down(with_positions(page(docs, added, 1, 100), added, 1, 100))
+    ids = [r["id"] for r in newest.select("id").collect()]
+    own = library.item.filter(F.coalesce("parent_item", "item_key").isin(ids))
+    made = plan.Assembly(replace(library, item=own), OPTIONS, materialize=True)
     tables = {n: getattr(made, n) for n in ("edges", "attachments", "links", "notes")}
-    return items_of(with_positions(newest, added, 1, 100), tables)
+    return items_of(newest, tables)
 
 
 @case("url_inventory", """

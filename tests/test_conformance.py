@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conformance.check import compare, connect
 from conformance.suite import CASES
@@ -41,3 +42,22 @@ def test_records_are_assembled_once_for_their_exports(spark):
     """Three look-ups read the documents; none of them computes them again."""
     files = CASES["export_record"].query(spark, FOLDER).inputFiles()
     assert not [f for f in files if "lineitem" in f or "customer" in f]
+
+
+def test_result_items_decode_what_belongs_to_the_page_alone(spark, monkeypatch):
+    from conformance import assembly
+
+    laid = []
+    real = assembly.plan.lay_down
+
+    def counted(df):
+        laid.append(real(df))
+        return laid[-1]
+
+    monkeypatch.setattr(assembly.plan, "lay_down", counted)
+    files = CASES["result_items"].query(spark, FOLDER).inputFiles()
+    assert not [f for f in files if "orders.parquet" in f or "customer" in f]
+    kept, owned = laid
+    assert kept.count() == 100
+    assert owned.join(kept.select(F.col("item_key").alias("parent_item")), "parent_item",
+                      "left_anti").isEmpty()
