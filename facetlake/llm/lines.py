@@ -17,7 +17,7 @@ a batch of lines at a time: by regular expressions that alone exceeded the time
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.functions.paths import evaluate_once
+from facetlake.llm.families import links_within
 from facetlake.llm.scratch import small, stored
 from facetlake.llm.shingles import mix
 from facetlake.llm.stars import linked
@@ -36,6 +37,8 @@ RANGE_BITS = 4
 SMALL_SET = 16
 # Characters hashed together; a longer line is hashed alone.
 PIECE_CHARS = 1 << 17
+# The keys of all bands take more than the lines: they are grouped in so many turns.
+KEY_PARTS = 4
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 _RANDOM = np.random.default_rng(1217)
@@ -150,14 +153,18 @@ def _pieces(sizes: list[int]) -> Iterator[slice]:
     yield slice(begin, len(sizes))
 
 
-def _hashed(rows: DataFrame, keyed: bool) -> DataFrame:
-    """``rows`` with their sets, made from the last column, a normal line, in its place: the size
-    ``n`` and the ``keys`` of the bands if ``keyed``, else the ``members``."""
-    kept = rows.schema.fields[:-1]
-    many = T.ArrayType(T.LongType())
-    added = [T.StructField("n", T.IntegerType()), T.StructField("keys", many)] if keyed else [
-        T.StructField("members", many)]
-    schema = T.StructType([*kept, *added])
+def _sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``_sets`` in pieces of bounded text."""
+    found = [_sets(lines[piece]) for piece in _pieces([len(line) for line in lines])]
+    return np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the size ``n`` of the set and the ``keys`` of its bands in place of the last
+    column, a normal line."""
+    schema = T.StructType([
+        *rows.schema.fields[:-1], T.StructField("n", T.IntegerType()),
+        T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -168,8 +175,7 @@ def _hashed(rows: DataFrame, keyed: bool) -> DataFrame:
             lines = batch.column(batch.num_columns - 1).to_pylist()
             for piece in _pieces([len(line) for line in lines]):
                 flat, counts = _sets(lines[piece])
-                found = [pa.array(counts, pa.int32()),
-                         lists(*_keys(flat, counts))] if keyed else [lists(flat, counts)]
+                found = [pa.array(counts, pa.int32()), lists(*_keys(flat, counts))]
                 whole = batch.slice(piece.start, piece.stop - piece.start)
                 yield pa.RecordBatch.from_arrays(
                     [*whole.columns[:-1], *found], names=schema.names)
@@ -226,14 +232,18 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
     """
     split = _lines(docs, id_column, text).select(
         "id", "t", "line", _hash(F.col("s")).alias("h"), F.xxhash64("s", F.lit(1)).alias("g"), "s")
-    lines = stored(_hashed(split, True), "lines")
+    lines = stored(_hashed(split), "lines")
 
     banded = lines.select("h", "n", F.explode("keys").alias("key"))
-    several = stored(banded.groupBy("key").agg(
-        F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key"),
-        "line-buckets")
-    shared = stored(banded.join(small(several, 16), "key").select(
-        "key", F.col("h").alias("id"), "n").distinct(), "line-shared")
+    parts = []
+    for part in range(KEY_PARTS):
+        some = banded.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
+        several = stored(some.groupBy("key").agg(
+            F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key"),
+            "line-buckets")
+        parts.append(stored(some.join(small(several, 16), "key").select(
+            "key", F.col("h").alias("id"), "n").distinct(), "line-shared"))
+    shared = reduce(DataFrame.union, parts)
     nodes = stored(shared.select(F.col("id").alias("h")).distinct(), "line-nodes")
     texts = _lines(docs, id_column, text).select(_hash(F.col("s")).alias("h"), "s").join(
         small(nodes, 16), "h").dropDuplicates(["h"])
@@ -247,7 +257,7 @@ def line_components(docs: DataFrame, id_column: str, text: str) -> tuple[DataFra
         return F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))
 
     labels = linked(shared, texts, PERCENT, may_link, unlike, "line", _similar,
-                    lambda some: _hashed(some.select("id", "s"), False))
+                    lambda rows: links_within(rows, texts, _sets_of, PERCENT))
     return lines, labels.select(F.col("node").alias("h"), "component")
 
 

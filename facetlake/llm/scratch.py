@@ -11,6 +11,8 @@ from facetlake.session import scratch_dir
 
 # Rows times width a side may have to be sent to every executor; beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
+# Removes the shuffle files of a query when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,11 +25,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs the tasks that read the table, never the work that
-    made it, and random or order-dependent values in it are fixed.
+    made it, and random or order-dependent values in it are fixed. The files that were shuffled for
+    it go as soon as it is written, not when the driver's memory happens to be collected.
     """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -124,7 +124,6 @@ def rarest_elements(sets: DataFrame, percent: int) -> DataFrame:
 
 def _by_rare_elements(
     rows: DataFrame, sets: DataFrame, percent: int, may_link: Relation,
-    members_of: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``a, b``: the pairs of different components in buckets of three or more that share a
     rare element and may link. Smaller buckets are fully tested by their stars.
@@ -134,8 +133,7 @@ def _by_rare_elements(
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select(
         "key")
     members = stored(rows.join(crowded, "key").drop("key", "rank").distinct(), "star-crowded")
-    rare = rarest_elements(
-        members_of(sets.join(small(members.select("id").distinct(), 16), "id")), percent)
+    rare = rarest_elements(sets.join(small(members.select("id").distinct(), 16), "id"), percent)
     met = stored(rare.withColumnRenamed("n", "_size").join(members, "id"), "star-rare")
     most = F.least("x.left", "y.left")
     return met.alias("x").join(met.alias("y"), "key").where(
@@ -157,14 +155,14 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(
     shared: DataFrame, sets: DataFrame, percent: int, may_link: Relation, unlike: Relation,
-    name: str, holds: Confirmation = confirmed,
-    members_of: Callable[[DataFrame], DataFrame] = lambda sets: sets,
+    name: str, holds: Confirmation = confirmed, rest: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node, component`` of the members whose ``sets`` (stored: ``id, members``) are linked.
 
     ``shared`` (stored) holds ``key, id`` and what the relations need, one row for each bucket
     and member. Where ``sets`` hold something shorter that the members follow from, ``holds``
-    confirms edges on it, and ``members_of`` makes ``id, members`` of some of its rows.
+    confirms edges on it, and ``rest`` finds the links that stars leave open: from the rows of
+    buckets with several components ``c`` to edges ``a, b`` that hold.
     """
     def confirm(edges: DataFrame) -> DataFrame:
         return holds(edges, sets, percent)
@@ -187,14 +185,17 @@ def linked(
                 "rank", -F.coalesce("degree", F.lit(0))).drop("degree")
             fresh = _star(rows, F.struct("id"), may_link, unlike).union(
                 _star(ranked, F.struct("rank", "id"), may_link, unlike))
+        elif rest is None:
+            fresh = _by_rare_elements(rows, sets, percent, may_link)
+        if step == 2 and rest is not None:
+            more = stored(rest(rows), f"{name}-more{step}")
         else:
-            fresh = _by_rare_elements(rows, sets, percent, may_link, members_of)
-        fresh = stored(fresh.select("a", "b").join(tested, ["a", "b"], "left_anti").distinct(),
-                       f"{name}-fresh{step}")
-        if fresh.isEmpty():
-            continue
-        more = stored(confirm(fresh), f"{name}-more{step}")
-        tested = stored(tested.union(fresh), f"{name}-tested{step}")
+            fresh = stored(fresh.select("a", "b").join(
+                tested, ["a", "b"], "left_anti").distinct(), f"{name}-fresh{step}")
+            if fresh.isEmpty():
+                continue
+            more = stored(confirm(fresh), f"{name}-more{step}")
+            tested = stored(tested.union(fresh), f"{name}-tested{step}")
         if more.isEmpty():
             continue
         links = stored(links.union(more), f"{name}-links{step}")

@@ -212,6 +212,78 @@ def test_lines_move_and_not_their_sets(make_docs, monkeypatch):
     assert arrays == {"lines": {"keys"}, "line-dropped": {"lines"}}
 
 
+def family(rng, size, edits):
+    """Lines of one base, so edited that many pairs are nearly but not quite similar."""
+    base = [f"word{rng.randrange(900)}" for _ in range(60)]
+    return [" ".join(edited(base, rng.choice(edits), rng)) for _ in range(size)]
+
+
+def test_families_of_lines_make_no_row_for_each_pair(make_docs, monkeypatch):
+    from facetlake.llm import families, lines, scratch, stars
+    rows = {}
+
+    def noted(df, name):
+        table = scratch.stored(df, name)
+        rows[name] = max(rows.get(name, 0), table.count())
+        return table
+
+    for module in (lines, stars, families):
+        monkeypatch.setattr(module, "stored", noted)
+    rng = random.Random(14)
+    texts = [*family(rng, 160, [5, 6, 7, 8]), *family(rng, 9, [1, 6])]
+    wanted = plain.without_similar_lines(list(enumerate(texts)))
+    found = {r["doc_id"]: r["text"] for r in dedup_lines(make_docs(texts)).collect()}
+    assert found == wanted and "" in found.values() and "family-members" in rows
+    # Some 13,000 pairs; each line is in up to 16 buckets.
+    assert max(rows.values()) <= 16 * len(texts)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 3000])
+def test_links_within_families_join_what_is_similar(spark, part):
+    from facetlake.llm.families import links_within
+    from facetlake.llm.lines import PERCENT, _sets_of
+    rng = random.Random(15)
+    lines = [*family(rng, 60, [1, 3, 5, 7, 9]), *family(rng, 25, [2, 8]), "short", "short too"]
+    sets = list(shingle_hashes(lines))
+    bucket = [0] * 60 + [1] * 25 + [2] * 2
+    wanted = plain.Sets()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if bucket[i] == bucket[j] and 100 * both >= PERCENT * (len(a) + len(b) - both):
+                wanted.join(j, i)
+    shared = spark.createDataFrame([
+        (bucket[i], i, len(s), i - i % 2) for i, s in enumerate(sets)],
+        "key long, id long, n int, c long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, s string")
+    found = plain.Sets()
+    for i in range(0, len(lines), 2):  # what was joined before
+        found.join(i, min(i + 1, len(lines) - 1))
+        wanted.join(i, min(i + 1, len(lines) - 1))
+    for a, b in links_within(shared, texts, _sets_of, PERCENT, part).collect():
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert a < b and 100 * both >= PERCENT * (len(sets[a]) + len(sets[b]) - both)
+        found.join(a, b)
+    assert [found.find(i) for i in range(len(lines))] == [wanted.find(i) for i in range(len(lines))]
+
+
+def test_stored_tables_leave_no_shuffled_files(spark):
+    import glob
+    import tempfile
+
+    from facetlake.llm import scratch
+
+    def shuffled():
+        folder = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*.data"))
+
+    before = shuffled()
+    kept = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count()
+    table = scratch.stored(kept.join(kept.withColumnRenamed("count", "n"), "k"), "no-shuffles")
+    assert not shuffled() - before and table.count() == 1000
+    assert spark.conf.get(scratch.CLEAN_SHUFFLES) == "false"
+
+
 def test_lines_odd_rows(odd_docs, no_docs):
     rows = dedup_lines(odd_docs).collect()
     found = {r["doc_id"]: r for r in rows}
