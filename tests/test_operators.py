@@ -226,6 +226,12 @@ def corpus(spark):
     return rows, index, n
 
 
+def test_materialized_postings_are_counted_once(corpus):
+    """Postings, term counts and lengths are written side by side: none counts the parts anew."""
+    _, index, _ = corpus
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
 ANALYZERS = {f.name: f.analyzer for f in FIELDS}
 
 
