@@ -53,3 +53,20 @@ def test_a_store_with_term_tables_is_refused(spark, tmp_path):
     changes = docs.withColumn("deleted", F.lit(False))
     with pytest.raises(ValueError, match="term tables"):
         apply_changes(store, changes, 0, "id", "version", "deleted")
+
+
+def test_states_of_the_derived_library_share_their_tables(spark):
+    """Item, collection and tag rows are made once, whatever the number of synchronisations."""
+    from conformance.derived_library import library_states
+    library = library_states(spark, "/root/testdata/sf0.001")
+    first, last = library(0), library(2)
+
+    def folders(df):
+        return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+    for name in ("item", "item_collection", "item_tag"):
+        found = folders(getattr(first, name))
+        assert found == folders(getattr(last, name)) and all("laid-down" in f for f in found)
+    assert first.item.where("data LIKE '%Draft%'").count() > 0
+    assert last.item.where("data LIKE '%Draft%'").count() == 0
+    assert first.deleted_item.isEmpty() and not last.deleted_item.isEmpty()
